@@ -5,17 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspan.llm import ann, chat, decontaminate, html, lm, mixing, pii, quality, sharding
 from docspan.llm.common import table
 from docspan.llm.jaccard import Rule, jaccard_components
 
+#: Stands for the secret that a deployment keeps to itself.
+DEMO_KEY = b"docspan demonstration key"
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", F.round("quality", 6).alias("quality"), "keep")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    done = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return done.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.in_training("doc_id"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.kinds_found(pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY))
+    kinds = [f"pii_{k}" for k in pii.Pseudonyms.KINDS]
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *kinds)
+
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), Rule(words=4, share=85))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
+    return done.select("conv_id", "part", "perspective", "n_turns", "text", spans.alias("mask_spans"), "trained_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,5 +91,26 @@ WITH RECURSIVE words AS (
 )
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(y) AS component_id
 FROM sets JOIN reach ON sets.doc_id = reach.x GROUP BY sets.doc_id, len(s)
+""",
+    "op10_chat_formatting": """
+WITH turns AS (
+  SELECT conv_id, CAST(floor(turn / 512) AS BIGINT) AS part, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM (SELECT conv_id, turn, text, replace(coalesce(nullif(trim(role), ''), 'unknown'), '<|', '< |') AS role FROM conversations)
+), sides AS (
+  SELECT DISTINCT conv_id, part, role AS perspective FROM turns WHERE role <> 'system'
+), pieces AS (
+  SELECT s.conv_id, s.part, s.perspective, t.role = s.perspective AS own,
+    '<|im_start|>' || CASE WHEN t.role = s.perspective THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS before,
+    t.text || '<|im_end|>' AS body,
+    row_number() OVER (PARTITION BY s.conv_id, s.part, s.perspective ORDER BY t.turn NULLS LAST, t.role, t.text) AS nth
+  FROM sides s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.part IS NOT DISTINCT FROM s.part
+), placed AS (
+  SELECT *, sum(length(before) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY nth) AS upto FROM pieces
+)
+SELECT conv_id, CAST(part AS VARCHAR) AS part, perspective, count(*) AS n_turns,
+  string_agg(before || body || chr(10), '' ORDER BY nth) AS text,
+  coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto - 1 AS BIGINT)::VARCHAR, ',' ORDER BY nth) FILTER (WHERE own), '') AS mask_spans,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars
+FROM placed GROUP BY conv_id, part, perspective
 """,
 }
