@@ -76,7 +76,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE
-      WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')))
+      WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM words
 ), grams AS (
