@@ -53,7 +53,6 @@ class Rule:
 
     def budget(self, band: int) -> int:
         """Most shingles that only one of two linked sets has, the smaller being in this band."""
-        self.band(np.array([self.edges[-1]]))
         while len(self.edges) < band + 2:
             self.edges.append(self.edges[-1] * self.of // self.share + 1)
         top = self.edges[band + 1] - 1
@@ -102,8 +101,10 @@ def tile_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarra
     keys, owners = [], []
     for step in (0, 1):
         band = own - step
-        budget = np.array([rule.budget(int(b)) if b >= 0 else 0 for b in band])
-        parts = np.array([rule.parts(int(b)) if b >= 0 else 0 for b in band])
+        tables = range(max(int(band.max()), 0) + 1)
+        budget = np.array([rule.budget(b) for b in tables])[np.maximum(band, 0)]
+        parts = np.array([rule.parts(b) for b in tables])[np.maximum(band, 0)]
+        parts[band < 0] = 0
         parts[(budget == 0) | (n == 0)] = 0  # without a budget only equal sets are linked
         use = np.repeat(parts > 0, n)
         if not use.any():
