@@ -235,7 +235,6 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, url_co
     src = pages.drop("text", "n_chars")
     templates = stored(site_templates(src, min_pages, min_share, url_col, html_col), "templates")
     hosts = templates.select("host", F.explode("template")).limit(BROADCAST_ROWS + 1).count()
-    templates = templates.select(F.col("host").alias("__host"), F.col("template").alias("__template"))
     templates = F.broadcast(templates) if hosts <= BROADCAST_ROWS else templates
 
     @F.pandas_udf("string")
@@ -252,6 +251,7 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, url_co
             out.append(main_text(s, known))
         return pd.Series(out, dtype=object)
 
-    joined = src.withColumn("__host", _host(url_col)).join(templates, "__host", "left")
-    done = joined.withColumn("text", texts(F.col(html_col), F.col("__template")))
-    return done.select(*(F.col(f"`{c}`") for c in src.columns), "text", F.char_length("text").cast("long").alias("n_chars"))
+    # the page goes in one struct, so that its columns can have any names
+    whole = src.select(F.struct(*(F.col(f"`{c}`") for c in src.columns)).alias("page"), _host(url_col))
+    done = whole.join(templates, "host", "left").withColumn("text", texts(F.col(f"page.`{html_col}`"), F.col("template")))
+    return done.select(*(F.col(f"page.`{c}`").alias(c) for c in src.columns), "text", F.char_length("text").cast("long").alias("n_chars"))
