@@ -26,6 +26,9 @@ from docspan.llm.words import in_chunks, mix
 SAMPLE = 4000
 WEIGHTS = 1 << 16
 SEED = 40_961
+#: A labeller votes bad on this share of good documents at most; without that bound, a kind of junk
+#: that few labellers see could be taken for good documents on which they err.
+MOST_FALSE = 0.01
 CHUNK = 256 << 10
 
 #: Name, words or lines needed for a vote, bad from, good to (for the last two, bad to, good from).
@@ -160,7 +163,8 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float
     """Probability that a pattern is good, and P(vote | class) of each labeller (class 0 bad, 1 good)
     among the votes it casts; where it casts none it says nothing.
 
-    It starts from the side with more votes, bad on a tie, and adds one of each vote to each class."""
+    It starts from how many vote bad, adds one of each vote to each class, and holds a labeller's bad
+    votes on good documents to MOST_FALSE."""
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], float)
     votes = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
@@ -175,6 +179,8 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float
                 seen = np.bincount(votes[:, k], weight, minlength=3) + 1.0
                 seen[1] = 0.0
                 table[k, c] = seen / seen.sum()
+        table[:, 1, 0] = np.minimum(table[:, 1, 0], MOST_FALSE)
+        table[:, 1, 2] = 1 - table[:, 1, 0]
         log = np.log(np.where(table > 0, table, 1.0))
         odds = np.log(share / (1 - share)) + sum(log[k, 1, votes[:, k]] - log[k, 0, votes[:, k]] for k in range(len(LABELLERS)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))

@@ -3,7 +3,7 @@
 import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "node long, row string, size string, shard string, copies string, key string, quality string, pii string, __sid string"
+CLASHING = "node long, row string, size string, shard string, copies string, key string, quality string, pii string, n string, sid string"
 
 
 def words(rng, n, vocabulary=300):
