@@ -1,4 +1,4 @@
-"""Row types of the engine's tables.
+"""Row types of the engine's tables, as DDL, which every reader and UDF takes.
 
 Boxes come in two conventions that must not be mixed: `XYWH` (corner and size) and `XYXY` (two
 corners); `to_xyxy` and `to_xywh` convert.
@@ -8,29 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+XYWH = ("x int, y int, w int, h int")
+XYXY = ("x1 int, y1 int, x2 int, y2 int")
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-XYWH = _struct("x int, y int, w int, h int")
-XYXY = _struct("x1 int, y1 int, x2 int, y2 int")
-
-JOB = _struct(
+JOB = (
     "id string, filename string, file_size bigint, content_type string, storage_path string, status string, workflow_id string, run_id string, batch_id string, result_path string, error_message string, page_count int, confidence double, output_formats string, created_at timestamp, updated_at timestamp"
 )
-QUEUED_JOB = _struct("job_id string, priority int, enqueued_at timestamp, started_at timestamp, completed_at timestamp, document_size bigint, status string, options map<string,string>, retry_count int, error_message string")
-REGION = _struct("index int, type string, bbox struct<x1:int,y1:int,x2:int,y2:int>, confidence double, raw_type string, text string")
-REGION_RESULT = _struct("region_id string, content string, confidence double, error string")
-ELEMENT = _struct("index int, label string, content string, bbox_2d struct<x1:int,y1:int,x2:int,y2:int>, confidence double")
-PAGE_RESULT = _struct("page int, width int, height int, markdown string, confidence double, prompt_tokens int, completion_tokens int")
-ENVELOPE = _struct(
+QUEUED_JOB = ("job_id string, priority int, enqueued_at timestamp, started_at timestamp, completed_at timestamp, document_size bigint, status string, options map<string,string>, retry_count int, error_message string")
+REGION = ("index int, type string, bbox struct<x1:int,y1:int,x2:int,y2:int>, confidence double, raw_type string, text string")
+REGION_RESULT = ("region_id string, content string, confidence double, error string")
+ELEMENT = ("index int, label string, content string, bbox_2d struct<x1:int,y1:int,x2:int,y2:int>, confidence double")
+PAGE_RESULT = ("page int, width int, height int, markdown string, confidence double, prompt_tokens int, completion_tokens int")
+ENVELOPE = (
     "schema_version string, job_id string, model string, document_confidence double, page_count int, extraction_time double, output_formats string, precision_mode string, result string, result_text string, raw_pages string, timestamp timestamp"
 )
-WARNING = _struct("code string, message string, severity string, details map<string,string>")
-PROCESSING_METRIC = _struct("processing_time_ms double, page_size_bytes bigint, complexity_score double, timestamp timestamp")
+WARNING = ("code string, message string, severity string, details map<string,string>")
+PROCESSING_METRIC = ("processing_time_ms double, page_size_bytes bigint, complexity_score double, timestamp timestamp")
 
 JOB_STATUSES = ("PENDING", "UPLOADED", "PROCESSING", "COMPLETED", "FAILED")
 QUEUE_STATUSES = ("QUEUED", "PROCESSING", "COMPLETED", "FAILED")
