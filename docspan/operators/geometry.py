@@ -170,28 +170,32 @@ def table_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sections(df: DataFrame, keys: Sequence[str], text: str = "text", page: Box = PAGE) -> DataFrame:
     """Headings (# marks, or numbers) with the lines below them; of the lines before the first heading,
-    the first alone makes a preamble.  A running count of headings tells each line's section."""
-    x, y, w, _ = page
-    rows = _numbered(df, keys, text, page).withColumn("line", strip(F.col("line")))
-    rows = rows.withColumn("marker", F.when(F.col("line").rlike(HEADING), F.regexp_extract("line", HEADING, 1)))
-    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("section", F.count("marker").over(upto)).withColumn("n_lines", F.count("*").over(Window.partitionBy(*keys)))
-    rows = rows.filter((F.col("section") > 0) | (F.col("line_no") == 0))
-    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("marker").isNull() & (F.col("line") != ""), F.struct("line_no", "line")))), lambda s: s["line"])
-    out = rows.groupBy(*keys, "section", "tall", "n_lines").agg(F.min("line_no").alias("first"), F.max("marker").alias("marker"), F.max(F.when(F.col("marker").isNotNull(), F.regexp_extract("line", HEADING, 2))).alias("heading"), said.alias("said"))
-    next_ = F.lead("first").over(Window.partitionBy(*keys).orderBy("section"))
-    level = F.when(F.col("section") == 0, 0).when(F.col("marker").startswith("#"), F.char_length("marker")).otherwise(F.char_length("marker") - F.char_length(F.replace("marker", F.lit("."))) + 1)
-    tall = F.when(F.col("section") == 0, F.lit(1)).otherwise(F.coalesce(F.col("next"), F.col("n_lines")) - F.col("first"))
-    return out.withColumn("next", next_).select(
+    the first alone makes a preamble.  A text's lines stay one array, cut at its headings, so no row
+    leaves its task."""
+    x, y, w, h = page
+    rows = df.filter(~blank(F.col(text))).select(*keys, F.transform(lines(F.col(text)), strip).alias("said"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda i: F.element_at("said", i + 1).rlike(HEADING))
+    rows = rows.withColumns({"n": F.size("said"), "heads": heads})
+    early = F.when(F.coalesce(F.get("heads", F.lit(0)), F.lit(-1)) == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumns({"early": F.size(early), "cuts": F.concat(early, "heads")})
+    rows = rows.select(*keys, "said", "n", "early", "cuts", F.posexplode("cuts").alias("at", "first"))
+    next_ = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("n"))
+    rows = rows.withColumns({"next": next_, "line": F.element_at("said", F.col("first") + 1), "section_no": (F.col("at") + 1 - F.col("early")).cast("int")})
+    preamble = F.col("section_no") == 0
+    marker = F.regexp_extract("line", HEADING, 1)
+    numbered = F.char_length(marker) - F.char_length(F.replace(marker, F.lit("."))) + 1
+    below = F.filter(F.slice("said", F.col("first") + 2, F.col("next") - F.col("first") - 1), lambda s: s != "")
+    tall = _div(F.lit(h), F.col("n"))
+    return rows.select(
         *keys,
-        F.col("section").cast("int").alias("section_no"),
-        level.cast("int").alias("level"),
-        F.when(F.col("section") == 0, "Preamble").otherwise(F.col("heading")).alias("heading"),
-        F.array_join("said", "\n").alias("content"),
+        "section_no",
+        F.when(preamble, 0).when(marker.startswith("#"), F.char_length(marker)).otherwise(numbered).cast("int").alias("level"),
+        F.when(preamble, "Preamble").otherwise(F.regexp_extract("line", HEADING, 2)).alias("heading"),
+        F.when(preamble, F.col("line")).otherwise(F.array_join(below, "\n")).alias("content"),
         F.lit(x).alias("x"),
-        (F.lit(y) + F.col("first") * F.col("tall")).alias("y"),
+        (F.lit(y) + F.col("first") * tall).cast("int").alias("y"),
         F.lit(w).alias("w"),
-        (tall * F.col("tall")).cast("int").alias("h"),
+        (F.when(preamble, 1).otherwise(F.col("next") - F.col("first")) * tall).cast("int").alias("h"),
     )
 
 

@@ -63,9 +63,14 @@ def queue_score(priority: Column, enqueued: Column, intended: bool = False) -> C
     return at - step if intended else at + step
 
 
-def queue_positions(queue: DataFrame, intended: bool = False) -> DataFrame:
-    rows = queue.withColumn("score", queue_score(F.col("priority"), F.col("enqueued_at"), intended))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("score", "job_id")))
+def queue_positions(queue: DataFrame, intended: bool = False, band: int = 3600) -> DataFrame:
+    """queue with `score` and `position` from 1.  Scores fall into bands; the bands' counts are summed up
+    in order, and jobs are numbered inside their band, so no task sorts the whole queue."""
+    rows = queue.withColumn("score", queue_score(F.col("priority"), F.col("enqueued_at"), intended)).withColumn("__band", F.floor(F.col("score") / band))
+    counts = rows.groupBy("__band").agg(F.count("*").alias("__n"))
+    before = counts.select("__band", (F.sum("__n").over(Window.orderBy("__band")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__band").orderBy("score", "job_id"))
+    return rows.join(before, "__band").withColumn("position", (F.col("__before") + nth).cast("long")).drop("__band", "__before")
 
 
 def dequeue(queue: DataFrame, n: int = 1, intended: bool = False) -> DataFrame:

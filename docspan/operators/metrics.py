@@ -18,17 +18,15 @@ SLOW_MS = 30_000
 def performance_stats(ops: DataFrame, keys: Sequence[str], value: str = "value", order: Sequence[str] = ("ts",), slow: float = SLOW_MS, history: int = 1000, recent: int = 100) -> DataFrame:
     """Counts, mean, mean of the last `recent`, and percentiles of the last `history`, for each key.
     A percentile p of n values is the one at n * p, rounded down, from 0, in ascending order."""
+    totals = ops.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col(value) > slow).alias("slow"), F.round(F.avg(value), 6).alias("mean"))
+    # the filter on the rank lets Spark drop all but the latest of each key before the shuffle
     latest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    rows = ops.withColumn("__back", F.row_number().over(latest))
-    near = F.array_sort(F.collect_list(F.when(F.col("__back") <= history, F.col(value))))
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col(value) > slow).alias("slow"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.avg(F.when(F.col("__back") <= recent, F.col(value))), 6).alias("mean_recent"),
-        near.alias("near"),
-    )
-    at = lambda p: F.element_at("near", F.floor(F.size("near") * F.lit(p)).cast("int") + 1)
+    last = ops.select(*keys, F.col(value).alias("__v"), F.row_number().over(latest).alias("__back")).filter(F.col("__back") <= max(history, recent))
+    near = F.array_sort(F.collect_list(F.when(F.col("__back") <= history, F.col("__v"))))
+    last = last.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.round(F.avg(F.when(F.col("__back") <= recent, F.col("__v"))), 6).alias("mean_recent"), near.alias("near"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
+    out = totals.join(last, same)
+    at = lambda p: F.get("near", F.floor(F.size("near") * F.lit(p)).cast("int"))
     return out.select(*keys, "total", "slow", F.round(F.col("slow") / F.col("total") * 100, 6).alias("slow_percent"), "mean", "mean_recent", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 

@@ -160,6 +160,7 @@ ORACLES: dict[str, str] = {
     "queue_unknown_jobs": f"SELECT id AS job_id, status FROM {JOBS} WHERE status = 'FAILED'",
     "queue_order": f"SELECT job_id, priority, t0 + priority * 1000000 AS score FROM {QUEUE} WHERE status = 'QUEUED' ORDER BY score, job_id LIMIT 50",
     "queue_order_intended": f"SELECT job_id, priority, t0 - priority * 1000000 AS score FROM {QUEUE} WHERE status = 'QUEUED' ORDER BY score, job_id LIMIT 50",
+    "queue_position": f"SELECT job_id, t0 + priority * 1000000 AS score, row_number() OVER (ORDER BY t0 + priority * 1000000, job_id) AS position FROM {QUEUE} WHERE status = 'QUEUED'",
     "queue_estimate": f"""SELECT queue_length, processing, completed, avg_ms, queue_length * avg_ms / 1000::DOUBLE AS wait_s, round(3600000 / avg_ms::DOUBLE, 6) AS per_hour FROM (SELECT count(*) FILTER (WHERE status = 'QUEUED') AS queue_length, count(*) FILTER (WHERE status = 'PROCESSING') AS processing,
   count(*) FILTER (WHERE status = 'COMPLETED') AS completed, (sum(ms) FILTER (WHERE status = 'COMPLETED') // count(*) FILTER (WHERE status = 'COMPLETED'))::BIGINT AS avg_ms FROM {QUEUE})""",
     "concurrency_slots": f"""WITH s AS (SELECT event_type, event_id AS id, ms, ms + floor(value * 60000)::BIGINT AS until FROM {EVENTS}), p AS (SELECT event_type, id, ms AS t0, 1 AS step FROM s UNION ALL SELECT event_type, id, until, -1 FROM s)

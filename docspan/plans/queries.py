@@ -414,6 +414,11 @@ def queue_order(spark, sf):
     return jobs.dequeue(c.queue(spark, sf).filter("status = 'QUEUED'"), 50).select("job_id", "priority", "score")
 
 
+@query
+def queue_position(spark, sf):
+    return jobs.queue_positions(c.queue(spark, sf).filter("status = 'QUEUED'"), band=86_400).select("job_id", "score", "position")
+
+
 @query
 def queue_order_intended(spark, sf):
     return jobs.dequeue(c.queue(spark, sf).filter("status = 'QUEUED'"), 50, intended=True).select("job_id", "priority", "score")
