@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Characters of items that are searched in one reading of the documents; more items take more readings.
 BLOCK_CHARS = 8_000_000
+#: An edit spoils this many of a pattern's character n-grams at most, so a text that lacks more than
+#: that for each edit of the budget is not near and needs no distance.
+GRAM = 4
 
 
 def normal(text: str | None) -> str:
@@ -57,6 +60,10 @@ def masks_of(pattern: str) -> dict[str, int]:
     return out
 
 
+def grams(text: str) -> list[str]:
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
 class Finder:
     """Finds items (number, text) in texts."""
 
@@ -73,6 +80,20 @@ class Finder:
         if pieces:
             self.pieces.make_automaton()
         self.masks: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
+        self.grams: dict[int, list[str]] = {}
+
+    def _may_hold(self, k: int, window: str) -> bool:
+        _, p, budget = self.items[k]
+        own = self.grams.get(k)
+        if own is None:
+            own = self.grams[k] = grams(p)
+        spare = GRAM * budget
+        for g in own:
+            if g not in window:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return True
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the nearest passage for each item within its budget, in
@@ -100,6 +121,8 @@ class Finder:
                 if exact >= 0:
                     best = (0, exact, exact + len(p))
                     break
+                if not self._may_hold(k, said[lo:hi]):
+                    continue
                 if k not in self.masks:
                     self.masks[k] = masks_of(p), masks_of(p[::-1])
                 forward, backward = self.masks[k]
