@@ -22,7 +22,9 @@ from docspan.llm.common import stored
 
 #: Vectors, expected, on which the index is fitted.
 SAMPLE = 8192
-#: Rows of a part for each task, and queries that meet them.
+#: Rows that a part should hold.
+PART_ROWS = 4096
+#: Most rows of a part for each task, and most queries that meet them.
 BLOCK, QUERIES = 16_384, 16_384
 SEED = 9_176
 
@@ -98,9 +100,9 @@ class Router:
 
 def fit(x: np.ndarray, rows: int, k: int, recall: float) -> tuple[Router, int, int]:
     """Router, number of parts, and of parts to search so that sample queries reach `recall`.
-    rows: of the whole table, by which parts are chosen to hold about BLOCK / 4 rows."""
+    rows: of the whole table, by which parts are chosen to hold about PART_ROWS."""
     parts = 1
-    while parts < 256 and parts * BLOCK // 4 < rows and parts * 64 < len(x):
+    while parts < 256 and parts * PART_ROWS < rows and parts * 64 < len(x):
         parts *= 2
     scale = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     unit = x / np.median(scale)
@@ -227,7 +229,8 @@ def search(vectors: DataFrame, is_query: str = "id % 20 = 0", k: int = 20, recal
 
     queries = stored(placed.filter(is_query).select("id", "x").mapInArrow(route, "id long, x array<double>, part int"), "queries")
     asked = {r[0]: r[1] for r in queries.groupBy("part").count().collect()}
-    plan = [(p, max(1, -(-held.get(p, 0) // BLOCK)), max(1, -(-asked.get(p, 0) // QUERIES))) for p in range(parts)]
+    block = min(BLOCK, max(1024, -(-rows // 64)))  # a small table still makes work for many tasks
+    plan = [(p, max(1, -(-held.get(p, 0) // block)), max(1, -(-asked.get(p, 0) // QUERIES))) for p in range(parts)]
     blocks = F.broadcast(spark.createDataFrame(plan, "part int, nb int, nq int"))
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

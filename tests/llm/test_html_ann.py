@@ -77,7 +77,7 @@ def test_few_vectors_are_searched_exactly(spark):
 
 
 def test_recall_of_the_learned_partition(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 1024)
+    monkeypatch.setattr(ann, "PART_ROWS", 256)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 4000)] + 0.4 * rng.normal(size=(4000, 16))).astype(np.float32).astype(float)
