@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,9 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         cols = [batch.column(k) for k in keys]
         change = None
         for c in cols:
-            differs = pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1))
-            change = differs if change is None else pa.compute.or_(change, differs)
-        cuts = [0, *(i + 1 for i in pa.compute.indices_nonzero(change).to_pylist()), batch.num_rows]
+            differs = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))
+            change = differs if change is None else pc.or_(change, differs)
+        cuts = [0, *(i + 1 for i in pc.indices_nonzero(change).to_pylist()), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             key = tuple(c[lo].as_py() for c in cols)
             if key != last and held:
@@ -70,7 +71,3 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield pa.Table.from_batches(held)
-
-
-def map_arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(make, schema)

@@ -163,7 +163,10 @@ class Pseudonyms:
         digits = re.sub("[^0-9]", "", s)
         if len(digits) in (10, 11) and (not s.startswith("+") or digits[0] == "1" and len(digits) == 11):
             lead, body = digits[:-10], digits[-10:]
-            return _refill(s, lead + self._digits("phone", body, _valid_phone)) if _valid_phone(int(body)) and lead in ("", "1") else None
+            fits = _valid_phone(int(body))
+            if lead not in ("", "1") or not fits and "(" not in s and "+" not in s:
+                return None  # written as a phone number, it is one even outside of the numbering plan
+            return _refill(s, lead + self._digits("phone", body, lambda n: _valid_phone(n) == fits))
         if s.startswith("+") and 8 <= len(digits) <= 15:
             lead = re.match(r"\+([0-9]{1,3})(?=[ -])", s)
             n = len(lead[1]) if lead else 2
