@@ -10,7 +10,9 @@
 3. Each node of a tile is first compared with the tile's smallest node.  Nodes that this links
    need no more comparisons with each other.  The rest of a tile is compared across these groups,
    block by block, on bitmaps: the bits in which two bitmaps differ bound the overlap from above.
-4. Pairs that the bound lets through are decided by intersecting the sorted arrays.
+   Of the pairs that the bound lets through, a tile names as many as join its groups.
+4. These are decided by intersecting the sorted arrays.  As long as some are no links, tiles name
+   others in their place; the last round names all that are left.
 5. Links become components.
 
 So every pair of nodes at or over the threshold is either linked by an exact check or joined by a
@@ -63,8 +65,9 @@ class Rule:
         return spare + 1 + math.ceil(spare / 32)
 
     def bits(self, band: int) -> int:
-        """Length of a bitmap: four times the budget, in whole 64-bit words."""
-        return 64 * max(1, math.ceil(4 * self.budget(band) / 64))
+        """Length of a bitmap: eight times the budget, in whole 64-bit words, so that few pairs just
+        under the threshold get through."""
+        return 64 * max(1, math.ceil(8 * self.budget(band) / 64))
 
     def linked(self, both: int, n: int, m: int) -> bool:
         return self.of * both >= self.share * (n + m - both)
@@ -149,7 +152,7 @@ def _emit(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
+    """(a, b, linked) for those of the pairs (a, b) that the bitmaps let through."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -165,8 +168,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             for i in range(t.num_rows):
                 s, r = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
                 ok.append(rule.linked(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
     # the smaller set comes first, so that its own bitmap meets the other's for the same band
     info = sets.select("node", "n", "band", "own", "below")
@@ -178,7 +180,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     close = met.mapInArrow(bound, "a long, b long")
     arrays = sets.select("node", "shingles")
     close = close.join(arrays.toDF("a", "sa"), "a").join(arrays.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return close.mapInArrow(decide, "a long, b long")
+    return close.mapInArrow(decide, "a long, b long, linked boolean")
 
 
 def _may_link(rule: Rule, n: int, m: int, x: bytes | None, y: bytes | None) -> bool:
@@ -189,41 +191,54 @@ def _may_link(rule: Rule, n: int, m: int, x: bytes | None, y: bytes | None) -> b
     return rule.linked((n + m - differ) // 2, n, m)
 
 
-def _tile_pairs(rest: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of nodes of one tile in different groups that the bitmaps let through.  rest: (key,
-    ti, tj, block, node, label, n, band, own, below), a tile being (key, ti, tj)."""
+def _tile_pairs(rest: DataFrame, rule: Rule, all_pairs: bool) -> DataFrame:
+    """(key, a, b): pairs of nodes of one tile in different groups that the bitmaps let through, as many
+    as join the groups that can be joined, or all.  rest: (key, ti, tj, block, node, label, n, band, own,
+    below, no), a tile being (key, ti, tj) and no the smaller nodes known to be no link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, ["key", "ti", "tj"]):
             ti, tj = t.column("ti")[0].as_py(), t.column("tj")[0].as_py()
             node, label, n, band, block = (t.column(c).to_numpy() for c in ("node", "label", "n", "band", "block"))
-            own, below = (t.column(c).to_pylist() for c in ("own", "below"))
+            own, below, no = (t.column(c).to_pylist() for c in ("own", "below", "no"))
             # all sets of a tile use one band's bitmaps: that of the smallest
             at = band.min()
             bits = np.stack([np.frombuffer(own[i] if band[i] == at else below[i], np.uint8) for i in range(len(node))])
             bits = np.ascontiguousarray(bits).view(np.uint64)
-            left = np.flatnonzero(block == ti)
+            group = np.unique(label, return_inverse=True)[1]
             right = np.flatnonzero(block == tj)
             found_a, found_b = [], []
-            for i in left:
-                other = right[(label[right] != label[i]) & ((ti != tj) | (right > i))]
+            for i in np.flatnonzero(block == ti):  # in order of node, so the other is larger in a tile of one block
+                other = right[(group[right] != group[i]) & ((ti != tj) | (right > i))]
                 if not len(other):
                     continue
                 differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 both = (n[other] + n[i] - differ) // 2
                 ok = other[(rule.of * both >= rule.share * (n[other] + n[i] - both)) & (rule.of * np.minimum(n[other], n[i]) >= rule.share * np.maximum(n[other], n[i]))]
+                ok = np.array([j for j in ok.tolist() if not _refuted(node, no, i, j)], np.int64)
+                if not len(ok):
+                    continue
+                if not all_pairs:
+                    ok = ok[np.unique(group[ok], return_index=True)[1]]  # one a group, which then is this one's
+                    group[np.isin(group, group[ok])] = group[i]
                 found_a.append(np.minimum(node[ok], node[i]))
                 found_b.append(np.maximum(node[ok], node[i]))
             if found_a:
-                yield _emit(["a", "b"], np.concatenate(found_a), np.concatenate(found_b))
+                a = np.concatenate(found_a)
+                yield _emit(["key", "a", "b"], np.full(len(a), t.column("key")[0].as_py()), a, np.concatenate(found_b))
 
-    return rest.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "node").mapInArrow(run, "a long, b long")
+    return rest.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "node").mapInArrow(run, "key long, a long, b long")
 
 
-def jaccard_links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, star): rows as shingle_rows gives them; links (a, b) between nodes, of which
-    every pair over the threshold is one or is joined by a chain; star (node, label), the groups
-    that the first comparison made."""
+def _refuted(node: np.ndarray, no: list[list[int] | None], i: int, j: int) -> bool:
+    if node[i] > node[j]:
+        i, j = j, i
+    return bool(no[j]) and int(node[i]) in no[j]
+
+
+def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): rows as shingle_rows gives them; labels (node, label), the component of each
+    linked node, in which every pair over the threshold is linked or joined by a chain of links."""
     rows = stored(shingle_rows(docs, rule, id_col, text_col), "shingled")
     nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")), "nodes")
 
@@ -253,21 +268,33 @@ def jaccard_links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     wanted = small(stored(nodes.join(tiles.select("node").distinct(), "node", "left_semi"), "wanted"))
     sets = stored(_texts(docs, wanted, id_col, text_col).mapInArrow(arrays, "node long, n long, band int, own binary, below binary, shingles binary").dropDuplicates(["node"]), "sets")
 
-    first = stored(tiles.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "first")
-    stars = stored(_exact(first, sets, rule), "stars")
-    star = stored(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "star")
-
-    # what the first comparison left: tiles of several groups
-    grouped = tiles.join(star, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    grouped = grouped.select("key", "node", "label", F.min("label").over(tile).alias("least"), F.max("label").over(tile).alias("most"), F.count("*").over(tile).alias("size"))
-    grouped = grouped.filter("least < most").join(sets.select("node", "n", "band", "own", "below"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = grouped.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "node", "label", "n", "band", "own", "below")
-    second = _tile_pairs(rest, rule).distinct().join(first, ["a", "b"], "left_anti")
-    links = stored(_exact(stored(second, "second"), sets, rule).unionByName(stars), "links")
-    return rows, links, star
+    first = tiles.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    tested = stored(_exact(stored(first, "first"), sets, rule), "tested")
+    labels = stored(tested.filter("linked").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "star")
+    tiles = tiles.filter("node <> lead").select("key", "node")  # all pairs with the smallest node are decided
+    for last in (False, False, False, True):
+        # what is left: tiles of several groups, and of tiles with the same nodes one
+        grouped = tiles.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        over = lambda x: x.over(tile)
+        grouped = grouped.select("key", "node", "label", over(F.min("label")).alias("least"), over(F.max("label")).alias("most"), over(F.count("*")).alias("size"), over(F.bit_xor(F.xxhash64("node"))).alias("sign"), over(F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("more"))
+        grouped = stored(grouped.filter("least < most").select("key", "node", "label", "size", "sign", "more"), "grouped")
+        single = grouped.groupBy("sign", "more", "size").agg(F.min("key").alias("key")).select("key")
+        tiles = stored(grouped.join(single, "key", "left_semi").select("key", "node", "label", "size"), "tiles")
+        no = tested.filter("not linked").groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("no"))
+        rest = tiles.join(sets.select("node", "n", "band", "own", "below"), "node").join(no, "node", "left")
+        rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "node", "label", "n", "band", "own", "below", "no")
+        named = stored(_tile_pairs(rest, rule, last), "named")
+        more = stored(_exact(stored(named.select("a", "b").distinct(), "pairs"), sets, rule), "tested")
+        # tiles of which a named pair is no link name others
+        again = named.join(more.filter("not linked"), ["a", "b"]).select("key").distinct()
+        tiles = stored(tiles.join(again, "key", "left_semi").select("key", "node"), "tiles")
+        tested = stored(tested.unionByName(more), "tested")
+        labels = connected(tested.filter("linked"), labels)
+        if last or not tiles.limit(1).count():
+            break
+    return rows, labels
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,9 +307,7 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str =
     Other columns are not read.
     """
     rule = rule or Rule()
-    rows, links, star = jaccard_links(docs, rule, id_col, text_col)
-    # star's label is a linked, smaller node
-    labels = connected(links, star)
+    rows, labels = linked_nodes(docs, rule, id_col, text_col)
     heads = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     heads = heads.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     heads = stored(heads, "heads")
@@ -296,8 +321,7 @@ def keep_one(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id",
     by the row's fingerprint; rows with an empty set all stay.  Of repeated rows (equal id and
     text) one stays."""
     rule = rule or Rule()
-    rows, links, star = jaccard_links(docs, rule, id_col, text_col)
-    labels = connected(links, star)
+    rows, labels = linked_nodes(docs, rule, id_col, text_col)
     heads = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
     heads = heads.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head"))
     kept = stored(heads.select(F.col("head.row").alias("__row")).distinct(), "kept")
