@@ -76,7 +76,7 @@ class Router:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     @classmethod
-    def fit(cls, x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 25, batch: int = 256, seed: int = SEED) -> Router:
+    def fit(cls, x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 15, batch: int = 256, seed: int = SEED) -> Router:
         """target: for each row the share of its neighbours in each part."""
         rng = np.random.default_rng(seed)
         d, k = x.shape[1], target.shape[1]
@@ -108,9 +108,11 @@ def fit(x: np.ndarray, rows: int, k: int, recall: float) -> tuple[Router, int, i
     unit = x / np.median(scale)
     if parts == 1 or len(x) < 4 * k:
         return Router.fit(unit[:1], np.ones((1, 1)), epochs=0), 1, 1
-    sims = unit @ unit.T
-    np.fill_diagonal(sims, -np.inf)
-    near = np.argpartition(-sims, k, axis=1)[:, :k]
+    near = np.empty((len(x), k), np.int64)
+    for lo in range(0, len(x), 256):  # in strips, to keep the driver's memory small
+        sims = unit[lo : lo + 256] @ unit.T
+        sims[np.arange(len(sims)), np.arange(lo, lo + len(sims))] = -np.inf
+        near[lo : lo + 256] = np.argpartition(sims, len(x) - k, axis=1)[:, len(x) - k :]
     part = cut_graph(near[:, : min(k, 10)], parts, unit)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), k), part[near].ravel()), 1 / k)
