@@ -23,7 +23,7 @@ from docspan.llm.common import stored
 #: Vectors, expected, on which the index is fitted.
 SAMPLE = 8192
 #: Rows that a part should hold.
-PART_ROWS = 4096
+PART_ROWS = 8192
 #: Most rows of a part for each task, and most queries that meet them.
 BLOCK, QUERIES = 16_384, 16_384
 SEED = 9_176
@@ -231,7 +231,7 @@ def search(vectors: DataFrame, is_query: str = "id % 20 = 0", k: int = 20, recal
 
     queries = stored(placed.filter(is_query).select("id", "x").mapInArrow(route, "id long, x array<double>, part int"), "queries")
     asked = {r[0]: r[1] for r in queries.groupBy("part").count().collect()}
-    block = min(BLOCK, max(1024, -(-rows // 64)))  # a small table still makes work for many tasks
+    block = min(BLOCK, max(4096, -(-rows // 64)))  # a small table still makes work for many tasks
     plan = [(p, max(1, -(-held.get(p, 0) // block)), max(1, -(-asked.get(p, 0) // QUERIES))) for p in range(parts)]
     blocks = F.broadcast(spark.createDataFrame(plan, "part int, nb int, nq int"))
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
