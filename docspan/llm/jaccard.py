@@ -236,6 +236,17 @@ def _refuted(node: np.ndarray, no: list[list[int] | None], i: int, j: int) -> bo
     return bool(no[j]) and int(node[i]) in no[j]
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after each group took the smallest label of those that the links (a, b) tie
+    it to.  This is one step, not the whole component: enough to leave out comparisons."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(ends.withColumn("label", F.col("node")))
+    name = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ties = links.join(name("a"), "a").join(name("b"), "b").filter("la <> lb").select("la", "lb")
+    ties = ties.union(ties.select("lb", "la")).groupBy(F.col("la").alias("label")).agg(F.min("lb").alias("least"))
+    return known.join(ties, "label", "left").select("node", F.least("label", F.coalesce("least", "label")).alias("label"))
+
+
 def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows as shingle_rows gives them; labels (node, label), the component of each
     linked node, in which every pair over the threshold is linked or joined by a chain of links."""
@@ -290,11 +301,11 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
         # tiles of which a named pair is no link name others
         again = named.join(more.filter("not linked"), ["a", "b"]).select("key").distinct()
         tiles = stored(tiles.join(again, "key", "left_semi").select("key", "node"), "tiles")
-        tested = stored(tested.unionByName(more), "tested")
-        labels = connected(tested.filter("linked"), labels)
+        tested = tested.unionByName(more)
         if last or not tiles.limit(1).count():
             break
-    return rows, labels
+        labels = stored(_joined(labels, more.filter("linked")), "groups")
+    return rows, connected(tested.filter("linked"), labels)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
