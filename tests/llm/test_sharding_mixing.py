@@ -81,8 +81,8 @@ def test_mix_meets_targets(spark):
     for s, t in zip(names, targets, strict=True):
         rows = [r for r in got if r["source"] == s]
         assert all(r["target"] == pytest.approx(t) and r["source_size"] == want[s] and 0 <= r["copies"] <= 2 for r in rows)
-        smallest = min((r["size"] for r in rows if r["size"]), default=0)
-        assert abs(sum(r["copies"] * r["size"] for r in rows) - t) <= smallest / 2 + 1e-3 * t + 1
+        largest = max((r["size"] for r in rows), default=0)  # whole copies: half a document at worst
+        assert abs(sum(r["copies"] * r["size"] for r in rows) - t) <= largest / 2 + 1
     again = mixing.mix(df).collect()
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, again), key=key)
     assert all(r["copies"] == 1 for r in got if r["size"] == 0)
