@@ -4,8 +4,9 @@ Counts of tokens and token pairs over the training documents are exact and summe
 filter holds each n-gram once for every level of its count (level j from 2^(j-1) occurrences on),
 so a reader finds the level by probing one level after another until one is missing.  Pairs seen
 `min_count` times at least go in.  The filter is built in segments by Spark tasks; their number
-follows the n-grams, up to `max_bytes` for all, which is what workers are sent.  Should all levels
-not fit, the rarest counts stay out.
+follows the n-grams, so every level of every count is held at every size.  Up to `max_bytes` all
+segments are sent to the workers.  Beyond that they stay in the shared folder, and n-grams are sent
+to the task of their segments, which answers with their levels; scores are the same.
 
 p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N + V + 1), on the counts that
 the filter gives back.
@@ -13,6 +14,7 @@ the filter gives back.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import stored
+from docspan.llm.common import sorted_runs, stored
 from docspan.llm.words import in_chunks, mix, word_hashes
 
 SEGMENT_BITS = 1 << 23
@@ -32,6 +34,9 @@ END = np.uint64(0xE2D0_0000_0000_0001)
 BEGIN = np.uint64(0xB361_0000_0000_0001)
 #: The most frequent tokens, whose exact counts workers are sent.
 HEAD = 100_000
+#: Segments that one task answers for, and the bytes of text, about, whose n-grams it is asked.
+BLOCK = 8
+ASKED_BYTES = 64 << 20
 
 
 def in_training(id_col: str, parts: int = 7, held_out: int = 2) -> Column:
@@ -63,7 +68,8 @@ def estimate(levels: np.ndarray) -> np.ndarray:
 @dataclass
 class Filter:
     segments: int
-    bits: np.ndarray  # bytes of all segments in turn
+    bits: np.ndarray | None  # bytes of all segments in turn, unless they are too large for that
+    filled: DataFrame | None = None  # then (segment, bits), stored
 
     @staticmethod
     def places(h: np.ndarray, lev: int, probe: int) -> np.ndarray:
@@ -72,19 +78,23 @@ class Filter:
         return mix(h + np.uint64(salt)) & np.uint64(SEGMENT_BITS - 1)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Level of each hash: how many levels in turn have all their bits."""
-        out = np.zeros(len(h), np.int64)
-        base = (mix(h) % np.uint64(self.segments)) * np.uint64(SEGMENT_BITS)
-        live, lev = np.arange(len(h)), 0
-        while len(live):
-            lev += 1
-            for probe in range(PROBES):
-                at = base[live] + self.places(h[live], lev, probe)
-                live = live[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
-            out[live] = lev
-        return out
+        return probe_levels(self.bits, mix(h) % np.uint64(self.segments), h)
+
+
+def probe_levels(bits: np.ndarray, segment: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Level of each hash: how many levels in turn have all their bits.  segment: by its place in bits."""
+    out = np.zeros(len(h), np.int64)
+    base = segment * np.uint64(SEGMENT_BITS)
+    live, lev = np.arange(len(h)), 0
+    while len(live):
+        lev += 1
+        for probe in range(PROBES):
+            at = base[live] + Filter.places(h[live], lev, probe)
+            live = live[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                break
+        out[live] = lev
+    return out
 
 
 def counted(docs: DataFrame, text_col: str, pairs: bool) -> DataFrame:
@@ -103,13 +113,9 @@ def counted(docs: DataFrame, text_col: str, pairs: bool) -> DataFrame:
 
 
 def build_filter(counts: DataFrame, max_bytes: int) -> Filter:
-    """counts: (h, c), stored."""
+    """counts: (h, c), stored.  The filter's bits are with it if they have max_bytes at most."""
     leveled = counts.select("h", level(F.col("c")).alias("level"))
-    load = {r.level: r["count"] * r.level for r in leveled.groupBy("level").count().collect()}
-    least, room = 1, max_bytes * 8 // BITS_PER_ITEM
-    while sum(x for lev, x in load.items() if lev >= least) > room:
-        least += 1
-    items = sum(x for lev, x in load.items() if lev >= least)
+    items = leveled.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
     segments = max(1, -(-items * BITS_PER_ITEM // SEGMENT_BITS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +134,10 @@ def build_filter(counts: DataFrame, max_bytes: int) -> Filter:
         for s, bits in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-    tagged = leveled.filter(F.col("level") >= least).mapInArrow(_with_segment(segments), "segment int, h long, level int")
+    tagged = leveled.mapInArrow(_with_segment(segments), "segment int, h long, level int")
     filled = tagged.repartition(segments, "segment").select("h", "level").mapInArrow(fill, "segment int, bits binary")
+    if segments * SEGMENT_BITS // 8 > max_bytes:
+        return Filter(segments, None, stored(filled, "segments"))
     whole = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for row in filled.toLocalIterator():
         lo = row.segment * SEGMENT_BITS // 8
@@ -164,11 +172,71 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
     known = (head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order])
     starts = spark.createDataFrame([(int(BEGIN.view(np.int64)), learn.count())], "h long, c long").filter("c > 0")
     grams = tokens.unionByName(pairs).unionByName(starts)
-    sent = spark.sparkContext.broadcast((known, build_filter(grams, max_bytes)))
+    held = build_filter(grams, max_bytes)
+    sent = spark.sparkContext.broadcast((known, held if held.filled is None else None))
     whole = float(n + v + 1)
+    segments, blocks = held.segments, -(-held.segments // BLOCK)
+    chars = 0 if held.filled is None else src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    deals = max(1, -(-chars // (blocks * ASKED_BYTES)))
+
+    def likely(both: np.ndarray, cv: np.ndarray, cw: np.ndarray) -> np.ndarray:
+        """log10 p(w | v) of each position, from the filter's counts."""
+        return np.log10((np.minimum(both, np.minimum(cw, cv)) + mu * (cw + 1.0) / whole) / (cv + mu))
+
+    def questions(key: int, w: np.ndarray, before: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What a chunk asks of each block, and how to put the answers together."""
+        one, at = np.unique(np.append(w, BEGIN), return_inverse=True)
+        h = np.concatenate([one, pair_hash(before, w)])
+        block = (mix(h) % np.uint64(segments) // np.uint64(BLOCK)).astype(np.min_scalar_type(blocks))
+        order = np.argsort(block, kind="stable")
+        asked, first = np.unique(block[order], return_index=True)
+        blobs = [h[x].tobytes() for x in np.split(order, first[1:])]
+        recipe = pickle.dumps((size, at.astype(np.min_scalar_type(len(one))), len(one), block))
+        deal = key // (1 << 40) * 31 + key % (1 << 40)
+        k = len(blobs) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, key)), *(pa.nulls(k, kind) for kind in kinds[1:]), pa.array([-1, *asked.tolist()], pa.int32()), pa.array([deal, *[deal % deals] * (k - 1)], pa.int64()), pa.array([recipe, *blobs], pa.binary())],
+            [*names, *more],
+        )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of block, its bits (key -1) first: questions become levels, the rest stays."""
+        now, bits = None, None
+        for t in batches:
+            at = {x: t.schema.get_field_index(x) for x in ("key", "n", "block", "blob")}
+            blobs, keep = [], []
+            for key, segment, block, blob in zip(*(t.column(at[x]).to_pylist() for x in ("key", "n", "block", "blob")), strict=True):
+                keep.append(key >= 0)
+                if block is not None and block >= 0:
+                    if block != now:
+                        now, bits = block, np.zeros(BLOCK * SEGMENT_BITS // 8, np.uint8)
+                    if key < 0:
+                        lo = segment % BLOCK * SEGMENT_BITS // 8
+                        bits[lo : lo + SEGMENT_BITS // 8] = np.frombuffer(blob, np.uint8)
+                        blob = None
+                    else:
+                        h = np.frombuffer(blob, np.uint64)
+                        blob = probe_levels(bits, mix(h) % np.uint64(segments) % np.uint64(BLOCK), h).astype(np.uint8).tobytes()
+                blobs.append(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()) if i == at["blob"] else c for i, c in enumerate(t.columns)], t.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's answers, its recipe first, to scores."""
+        for t in sorted_runs(batches, ["key"]):
+            key, blobs = t.column("key")[0].as_py(), t.column("blob").to_pylist()
+            size, at, ones, block = pickle.loads(blobs[0])
+            levels = np.zeros(len(block), np.int64)
+            for b, blob in zip(t.column("block").to_pylist()[1:], blobs[1:], strict=True):
+                levels[block == b] = np.frombuffer(blob, np.uint8)
+            c = estimate(levels)
+            token, both = c[:ones][at], c[ones:]
+            before = np.insert(token[:-1][: len(both) - 1], 0, token[-1])
+            before[np.cumsum(size) - size] = token[-1]
+            text = np.repeat(np.arange(len(size)), size)
+            yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(size))), pa.array(np.bincount(text, likely(both, before, token[:-1]), minlength=len(size)))], ["key", "answered"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head_h, head_c), held = sent.value
+        (head_h, head_c), here = sent.value
         next_key = TaskContext.get().partitionId() << 40
         for t in batches:
             ids, texts, train = t.column(0), t.column(1).to_pylist(), t.column(2)
@@ -181,19 +249,17 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
                 hit = head_h[at] == w if len(head_h) else np.zeros(len(w), bool)
                 base = sums(np.where(hit, np.log10(((head_c[at] if len(head_h) else np.zeros(len(w))) + 1.0) / whole), 0.0))
                 # the model
-                one, back = np.unique(np.concatenate([w, before]), return_inverse=True)
-                c = estimate(held.levels(one))[back]
-                cw, cv = c[: len(w)], c[len(w) :]
-                two, back = np.unique(pair_hash(before, w), return_inverse=True)
-                both = np.minimum(estimate(held.levels(two))[back], np.minimum(cw, cv))
-                p = (both + mu * (cw + 1.0) / whole) / (cv + mu)
+                if here is not None:
+                    one, back = np.unique(np.concatenate([w, before]), return_inverse=True)
+                    c = estimate(here.levels(one))[back]
+                    two, back = np.unique(pair_hash(before, w), return_inverse=True)
+                    scores = pa.array(sums(likely(estimate(here.levels(two))[back], c[len(w) :], c[: len(w)])))
+                else:
+                    scores = none(pa.float64(), hi - lo)
+                    yield from questions(next_key, w, before, size)
                 keys = next_key + np.arange(hi - lo)
                 next_key += hi - lo
-                none = lambda kind, k: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), ids.slice(lo, hi - lo), train.slice(lo, hi - lo), pa.array(size), pa.array(sums(hit).astype(np.int64)), pa.array(base), pa.array(sums(np.log10(p))), none(pa.int64(), hi - lo)],
-                    names,
-                )
+                yield row_batch([pa.array(keys), ids.slice(lo, hi - lo), train.slice(lo, hi - lo), pa.array(size), pa.array(sums(hit).astype(np.int64)), pa.array(base), scores, none(pa.int64(), hi - lo)])
                 rest = np.flatnonzero(~hit)
                 order = np.lexsort((w[rest], text[rest]))
                 rw, rt = w[rest][order], text[rest][order]
@@ -201,17 +267,34 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
                     first = np.flatnonzero(np.concatenate([[True], (rw[1:] != rw[:-1]) | (rt[1:] != rt[:-1])]))
                     times = np.diff(np.append(first, len(rw)))
                     k = len(first)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[rt[first]]), none(pa.int64(), k), none(pa.bool_(), k), pa.array(times), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array(rw[first].view(np.int64))],
-                        names,
-                    )
+                    yield row_batch([pa.array(keys[rt[first]]), none(pa.int64(), k), none(pa.bool_(), k), pa.array(times), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array(rw[first].view(np.int64))])
+
+    names, more = ["key", "doc_id", "train", "n", "known", "base", "score", "h"], ["block", "deal", "blob"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    none = lambda kind, k: pa.nulls(k, kind)
+
+    def row_batch(columns: list[pa.Array]) -> pa.RecordBatch:
+        k = len(columns[0])
+        extra = [] if everywhere else [pa.nulls(k, pa.int32()), columns[0], pa.nulls(k, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *extra], [*names, *([] if everywhere else more)])
 
-    names = ["key", "doc_id", "train", "n", "known", "base", "score", "h"]
+    everywhere = held.filled is None
+    fields = "key long, doc_id long, train boolean, n long, known long, base double, score double, h long"
     # stored once, so that keys, which depend on the task, stay what they are
-    read = stored(src.mapInArrow(run, "key long, doc_id long, train boolean, n long, known long, base double, score double, h long"), "scored")
+    if everywhere:
+        read = stored(src.mapInArrow(run, fields), "scored")
+    else:
+        asked = src.mapInArrow(run, f"{fields}, block int, deal long, blob binary")
+        bits = held.filled.select(F.lit(-1).cast("long").alias("key"), F.col("segment").cast("long").alias("n"), F.floor(F.col("segment") / BLOCK).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("deal"), F.col("bits").alias("blob"))
+        rows = asked.unionByName(bits, allowMissingColumns=True).repartition(max(blocks * deals, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "deal")
+        done = stored(rows.sortWithinPartitions("block", "deal", "key").mapInArrow(answer, asked.schema), "scored")
+        scores = done.filter("block is not null").select("key", "block", "blob").repartition("key").sortWithinPartitions("key", "block").mapInArrow(together, "key long, answered double")
+        read = done.filter("block is null")
     rare = read.filter("h is not null").select("key", "h", "n").join(tokens, "h", "left")
     rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / whole)).alias("part"))
     out = read.filter("h is null").join(rare, "key", "left")
+    if not everywhere:
+        out = out.join(scores, "key").withColumn("score", F.col("answered"))
     return out.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

@@ -63,6 +63,18 @@ def test_model_beats_base_on_held_out_text(spark):
     assert got[0] > 0.6 * got[1]
 
 
+def test_filter_beyond_one_broadcast_scores_the_same(spark, monkeypatch):
+    df = odd_documents(spark).union(odd_documents(spark))
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 20_000)  # many segments
+    monkeypatch.setattr(lm, "BLOCK", 2)
+    monkeypatch.setattr(lm, "ASKED_BYTES", 20_000)
+    rows = lambda **kw: sorted(((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(df, lm.in_training("doc_id"), **kw).collect()))
+    grams = spark.createDataFrame([(i, 1) for i in range(5000)], "h long, c long")
+    held = lm.build_filter(grams, 1)
+    assert held.bits is None and held.filled.count() == held.segments > 2 * lm.BLOCK
+    assert rows(max_bytes=1) == rows(max_bytes=1 << 30)
+
+
 def test_score_of_nothing(spark):
     assert lm.score(no_documents(spark), lm.in_training("doc_id")).collect() == []
     only = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
