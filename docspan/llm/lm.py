@@ -154,7 +154,7 @@ def _with_segment(segments: int):
     return run
 
 
-def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int = 2, max_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int = 1, max_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training tells the rows to learn from.  A null text is empty: its end is its only token.

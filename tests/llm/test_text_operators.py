@@ -75,6 +75,12 @@ def test_filter_beyond_one_broadcast_scores_the_same(spark, monkeypatch):
     assert rows(max_bytes=1) == rows(max_bytes=1 << 30)
 
 
+def test_pairs_that_occur_once_count(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c d"), (11, "a b"), (12, "a d")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 10).collect()}
+    assert got[11] > got[12] + 0.01
+
+
 def test_score_of_nothing(spark):
     assert lm.score(no_documents(spark), lm.in_training("doc_id")).collect() == []
     only = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
