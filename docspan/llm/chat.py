@@ -9,10 +9,10 @@ Everything is DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspan.llm.common import BROADCAST_ROWS, stored
+from docspan.llm.common import small, stored
 
 #: Turns of a dialogue that one example holds at most; a longer one is rendered in parts.
 PART_TURNS = 512
@@ -31,24 +31,27 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, conv_col: str = "conv
     part and participant.  mask: spans [start, end) in characters of text, in order.
 
     Turns are in order of turn (null last), then of role and text.  Part k holds the turns from
-    k * part_turns on; null turns are in a part of their own, as null.  Should equal turn numbers
-    make a part larger than PART_ROWS, it is dealt by a hash of its rows into parts that end in .1,
-    .2 and so on.  A null role is the participant "unknown", a null text empty.  Rows without a
-    conv_id are one dialogue.  Parts in which only the system speaks have no participant, so no row.
-    Repeated rows are repeated turns; other columns are not read.
+    k * part_turns on.  Each part is rendered for every participant of the dialogue, silent there or
+    not, and begins with all system turns of the parts before it, which n_turns counts too.  Should
+    equal turn numbers make a part larger than PART_ROWS, it is cut in that order into parts that
+    end in .1, .2 and so on.  Turns without a number are a dialogue of their own, with part null.  A
+    null role is the participant "unknown", a null text empty.  Rows without a conv_id are one
+    dialogue.  Dialogues in which only the system speaks have no participant, so no row.  Repeated
+    rows are repeated turns; other columns are not read.
     """
     role = F.coalesce(F.nullif(F.trim(F.col(role_col).cast("string")), F.lit("")), F.lit("unknown"))
     src = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), _plain(role).alias("role"), _plain(F.col(text_col)).alias("text"))
     src = src.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
-    crowded = stored(src.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > PART_ROWS), "crowded")
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("rows") / PART_ROWS).alias("deals"))
-    crowded = F.broadcast(crowded) if crowded.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else crowded
-    src = src.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")), "left")
-    src = src.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("deals")), F.lit(0)))
-
-    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
-    talks = src.groupBy("conv_id", "part", "deal").agg(F.array_sort(F.collect_list(message)).alias("said"))
+    src = src.withColumn("late", F.col("turn").isNull())
+    message = F.struct("late", "turn", "role", "text")
+    long = stored(src.groupBy("conv_id", "late").agg(F.count("*").alias("rows"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter((F.col("rows") > PART_ROWS) | (F.col("hi") > F.col("lo"))), "long")
+    rows = long.agg(F.sum("rows")).first()[0]
+    whole = src if rows is None else src.join(small(long), _same(src, long, "conv_id", "late"), "left_anti")
+    talks = whole.groupBy("conv_id", "late", "part").agg(F.array_sort(F.collect_list(message)).alias("said"))
     talks = talks.withColumn("perspective", F.explode(F.array_distinct(F.filter(F.transform("said", lambda m: m["role"]), lambda r: r != "system"))))
+    talks = talks.select("conv_id", "part", F.lit(0).cast("long").alias("deal"), "said", "perspective")
+    if rows is not None:
+        talks = talks.unionByName(_long_talks(src.join(small(long), _same(src, long, "conv_id", "late"), "left_semi"), message, rows))
 
     def piece(m: Column) -> Column:
         own = m["role"] == F.col("perspective")
@@ -71,3 +74,41 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, conv_col: str = "conv
     trained = F.aggregate("mask", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     part = F.when(F.col("deal") > 0, F.concat_ws(".", F.col("part").cast("string"), F.col("deal").cast("string"))).otherwise(F.col("part").cast("string"))
     return done.select("conv_id", part.alias("part"), "perspective", F.size("said").cast("long").alias("n_turns"), F.array_join(line, "").alias("text"), "mask", trained.alias("trained_chars"))
+
+
+def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Equal in these columns, nulls too."""
+    same = F.lit(True)
+    for n in names:
+        same = same & a[n].eqNullSafe(b[n])
+    return same
+
+
+def _long_talks(src: DataFrame, message: Column, rows: int) -> DataFrame:
+    """(conv_id, part, deal, said, perspective) of dialogues that have more than one part."""
+    conf = src.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    key = ["conv_id", "late", "part"]
+    # the position of a row in its part: its place in a slice of the sorted rows, and the slices before
+    src = stored(src.repartitionByRange(max(int(conf), rows // 100_000 + 1), *key, "turn", "role", "text").withColumn("slice", F.spark_partition_id()), "sliced")
+    before = F.sum("rows").over(Window.partitionBy(*key).orderBy("slice")) - F.col("rows")
+    offsets = stored(src.groupBy(*key, "slice").agg(F.count("*").alias("rows")).select(*(F.col(k).alias(f"o_{k}") for k in [*key, "slice"]), before.alias("offset")), "offsets")
+    same = F.col("slice") == F.col("o_slice")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    nth = F.row_number().over(Window.partitionBy("slice", *key).orderBy("turn", "role", "text")) - 1
+    src = src.withColumn("nth", nth).join(small(offsets), same)
+    src = stored(src.select(*key, F.floor((F.col("nth") + F.col("offset")) / PART_ROWS).alias("deal"), "turn", "role", "text"), "cut")
+
+    said = src.groupBy(*key, "deal").agg(F.array_sort(F.collect_list(message)).alias("said"))
+    # what the system has said in the parts before
+    parts = small(stored(src.select(*(F.col(k).alias(f"p_{k}") for k in [*key, "deal"])).distinct(), "parts"))
+    earlier = F.struct(F.coalesce("part", F.lit(0)), "deal") < F.struct(F.coalesce("p_part", F.lit(0)), "p_deal")
+    heads = src.filter(F.col("role") == "system").join(parts, F.col("conv_id").eqNullSafe(F.col("p_conv_id")) & (F.col("late") == F.col("p_late")) & earlier)
+    heads = heads.groupBy("p_conv_id", "p_late", "p_part", "p_deal").agg(F.array_sort(F.collect_list(message)).alias("head"))
+    same = F.col("deal") == F.col("p_deal")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    said = said.join(heads, same, "left").withColumn("said", F.when(F.col("head").isNull(), F.col("said")).otherwise(F.concat("head", "said")))
+    speakers = stored(src.filter(F.col("role") != "system").select(F.col("conv_id").alias("s_conv_id"), F.col("late").alias("s_late"), F.col("role").alias("perspective")).distinct(), "speakers")
+    said = said.join(small(speakers), F.col("conv_id").eqNullSafe(F.col("s_conv_id")) & (F.col("late") == F.col("s_late")))
+    return said.select("conv_id", "part", "deal", "said", "perspective")

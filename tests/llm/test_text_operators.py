@@ -287,3 +287,22 @@ def test_long_and_crowded_dialogues(spark, monkeypatch):
         assert mine == render([r[1:] for r in rows[part * 10 : min(25, part * 10 + 10)]])
     crowd = [r for r in got if r.conv_id == 2]
     assert sum(r.n_turns for r in crowd) == 50 and len(crowd) == 5 and {r.perspective for r in crowd} == {"a"}
+
+
+def test_parts_are_rendered_for_every_participant(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_ROWS", 10)
+    turns = [(i, "system" if i in (0, 12) or 20 <= i < 30 else "ann" if i < 10 else "bob", f"t{i}") for i in range(35)]
+    rows = [(1, *t) for t in turns] + [(None, 7, "cy" if i else "dee", f"m{i:02}") for i in range(35)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=10).collect()
+    shown = lambda r: (r.perspective, r.n_turns, r.text, [tuple(m) for m in r["mask"]], r.trained_chars)
+    for part in range(4):
+        mine = [t for t in turns if t[0] // 10 == part]
+        want = render([*(t for t in turns if t[1] == "system" and t[0] // 10 < part), *mine, (99, "ann", ""), (99, "bob", "")])
+        have = sorted(shown(r) for r in got if r.conv_id == 1 and r.part == str(part))
+        assert [w[0] for w in have] == ["ann", "bob"]
+        for h, w in zip(have, want, strict=True):
+            assert h[1] == w[1] - 2 and w[2].startswith(h[2]) and h[3] == w[3][:-1]
+    # equal turn numbers: cut in order, not scattered
+    crowd = sorted((r.part, r.perspective, re.findall(r"m\d\d", r.text)) for r in got if r.conv_id is None)
+    order = [f"m{i:02}" for i in range(1, 35)] + ["m00"]
+    assert crowd == [(f"0.{k}" if k else "0", who, order[10 * k : 10 * k + 10]) for k in range(4) for who in ("cy", "dee")]
