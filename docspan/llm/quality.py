@@ -26,9 +26,10 @@ from docspan.llm.words import in_chunks, mix
 SAMPLE = 4000
 WEIGHTS = 1 << 16
 SEED = 40_961
-#: A labeller votes bad on this share of good documents at most; without that bound, a kind of junk
-#: that few labellers see could be taken for good documents on which they err.
-MOST_FALSE = 0.01
+#: Beta prior of a labeller's share of bad votes on good documents: its mean, and the votes it counts
+#: for.  Without it, a kind of junk that few labellers see in a small corpus could be taken for good
+#: documents on which they err; more documents than that override it.
+FALSE_MEAN, FALSE_VOTES = 0.01, 200.0
 CHUNK = 256 << 10
 
 #: Name, words or lines needed for a vote, bad from, good to (for the last two, bad to, good from).
@@ -163,24 +164,23 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float
     """Probability that a pattern is good, and P(vote | class) of each labeller (class 0 bad, 1 good)
     among the votes it casts; where it casts none it says nothing.
 
-    It starts from how many vote bad, adds one of each vote to each class, and holds a labeller's bad
-    votes on good documents to MOST_FALSE."""
+    It starts from how many vote bad, adds one of each vote to the bad class, and to the good class the
+    votes of the prior (FALSE_MEAN, FALSE_VOTES)."""
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], float)
     votes = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     bad, good = (votes == 0).sum(axis=1), (votes == 2).sum(axis=1)
     post = np.where(bad >= 2, 0.02, np.where((bad == 1) & (good < 5), 0.2, np.where(bad == 1, 0.5, 0.95)))
     table = np.full((len(LABELLERS), 2, 3), 1 / 3)
+    prior = np.array([[1.0, 0.0, 1.0], [FALSE_MEAN * FALSE_VOTES, 0.0, (1 - FALSE_MEAN) * FALSE_VOTES]])
     for _ in range(rounds):
         share = (n * post).sum() / n.sum()
         share = min(max(share, 0.02), 0.98)
         for c, weight in enumerate((n * (1 - post), n * post)):
             for k in range(len(LABELLERS)):
-                seen = np.bincount(votes[:, k], weight, minlength=3) + 1.0
+                seen = np.bincount(votes[:, k], weight, minlength=3) + prior[c]
                 seen[1] = 0.0
                 table[k, c] = seen / seen.sum()
-        table[:, 1, 0] = np.minimum(table[:, 1, 0], MOST_FALSE)
-        table[:, 1, 2] = 1 - table[:, 1, 0]
         log = np.log(np.where(table > 0, table, 1.0))
         odds = np.log(share / (1 - share)) + sum(log[k, 1, votes[:, k]] - log[k, 0, votes[:, k]] for k in range(len(LABELLERS)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))

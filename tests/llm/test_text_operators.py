@@ -131,6 +131,18 @@ def test_em_finds_accuracies():
     assert np.mean([(post[p] > 0.5) == t for p, t in zip((votes @ 3 ** np.arange(k)).tolist(), truth, strict=True)]) > 0.97
 
 
+def test_em_finds_accuracies_of_labellers_that_err_on_good_documents():
+    rng = np.random.default_rng(0)
+    k = len(quality.LABELLERS)
+    truth = rng.random(20_000) < 0.8
+    hit = np.linspace(0.7, 0.95, k)
+    votes = np.where(rng.random((20_000, k)) < hit, truth[:, None], ~truth[:, None]) * 2
+    patterns = (votes @ 3 ** np.arange(k)).tolist()
+    post, table = quality.estimate(Counter(patterns))
+    assert np.abs(table[:, 1, 2] - hit).max() < 0.04 and np.abs(table[:, 0, 0] - hit).max() < 0.06
+    assert np.mean([(post[p] > 0.5) == t for p, t in zip(patterns, truth, strict=True)]) > 0.97
+
+
 # decontamination
 
 
