@@ -7,27 +7,30 @@
    parts than that, so linked sets agree in a part that holds shingles.  A part's content is the
    tile key: nodes with the same key share a tile.  No cap is set on tiles, and which shingles are
    frequent doesn't matter, since a part mixes several.
-3. Each node of a tile is first compared with the tile's smallest node.  Nodes that this links
-   need no more comparisons with each other.  The rest of a tile is compared across these groups,
-   block by block, on bitmaps: the bits in which two bitmaps differ bound the overlap from above.
-   Of the pairs that the bound lets through, a tile names as many as join its groups.
-4. These are decided by intersecting the sorted arrays.  As long as some are no links, tiles name
-   others in their place; the last round names all that are left.
-5. Links become components.
+3. A tile's hub is the node that shares most tiles, so near copies of one text tend to have the same
+   hub in all of their tiles.  Each node is compared with its tiles' hubs: the bits in which two bitmaps
+   differ bound the overlap from above, and what gets through is decided on the sorted arrays.
+4. What a tile still holds in several groups is compared, block by block, on bitmaps: nodes outside of
+   the hub's group with all others.  Of the pairs that get through, a block names as many as would join
+   its groups, and these are decided on the arrays.
+5. Tiles of which a named pair turns out to be no link are gone through once more with the arrays at
+   hand, every pair of different groups that the bitmaps let through being decided there.
+6. Links become components.
 
 So every pair of nodes at or over the threshold is either linked by an exact check or joined by a
-chain of exact links; nothing is sampled or capped.
+chain of exact links; nothing is sampled or capped.  (A sample only tells which tiles are large: their
+rows are dealt to several tasks.)
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspan.llm.common import small, sorted_runs, stored
@@ -35,7 +38,13 @@ from docspan.llm.components import connected
 from docspan.llm.words import CHUNK_BYTES, in_chunks, mix, shingle_sets
 
 #: Nodes of a tile that one task compares with as many others at a time.
-BLOCK = 1024
+BLOCK = 4096
+#: Rows of one tile, or partners of one hub, that go to one task.
+DEAL = 2048
+#: One node in so many tells which tiles have more rows than DEAL, and at most so many tiles are dealt.
+SAMPLED, HOT_TILES = 64, 10_000
+#: Texts that are unpacked at a time.
+SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -73,19 +82,45 @@ class Rule:
         return self.of * both >= self.share * (n + m - both)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a batch's rows with their texts, a bounded amount of text at a time."""
+    for at in range(0, batch.num_rows, SLICE):
+        texts = batch.column(column).slice(at, SLICE).to_pylist()
+        for lo, hi in in_chunks(texts, CHUNK_BYTES // 2):
+            yield at + lo, at + hi, texts[lo:hi]
+
+
+def _known_by(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(id, row): what a row is found again by, its id (0 for null) and a hash of its text."""
+    key = F.col(f"`{id_col}`").cast("long")
+    return F.coalesce(key, F.lit(0)), F.xxhash64(key.isNull(), f"`{text_col}`")
+
+
 def shingle_rows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, row): the set size, the set's digest (null if it is empty) and a
-    fingerprint of the row, by which its text is found again."""
+    """(uid, doc_id, id, row, n_shingles, node, band, own, below, keys): the set's size, digest (null if
+    it is empty), band, bitmaps for its own band and the one below, and tile keys; uid numbers the rows
+    once the table is stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2).to_pylist(), rule.words))
-            n = np.array([len(s) for s in sets], np.int64)
-            node = np.array([_digest(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), batch.column(1)], ["doc_id", "n_shingles", "node", "row"])
+            for lo, hi, texts in _slices(batch, 4):
+                sets = list(shingle_sets(texts, rule.words))
+                n = np.array([len(s) for s in sets], np.int64)
+                empty = n == 0
+                node = np.array([_digest(s) for s in sets], np.int64)
+                band = rule.band(n)
+                own = [bitmap(s, rule.bits(b)) if len(s) else None for s, b in zip(sets, band.tolist(), strict=True)]
+                below = [bitmap(s, rule.bits(b - 1)) if b > 0 and len(s) else None for s, b in zip(sets, band.tolist(), strict=True)]
+                key, owner = tile_keys(sets, rule)
+                key = key[np.argsort(owner, kind="stable")].view(np.int64)
+                upto = np.append(0, np.cumsum(np.bincount(owner, minlength=len(sets))))
+                keys = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(key))
+                cols = [*(batch.column(c).slice(lo, hi - lo) for c in range(4)), pa.array(n), pa.array(node, mask=empty), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "id", "row", "n_shingles", "node", "band", "own", "below", "keys"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, node long, row long")
+    known, row = _known_by(id_col, text_col)
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), known.alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return src.mapInArrow(run, "uid long, doc_id long, id long, row long, n_shingles long, node long, band int, own binary, below binary, keys array<long>")
 
 
 def _digest(s: np.ndarray) -> np.int64:
@@ -141,99 +176,161 @@ def bitmap(s: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _texts(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the rows (node, row) given."""
-    src = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return src.join(rows, "row").select("node", "text")
+def _arrays(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the nodes wanted (node, id, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in _slices(batch, 1):
+                sets = [s.tobytes() for s in shingle_sets(texts, rule.words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    known, row = _known_by(id_col, text_col)
+    src = docs.select(known.alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = src.join(small(stored(wanted.select("node", "id", "row"), "wanted")), ["id", "row"]).select("node", "text")
+    # repeated rows have the same id and text; one of them is enough
+    return stored(found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
-def _emit(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
+def _spread(tiles: DataFrame, count: str = "size") -> DataFrame:
+    """tiles, one row a tile, once for each task that the tile's rows are dealt to."""
+    return tiles.withColumn("deal", F.explode(F.sequence(F.lit(0), _deals(count) - 1)))
 
-def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) for those of the pairs (a, b) that the bitmaps let through."""
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            a, b, n, m, ba, bb, low, high, lowb = (t.column(i).to_pylist() for i in range(9))
-            ok = [_may_link(rule, n[i], m[i], *((low[i], high[i]) if ba[i] == bb[i] else (low[i], lowb[i]) if ba[i] < bb[i] else (None, None))) for i in range(len(a))]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
+def _deals(count: str = "size") -> Column:
+    return F.ceil(F.col(count) / DEAL).cast("int")
+
+
+def _dealt(node: str = "node", count: str = "size") -> Column:
+    return F.pmod(F.xxhash64(node), _deals(count)).cast("int")
+
+
+def _tiles(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, deal, node, size, pull) of tiles with several nodes.  pull: how many tiles the node shares,
+    large ones counting more."""
+    keys = rows.join(small(nodes.select("uid")), "uid", "left_semi").select("node", F.explode("keys").alias("key"))
+    part = keys.filter(F.pmod("node", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > DEAL)
+    hot = F.broadcast(stored(part.orderBy(F.desc("n"), "key").limit(HOT_TILES).select("key"), "hot"))
+    cold = keys.join(hot, "key", "left_anti").select("key", "node", F.count("*").over(Window.partitionBy("key")).alias("size"))
+    crowded = keys.join(hot, "key", "left_semi")
+    sizes = F.broadcast(crowded.groupBy("key").agg(F.count("*").alias("size")))  # a row for each of the hot at most
+    tiles = stored(cold.filter("size > 1").unionByName(crowded.join(sizes, "key").filter("size > 1")), "tiles")
+    pull = tiles.groupBy("node").agg(F.sum((F.log2("size") * 1000).cast("long")).alias("pull"))
+    return stored(tiles.join(pull, "node").select("key", _dealt().alias("deal"), "node", "size", "pull"), "tiles")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _beside_hubs(pairs: DataFrame, table: DataFrame, columns: list[str], judge: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """(a, b, ok) for the pairs (a, b): judge is given the columns of a and of b in table (by node).  A
+    hub's columns are sent once to each task that has partners of it, before these."""
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, ()
         for t in batches:
-            x, y = t.column(2), t.column(3)
+            a, b = t.column(0).to_pylist(), t.column(1).to_pylist()
+            values = list(zip(*(t.column(3 + i).to_pylist() for i in range(k)), strict=True))
             ok = []
-            for i in range(t.num_rows):
-                s, r = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
-                ok.append(rule.linked(len(np.intersect1d(s, r, assume_unique=True)), len(s), len(r)))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
-
-    # the smaller set comes first, so that its own bitmap meets the other's for the same band
-    info = sets.select("node", "n", "band", "own", "below")
-    left, right = (info.select(*(F.col(c).alias(f"{p}_{c}") for c in info.columns)) for p in ("l", "r"))
-    met = pairs.join(left, F.col("a") == F.col("l_node")).join(right, F.col("b") == F.col("r_node"))
-    flip = F.col("l_n") > F.col("r_n")
-    pick = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)
-    met = met.select("a", "b", pick("l_n", "r_n", "n"), pick("r_n", "l_n", "m"), pick("l_band", "r_band", "ba"), pick("r_band", "l_band", "bb"), pick("l_own", "r_own", "low"), pick("r_own", "l_own", "high"), pick("r_below", "l_below", "lowb"))
-    close = met.mapInArrow(bound, "a long, b long")
-    arrays = sets.select("node", "shingles")
-    close = close.join(arrays.toDF("a", "sa"), "a").join(arrays.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return close.mapInArrow(decide, "a long, b long, linked boolean")
-
-
-def _may_link(rule: Rule, n: int, m: int, x: bytes | None, y: bytes | None) -> bool:
-    """Whether the sizes and the bits that differ leave room for enough overlap."""
-    if x is None or y is None or rule.of * min(n, m) < rule.share * max(n, m):
+            for x, y, v in zip(a, b, values, strict=True):
+                if y is None:
+                    now, hub = x, v
+                ok.append(y is not None and x == now and judge(hub, v))
+            keep = pa.array([y is not None for y in b], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep), pa.array(ok, pa.bool_()).filter(keep)], ["a", "b", "ok"])
+
+    counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    many = small(stored(counts.filter(F.col("size") > DEAL), "many"))
+    info = table.select("node", *columns)
+    asked = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("size").isNull(), 0).otherwise(_dealt("b")).alias("deal"))
+    asked = asked.join(info.withColumnRenamed("node", "b"), "b").select("a", "b", "deal", *columns)
+    hubs = _spread(counts).join(info.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "deal", *columns)
+    rows = asked.unionByName(hubs).repartition("a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
+    return rows.mapInArrow(run, "a long, b long, ok boolean")
+
+
+def _may_link(rule: Rule, x: tuple, y: tuple) -> bool:
+    """Whether sizes and bitmaps leave room for enough overlap.  Of each: (n, band, own, below)."""
+    if x[0] > y[0]:
+        x, y = y, x
+    (n, band, own, _), (m, other, same, below) = x, y
+    if rule.of * n < rule.share * m or not 0 <= other - band <= 1:
         return False
-    differ = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+    differ = (int.from_bytes(own, "little") ^ int.from_bytes(same if other == band else below, "little")).bit_count()
     return rule.linked((n + m - differ) // 2, n, m)
 
 
-def _tile_pairs(rest: DataFrame, rule: Rule, all_pairs: bool) -> DataFrame:
-    """(key, a, b): pairs of nodes of one tile in different groups that the bitmaps let through, as many
-    as join the groups that can be joined, or all.  rest: (key, ti, tj, block, node, label, n, band, own,
-    below, no), a tile being (key, ti, tj) and no the smaller nodes known to be no link."""
+def _linked(rule: Rule, x: tuple, y: tuple) -> bool:
+    a, b = np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64)
+    return rule.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
+
+
+def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, ok): whether the pairs are links, as far as the bitmaps let them through."""
+    close = stored(_beside_hubs(pairs, nodes, ["n", "band", "own", "below"], lambda x, y: _may_link(rule, x, y)).filter("ok").select("a", "b"), "close")
+    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    sets = _arrays(docs, nodes.join(ends, "node", "left_semi"), rule, id_col, text_col)
+    return stored(_beside_hubs(close, sets, ["shingles"], lambda x, y: _linked(rule, x, y)), "tested")
+
+
+def _rest(tiles: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, left, right, side, loose, node, label): what tiles hold of several groups, dealt to blocks.
+    side: 0 to be compared with rows of side 1, 2 with those and others of side 2.  loose: not of the hub's
+    group.  The hub itself is left out, all its pairs being decided.  Of tiles with the same nodes, one."""
+    named = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("key", "size", "hub", F.coalesce("label", "hub").alias("main"))
+    rows = tiles.join(labels, "node", "left").select("key", "deal", "node", F.coalesce("label", "node").alias("label"))
+    rows = rows.join(_spread(named), ["key", "deal"]).filter("node <> hub")
+    rows = stored(rows.select("key", "deal", "node", "label", "size", (F.col("label") != F.col("main")).alias("loose")), "rest")
+    facts = rows.groupBy("key", "size").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.count_if("loose").alias("r"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("more"))
+    facts = stored(facts.filter("least < most"), "facts")
+    one = facts.groupBy("sign", "more", "n").agg(F.min("key").alias("key")).select("key")
+    facts = facts.join(one, "key", "left_semi").select("key", "size", F.ceil(F.col("r") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
+    rows = rows.drop("size").join(_spread(facts).drop("size"), ["key", "deal"])
+    whole = (F.col("lefts") == 1) & (F.col("rights") == 1)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    right = F.transform(every("lefts"), lambda x: F.struct(x.alias("left"), spot("rights").alias("right"), F.lit(1).alias("side")))
+    left = F.transform(every("rights"), lambda x: F.struct(spot("lefts").alias("left"), x.alias("right"), F.lit(0).alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"), F.when(F.col("loose"), 2).otherwise(1).alias("side")))
+    places = F.when(whole, alone).when(F.col("loose"), F.concat(left, right)).otherwise(right)
+    return rows.select("key", F.explode(places).alias("at"), "loose", "node", "label").select("key", "at.left", "at.right", "at.side", "loose", "node", "label")
+
+
+def _compare(rest: DataFrame, rule: Rule, exact: bool) -> DataFrame:
+    """(key, a, b): pairs of nodes of one block in different groups that the bitmaps let through, as many as
+    join its groups; exact: that the arrays say are links.  rest: as _rest gives it, with n, band, own,
+    below and, if exact, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, ["key", "ti", "tj"]):
-            ti, tj = t.column("ti")[0].as_py(), t.column("tj")[0].as_py()
-            node, label, n, band, block = (t.column(c).to_numpy() for c in ("node", "label", "n", "band", "block"))
-            own, below, no = (t.column(c).to_pylist() for c in ("own", "below", "no"))
+        for t in sorted_runs(batches, ["key", "left", "right"]):
+            node, label, n, band, side = (t.column(c).to_numpy() for c in ("node", "label", "n", "band", "side"))
+            loose = t.column("loose").to_numpy().astype(bool)
+            own, below = t.column("own").to_pylist(), t.column("below").to_pylist()
+            arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")] if exact else None
             # all sets of a tile use one band's bitmaps: that of the smallest
             at = band.min()
-            bits = np.stack([np.frombuffer(own[i] if band[i] == at else below[i], np.uint8) for i in range(len(node))])
-            bits = np.ascontiguousarray(bits).view(np.uint64)
+            bits = np.frombuffer(b"".join(own[i] if band[i] == at else below[i] for i in range(len(node))), np.uint64).reshape(len(node), -1)
             group = np.unique(label, return_inverse=True)[1]
-            right = np.flatnonzero(block == tj)
-            found_a, found_b = [], []
-            for i in np.flatnonzero(block == ti):  # in order of node, so the other is larger in a tile of one block
-                other = right[(group[right] != group[i]) & ((ti != tj) | (right > i))]
+            right = np.flatnonzero(side > 0)
+            a, b = [], []
+            for i in np.flatnonzero((side == 0) | (side == 2)):
+                # of two loose nodes the smaller is compared with the larger
+                other = right[(group[right] != group[i]) & (~loose[right] | (node[right] > node[i]))]
                 if not len(other):
                     continue
                 differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 both = (n[other] + n[i] - differ) // 2
-                ok = other[(rule.of * both >= rule.share * (n[other] + n[i] - both)) & (rule.of * np.minimum(n[other], n[i]) >= rule.share * np.maximum(n[other], n[i]))]
-                ok = np.array([j for j in ok.tolist() if not _refuted(node, no, i, j)], np.int64)
-                if not len(ok):
-                    continue
-                if not all_pairs:
-                    ok = ok[np.unique(group[ok], return_index=True)[1]]  # one a group, which then is this one's
-                    group[np.isin(group, group[ok])] = group[i]
-                found_a.append(np.minimum(node[ok], node[i]))
-                found_b.append(np.maximum(node[ok], node[i]))
-            if found_a:
-                a = np.concatenate(found_a)
-                yield _emit(["key", "a", "b"], np.full(len(a), t.column("key")[0].as_py()), a, np.concatenate(found_b))
+                fits = (rule.of * both >= rule.share * (n[other] + n[i] - both)) & (rule.of * np.minimum(n[other], n[i]) >= rule.share * np.maximum(n[other], n[i]))
+                for j in other[fits]:
+                    if group[j] == group[i] or arrays is not None and not _linked(rule, (arrays[i],), (arrays[j],)):
+                        continue
+                    group[group == group[j]] = group[i]
+                    a.append(node[i])
+                    b.append(node[j])
+            if a:
+                x, y = np.array(a, np.int64), np.array(b, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t.column("key")[0].as_py())), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["key", "a", "b"])
 
-    return rest.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "node").mapInArrow(run, "key long, a long, b long")
-
-
-def _refuted(node: np.ndarray, no: list[list[int] | None], i: int, j: int) -> bool:
-    if node[i] > node[j]:
-        i, j = j, i
-    return bool(no[j]) and int(node[i]) in no[j]
+    cell = ["key", "left", "right"]
+    return rest.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "key long, a long, b long")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -251,61 +348,34 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     """(rows, labels): rows as shingle_rows gives them; labels (node, label), the component of each
     linked node, in which every pair over the threshold is linked or joined by a chain of links."""
     rows = stored(shingle_rows(docs, rule, id_col, text_col), "shingled")
-    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")), "nodes")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ids, texts = t.column(0).to_numpy(), t.column(1).to_pylist()
-            for lo, hi in in_chunks(texts, CHUNK_BYTES // 2):
-                key, owner = tile_keys(list(shingle_sets(texts[lo:hi], rule.words)), rule)
-                for i in range(0, len(key), 50_000):
-                    yield _emit(["key", "node"], key[i : i + 50_000].view(np.int64), ids[lo:hi][owner[i : i + 50_000]])
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ids, texts = t.column(0).to_numpy(), t.column(1).to_pylist()
-            for lo, hi in in_chunks(texts):
-                sets = list(shingle_sets(texts[lo:hi], rule.words))
-                n = np.array([len(s) for s in sets], np.int64)
-                band = rule.band(n)
-                own = [bitmap(s, rule.bits(int(b))) for s, b in zip(sets, band, strict=True)]
-                below = [bitmap(s, rule.bits(int(b) - 1)) if b > 0 else None for s, b in zip(sets, band, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "band", "own", "below", "shingles"])
-
-    keys = _texts(docs, nodes, id_col, text_col).mapInArrow(keyed, "key long, node long")
-    tile = Window.partitionBy("key")
-    tiles = keys.select("key", "node", F.min("node").over(tile).alias("lead"), F.max("node").over(tile).alias("last"))
-    tiles = stored(tiles.filter("lead < last").select("key", "node", "lead"), "tiles")
-    wanted = small(stored(nodes.join(tiles.select("node").distinct(), "node", "left_semi"), "wanted"))
-    sets = stored(_texts(docs, wanted, id_col, text_col).mapInArrow(arrays, "node long, n long, band int, own binary, below binary, shingles binary").dropDuplicates(["node"]), "sets")
-
-    first = tiles.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stored(_exact(stored(first, "first"), sets, rule), "tested")
-    labels = stored(tested.filter("linked").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "star")
-    tiles = tiles.filter("node <> lead").select("key", "node")  # all pairs with the smallest node are decided
-    for last in (False, False, False, True):
-        # what is left: tiles of several groups, and of tiles with the same nodes one
-        grouped = tiles.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        over = lambda x: x.over(tile)
-        grouped = grouped.select("key", "node", "label", over(F.min("label")).alias("least"), over(F.max("label")).alias("most"), over(F.count("*")).alias("size"), over(F.bit_xor(F.xxhash64("node"))).alias("sign"), over(F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("more"))
-        grouped = stored(grouped.filter("least < most").select("key", "node", "label", "size", "sign", "more"), "grouped")
-        single = grouped.groupBy("sign", "more", "size").agg(F.min("key").alias("key")).select("key")
-        tiles = stored(grouped.join(single, "key", "left_semi").select("key", "node", "label", "size"), "tiles")
-        no = tested.filter("not linked").groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("no"))
-        rest = tiles.join(sets.select("node", "n", "band", "own", "below"), "node").join(no, "node", "left")
-        rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "node", "label", "n", "band", "own", "below", "no")
-        named = stored(_tile_pairs(rest, rule, last), "named")
-        more = stored(_exact(stored(named.select("a", "b").distinct(), "pairs"), sets, rule), "tested")
-        # tiles of which a named pair is no link name others
-        again = named.join(more.filter("not linked"), ["a", "b"]).select("key").distinct()
-        tiles = stored(tiles.join(again, "key", "left_semi").select("key", "node"), "tiles")
-        tested = tested.unionByName(more)
-        if last or not tiles.limit(1).count():
-            break
-        labels = stored(_joined(labels, more.filter("linked")), "groups")
-    return rows, connected(tested.filter("linked"), labels)
+    first = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("uid", "id", "row")).alias("f")).select("node", "f.uid", "f.id", "f.row")
+    nodes = stored(first, "nodes")
+    tiles = _tiles(rows, nodes)
+    inside = rows.join(small(nodes.select("uid")), "uid", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
+    nodes = stored(inside.join(tiles.select("node").distinct(), "node", "left_semi"), "inside")
+
+    hubs = stored(tiles.groupBy("key", "size").agg(F.max(F.struct("pull", "node")).alias("h")).select("key", "size", F.col("h.node").alias("hub")), "hubs")
+    star = tiles.join(_spread(hubs).drop("size"), ["key", "deal"]).filter("node <> hub")
+    tested = _exact(stored(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star"), nodes, docs, rule, id_col, text_col)
+    links = tested.filter("ok").select("a", "b")
+    labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    labels = stored(_joined(labels, links), "groups")
+
+    rest = _rest(tiles, hubs, labels)
+    info = nodes.select("node", "n", "band", "own", "below")
+    named = stored(_compare(rest.join(info, "node"), rule, exact=False), "named")
+    tested = _exact(stored(named.select("a", "b").distinct(), "pairs"), nodes, docs, rule, id_col, text_col)
+    links = links.unionByName(tested.filter("ok").select("a", "b"))
+
+    # tiles of which a named pair is no link: those that the bitmaps alone let through count as well
+    again = stored(named.join(tested.filter("ok"), ["a", "b"], "left_anti").select("key").distinct(), "again")
+    if again.limit(1).count():
+        labels = stored(_joined(labels, tested.filter("ok").select("a", "b")), "groups")
+        rest = stored(_rest(tiles.join(_spread(again.join(hubs, "key")).select("key", "deal"), ["key", "deal"], "left_semi"), hubs, labels), "rest")
+        sets = _arrays(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi"), rule, id_col, text_col)
+        found = _compare(rest.join(info, "node").join(sets, "node"), rule, exact=True)
+        links = links.unionByName(stored(found.select("a", "b"), "found"))
+    return rows, connected(links)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,9 +383,9 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str =
     reachable by links, itself included.
 
     Null and wordless texts have an empty set and are linked with nothing.  Equal texts are linked.
-    Repeated rows and repeated ids each keep their row.  A null doc_id counts as larger than all
-    others; a component of null ids only has a null id.  An empty table gives an empty result.
-    Other columns are not read.
+    Very long texts are read whole.  Repeated rows and repeated ids each keep their row.  A null doc_id
+    counts as larger than all others; a component of null ids only has a null id.  An empty table gives
+    an empty result.  Other columns, whatever their names, are not read.
     """
     rule = rule or Rule()
     rows, labels = linked_nodes(docs, rule, id_col, text_col)
@@ -328,18 +398,25 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str =
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which each is the first of its component, by doc_id (null last) and then
-    by the row's fingerprint; rows with an empty set all stay.  Of repeated rows (equal id and
-    text) one stays."""
+    """The rows of docs, with their columns, of which each is the first of its component, by doc_id (null
+    last) and then by a hash of the text.
+
+    Rows with an empty set (null and wordless texts) all stay.  Of repeated rows (equal id and text) one
+    stays.  Very long texts are read whole.  An empty table gives an empty result.  Columns can have any
+    names but __id and __row.
+    """
     rule = rule or Rule()
     rows, labels = linked_nodes(docs, rule, id_col, text_col)
-    heads = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
+    heads = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "row")).alias("head"))
     heads = heads.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head"))
-    kept = stored(heads.select(F.col("head.row").alias("__row")).distinct(), "kept")
-    tagged = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = tagged.filter(words).join(small(kept), "__row", "left_semi")
-    # rows with equal id and text share a fingerprint; few do, so only these are regrouped
-    again = small(stored(rows.groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row")), "again"))
-    once = stay.join(again, "__row", "left_anti").unionByName(stay.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
-    return once.unionByName(tagged.filter(~words)).select(*docs.columns)
+    name = [F.col("id").alias("__id"), F.col("row").alias("__row")]
+    kept = stored(heads.select("head.id", "head.row").select(*name).distinct(), "kept")
+    known, row = _known_by(id_col, text_col)
+    tagged = docs.withColumns({"__id": known, "__row": row})
+    words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    both = ["__id", "__row"]
+    stay = tagged.filter(words).join(small(kept), both, "left_semi")
+    # rows with equal id and text are known by the same; few are, so only these are regrouped
+    again = small(stored(rows.groupBy("id", "row").count().filter("count > 1").select(*name), "again"))
+    once = stay.join(again, both, "left_anti").unionByName(stay.join(again, both, "left_semi").dropDuplicates(both))
+    return once.unionByName(tagged.filter(~words)).select(*(F.col(f"`{c}`") for c in docs.columns))
