@@ -41,8 +41,8 @@ from docspan.llm.words import CHUNK_BYTES, in_chunks, mix, shingle_sets
 BLOCK = 4096
 #: Rows of one tile, or partners of one hub, that go to one task.
 DEAL = 2048
-#: One node in so many tells which tiles have more rows than DEAL, and at most so many tiles are dealt.
-SAMPLED, HOT_TILES = 64, 10_000
+#: One row in so many tells which tiles have more rows than DEAL, and at most so many tiles are dealt.
+SAMPLED, HOT_TILES = 64, 100_000
 #: Texts that are unpacked at a time.
 SLICE = 512
 
@@ -205,16 +205,18 @@ def _dealt(node: str = "node", count: str = "size") -> Column:
     return F.pmod(F.xxhash64(node), _deals(count)).cast("int")
 
 
-def _tiles(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, deal, node, size, pull) of tiles with several nodes.  pull: how many tiles the node shares,
-    large ones counting more."""
-    keys = rows.join(small(nodes.select("uid")), "uid", "left_semi").select("node", F.explode("keys").alias("key"))
-    part = keys.filter(F.pmod("node", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > DEAL)
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(key, deal, node, size, pull) of tiles with several nodes.  size: the rows that the tile had, copies
+    included; pull: how many tiles the node shares, large ones counting more."""
+    keys = rows.filter("node is not null").select("uid", "node", F.explode("keys").alias("key"))
+    part = keys.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > DEAL)
     hot = F.broadcast(stored(part.orderBy(F.desc("n"), "key").limit(HOT_TILES).select("key"), "hot"))
-    cold = keys.join(hot, "key", "left_anti").select("key", "node", F.count("*").over(Window.partitionBy("key")).alias("size"))
-    crowded = keys.join(hot, "key", "left_semi")
-    sizes = F.broadcast(crowded.groupBy("key").agg(F.count("*").alias("size")))  # a row for each of the hot at most
-    tiles = stored(cold.filter("size > 1").unionByName(crowded.join(sizes, "key").filter("size > 1")), "tiles")
+    tile = Window.partitionBy("key")
+    cold = keys.join(hot, "key", "left_anti").select("key", "node", F.count("*").over(tile).alias("size"), F.min("node").over(tile).alias("least"), F.max("node").over(tile).alias("most"))
+    crowded = keys.join(hot, "key", "left_semi").select("key", "node")
+    facts = F.broadcast(crowded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most")))  # a row for each of the hot at most
+    several = cold.unionByName(crowded.join(facts, "key")).filter("least < most").select("key", "node", "size")
+    tiles = stored(several.repartition("node").groupBy("node", "key", "size").agg(F.lit(1).alias("one")).drop("one"), "tiles")
     pull = tiles.groupBy("node").agg(F.sum((F.log2("size") * 1000).cast("long")).alias("pull"))
     return stored(tiles.join(pull, "node").select("key", _dealt().alias("deal"), "node", "size", "pull"), "tiles")
 
@@ -348,11 +350,9 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     """(rows, labels): rows as shingle_rows gives them; labels (node, label), the component of each
     linked node, in which every pair over the threshold is linked or joined by a chain of links."""
     rows = stored(shingle_rows(docs, rule, id_col, text_col), "shingled")
-    first = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("uid", "id", "row")).alias("f")).select("node", "f.uid", "f.id", "f.row")
-    nodes = stored(first, "nodes")
-    tiles = _tiles(rows, nodes)
-    inside = rows.join(small(nodes.select("uid")), "uid", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
-    nodes = stored(inside.join(tiles.select("node").distinct(), "node", "left_semi"), "inside")
+    tiles = _tiles(rows)
+    inside = rows.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
+    nodes = stored(inside.dropDuplicates(["node"]), "inside")
 
     hubs = stored(tiles.groupBy("key", "size").agg(F.max(F.struct("pull", "node")).alias("h")).select("key", "size", F.col("h.node").alias("hub")), "hubs")
     star = tiles.join(_spread(hubs).drop("size"), ["key", "deal"]).filter("node <> hub")
