@@ -44,6 +44,37 @@ def test_shards_are_even_mixed_and_grow_by_the_law(spark):
     assert order == [r["doc_id"] for r in sorted(sharding.shard(df, 8, bucket_bytes=4000).filter("shard = 0").collect(), key=lambda r: r["slot"])]
 
 
+def test_slots_follow_from_the_seed_alone(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("x").alias("a.b"))
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(df.repartition(n), 3, bucket_bytes=20_000).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+    assert got[0] != sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(df, 3, seed=1, bucket_bytes=20_000).collect())
+
+
+def test_a_task_holds_one_bucket(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    out = sharding.shard(df, 3, bucket_bytes=20_000).withColumn("task", F.spark_partition_id())
+    buckets = max(1, -(-df.select(F.sum(F.octet_length("text") + 64)).first()[0] // 60_000))
+    sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert len(sizes) == 3 * buckets > 6 and max(sizes) < 2 * 3000 / len(sizes)
+
+
+def test_homes_and_buckets_match_a_plain_version(spark):
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, "x"), (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = df.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("s"))).select("doc_id", "s", F.xxhash64("doc_id", "s", F.lit(sharding.SEED)).alias("h")).collect()
+    best = {}
+    for r in drawn:
+        best[r.doc_id] = max(best.get(r.doc_id, (-(1 << 63), -1)), (r.h, r.s))
+    for r in sharding.shard(df, 3).collect():
+        mine = [(h, s) for d, s, h in drawn if d == r.doc_id and s < 3]
+        assert r.shard == max(mine)[1] and r.grown_shard == best[r.doc_id][1]
+
+
 def test_sharding_runs_no_python(spark):
     df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     plan = sharding.shard(df, 2)._jdf.queryExecution().toString()
