@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,16 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session
-    without that setting a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without that
+    setting a folder in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -42,6 +39,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column, __row, beside those of its columns that an operator reads, so that columns
+    which the operator adds clash with none of docs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *(F.col(f"`{c}`") for c in columns))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns that `packed` put away."""
+    return df.select(*(F.col("__row").getField(f.name).alias(f.name) for f in df.schema["__row"].dataType.fields))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else unchanged.  It counts df, so
     pass a stored table."""

@@ -151,7 +151,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str
     the nearest passage, the first of equals, in characters of the normal form.
 
     Null and blank texts and items match nothing, as do items without a number.  Items of equal text
-    count as the one with the smallest number.  A repeated row gives its hits again.
+    count as the one with the smallest number.  Very long texts are read whole.  A repeated row gives its
+    hits again.  Empty tables, of documents or of items, give an empty result.  Other columns of docs,
+    whatever their names, are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
@@ -161,11 +163,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str
     return out
 
 
+#: A worker's automaton, kept from task to task: building it takes longer than reading a small part.
+_FINDER: dict[tuple, Finder] = {}
+
+
+def _finder(name: int, items: list[tuple[int, str]], rate: float) -> Finder:
+    if (name, rate) not in _FINDER:
+        _FINDER.clear()
+        _FINDER[name, rate] = Finder(items, rate)
+    return _FINDER[name, rate]
+
+
 def _finding(docs: DataFrame, items: list[tuple[int, str]], rate: float):
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    name = hash(tuple(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(sent.value, rate)
+        finder = _finder(name, sent.value, rate)
         for t in batches:
             rows = [(doc, *hit) for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for hit in finder.find(text)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -176,7 +190,11 @@ def _finding(docs: DataFrame, items: list[tuple[int, str]], rate: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all columns, that hold no item within its budget."""
+    """The rows of docs, with all their columns, whatever the names, that hold no item within its budget.
+
+    Null, blank and very long texts, and items: as in leaks.  Repeated rows stay or go together.  An empty
+    table of documents stays empty; without items all rows stay.
+    """
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
         docs = docs.mapInArrow(_keeping(docs, items, rate, text_col), docs.schema)
     return docs
@@ -184,9 +202,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_co
 
 def _keeping(docs: DataFrame, items: list[tuple[int, str]], rate: float, text_col: str):
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    name = hash(tuple(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(sent.value, rate)
+        finder = _finder(name, sent.value, rate)
         for t in batches:
             clean = [not finder.find(text) for text in t.column(t.schema.get_field_index(text_col)).to_pylist()]
             yield t.filter(pa.array(clean, pa.bool_()))

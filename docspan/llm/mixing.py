@@ -7,9 +7,10 @@ constrained quantity.  lambda is the root of the dual's gradient; Newton steps f
 sources at once, gradient and curvature being sums that Spark forms.  Rates depend on source and
 size only, so the sums run over counts of (source, size).
 
-Rates become whole copies such that each source's words stay within half a document of the
-target: sizes are rounded from the largest down, each making up for the rest so far, and a seeded
-hash picks the documents of one size that get a copy more.
+Rates become whole copies: sizes are rounded from the largest down, each making up for the rest so far
+and leaving no more than the smaller ones can take, and a seeded hash picks the documents of one size
+that get a copy more.  So a source misses its target by half of its smallest document, unless that and
+the other small ones can't fill what whole copies of the large ones leave.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     target (words wanted of its source), rate and copies (0 to cap).
 
     Sources, ordered by code point with null last, get the weights in turn.  A null or wordless text
-    has size 0 and one copy.  Repeated rows count as documents of their own.  An empty table gives
+    has size 0 and one copy.  Very long texts count whole.  Repeated rows count as documents of their own.  An empty table gives
     an empty result; columns of docs with the names above are replaced.  Names and sizes of the
     sources, one row each, are gathered on the driver, which has to name a target for each.
     """
@@ -116,18 +117,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         sid = int(batch["__sid"].iloc[0])
         size, n = batch["size"].to_numpy(), batch["n"].to_numpy()
         rate = _rates(size, tilts[sid], means[sid], cap)
-        copies, owed = np.zeros(len(size), np.int64), 0.0
-        for i in range(len(size)):
-            if size[i] == 0:
-                copies[i] = n[i]
-                continue
-            owed += rate[i] * n[i] * size[i]
-            copies[i] = min(max(math.floor(owed / size[i] + 0.5), 0), cap * n[i])
-            owed -= float(copies[i] * size[i])
+        copies = whole_copies(size, n, rate, facts[sid][2], cap)
         return pd.DataFrame({"__sid": batch["__sid"], "size": size, "n_size": n, "rate": rate, "k": copies})
 
+    # a source has a row for each size its documents have, so its rows are few whatever the corpus
     per_size = stored(counts.groupBy("__sid").applyInPandas(rounded, "__sid int, size long, n_size long, rate double, k long"), "copies")
-    upto = Window.partitionBy("__sid", "size").orderBy("__cell")
+    upto = Window.partitionBy("__sid", "size").orderBy("__cell")  # CELLS rows at most
     dealt = cells.join(per_size, ["__sid", "size"]).withColumn("upto", F.sum("n").over(upto))
     dealt = dealt.withColumn("k_cell", F.expr("(k * upto) div n_size - (k * (upto - n)) div n_size"))
     dealt = dealt.select("__sid", "size", "__cell", "rate", F.expr("k_cell div n").alias("__base"), F.expr("k_cell % n").alias("__more"))
@@ -137,6 +132,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return out.select(*(F.col(f"`{c}`") for c in kept), "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
 
 
+def whole_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float, cap: int) -> np.ndarray:
+    """Copies of all n documents of each size, sizes in descending order, so that their words come near the
+    target.  Documents of size 0 have one copy each."""
+    words = size * n
+    room = cap * (words.sum() - np.cumsum(words)).astype(float)  # what the smaller sizes can take
+    later = (rate * words).sum() - np.cumsum(rate * words)  # and are meant to
+    out, left = np.zeros(len(size), np.int64), target
+    for i in range(len(size)):
+        if size[i] == 0:
+            out[i] = n[i]
+            continue
+        k = math.floor((left - later[i]) / size[i] + 0.5)
+        least, most = math.ceil((left - room[i]) / size[i]), math.floor(left / size[i])
+        if least <= most:
+            k = min(max(k, least), most)
+        else:  # too few leave more than the smaller sizes can take, one more takes too much
+            k = most if left - most * size[i] - room[i] < (most + 1) * size[i] - left else most + 1
+        out[i] = min(max(k, 0), cap * n[i])
+        left -= float(out[i] * size[i])
+    return out
+
+
 def _rates(size: np.ndarray, lam: float, mean: float, cap: int) -> np.ndarray:
     if math.isinf(lam):
         return np.where(size > 0, float(cap), 1.0)
@@ -145,5 +162,6 @@ def _rates(size: np.ndarray, lam: float, mean: float, cap: int) -> np.ndarray:
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """One row a copy; documents with none go."""
+    """One row a copy, of the rows that mix gives; documents with no copy go.  A column named __copy is
+    dropped; an empty table gives an empty result."""
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("__copy")

@@ -227,6 +227,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     """All rows and columns of docs; in text_col values are replaced, and pii lists them as
     (kind, start, end) in characters of the new text.
 
+    A cycle of a permutation may be of length one, so a value can, rarely, stand for itself; in formats
+    with few values that is less rare.  The host of an address stays, as it tells no person apart on
+    common hosts; give a host that names a person to a redaction step first.
+
     A null text stays null, with an empty list.  Very long texts are read whole; repeated rows and
     equal values come out alike.  A column of docs named pii is replaced.  An empty table gives an
     empty result.
@@ -251,6 +255,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
 
 
 def kinds_found(done: DataFrame) -> DataFrame:
-    """done with one column a kind, pii_<kind>: how many it had of that kind."""
+    """done, as pseudonymise gives it, with one column a kind, pii_<kind>: how many it had of that kind.
+    Columns that have these names already are replaced."""
     count = lambda kind: F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long").alias(f"pii_{kind}")
-    return done.select("*", *(count(k) for k in Pseudonyms.KINDS))
+    return done.drop(*(f"pii_{k}" for k in Pseudonyms.KINDS)).select("*", *(count(k) for k in Pseudonyms.KINDS))

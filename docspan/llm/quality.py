@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docspan.llm.common import packed, unpacked
 from docspan.llm.words import in_chunks, mix
 
 #: Documents, expected, that the scorer is trained on.
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED, text_col: str =
     if not counts:
         return np.zeros(WEIGHTS + 1), np.full((len(LABELLERS), 2, 3), 1 / 3)
     posterior, table = estimate(counts)
-    # a document is in the sample by its hash; equal texts together, so what is frequent stays so
+    # a document is in the sample by a hash of its id and text, so copies are drawn one by one
     share = sample / sum(counts.values())
     draw = F.xxhash64(F.lit(seed), "text", *([F.col("doc_id")] if "doc_id" in docs.columns else []))
     part = docs.select(F.col(text_col).alias("text"), *(["doc_id"] if "doc_id" in docs.columns else [])).select("text", draw.alias("draw"))
@@ -275,10 +277,12 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(p), pa.array(p >= threshold)], [*t.schema.names, "quality", "keep"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{schema}, quality double, keep boolean")
+    added = [T.StructField("quality", T.DoubleType()), T.StructField("keep", T.BooleanType())]
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, *added]))
 
 
 def drop_rejected(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs."""
-    return classify(docs, threshold, sample, seed, text_col).filter("keep").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that the classifier keeps, with the columns of docs, whatever their names.  Null
+    and very long texts, repeated rows and an empty table: as in classify."""
+    whole = packed(docs, text_col, *(["doc_id"] if "doc_id" in docs.columns else []))
+    return unpacked(classify(whole, threshold, sample, seed, text_col).filter("keep"))

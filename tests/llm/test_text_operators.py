@@ -113,7 +113,11 @@ def test_classifier_on_odd_rows(spark):
     got = quality.classify(df)
     assert got.columns == [*(c for c in df.columns if c != "quality"), "quality", "keep"]
     assert got.count() == df.count() and got.filter("quality is null or keep is null").count() == 0
-    assert quality.drop_rejected(df).columns == df.columns
+    kept = quality.drop_rejected(df, threshold=0.0)
+    assert kept.columns == df.columns and {r.quality for r in kept.collect()} == {"7"}
+    dotted = df.withColumn("keep", F.lit("mine")).withColumn("a.b", F.lit(1))
+    kept = quality.drop_rejected(dotted, threshold=0.0)
+    assert kept.columns == dotted.columns and {r.keep for r in kept.collect()} == {"mine"}
     assert quality.classify(no_documents(spark)).collect() == []
 
 
@@ -253,6 +257,8 @@ def test_texts_keep_all_else(spark):
     assert {r.doc_id: r.text for r in got if r.doc_id in (2, 3, 4)} == {2: None, 3: "", 4: "no data"}
     assert spans["card"].replace(" ", "") in next(r for r in got if r.doc_id == 5).text  # linked across documents
     odd = odd_documents(spark, clashing=True)
+    named = pii.kinds_found(pii.pseudonymise(odd.withColumn("pii_email", F.lit("mine")), b"k"))
+    assert named.agg(F.sum("pii_email")).first()[0] == 0 and named.columns.count("pii_email") == 1
     assert pii.pseudonymise(odd, b"k").drop("pii").exceptAll(odd.drop("pii")).count() == 0
     assert pii.pseudonymise(no_documents(spark), b"k").collect() == []
 
