@@ -45,9 +45,9 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *(F.col(f"`{c}`") for c in columns))
 
 
-def unpacked(df: DataFrame) -> DataFrame:
-    """The columns that `packed` put away."""
-    return df.select(*(F.col("__row").getField(f.name).alias(f.name) for f in df.schema["__row"].dataType.fields))
+def unpacked(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns that `packed` put away, and these of df."""
+    return df.select(*(F.col("__row").getField(f.name).alias(f.name) for f in df.schema["__row"].dataType.fields), *columns)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspan.llm.common import packed, unpacked
+
 #: Characters of items that are searched in one reading of the documents; more items take more readings.
 BLOCK_CHARS = 8_000_000
 #: An edit spoils this many of a pattern's character n-grams at most, so a text that lacks more than
@@ -195,19 +197,20 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_co
     Null, blank and very long texts, and items: as in leaks.  Repeated rows stay or go together.  An empty
     table of documents stays empty; without items all rows stay.
     """
+    whole = packed(docs, text_col).toDF("__row", "__text")
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        docs = docs.mapInArrow(_keeping(docs, items, rate, text_col), docs.schema)
-    return docs
+        whole = whole.mapInArrow(_keeping(docs, items, rate), whole.schema)
+    return unpacked(whole)
 
 
-def _keeping(docs: DataFrame, items: list[tuple[int, str]], rate: float, text_col: str):
+def _keeping(docs: DataFrame, items: list[tuple[int, str]], rate: float):
     sent = docs.sparkSession.sparkContext.broadcast(items)
     name = hash(tuple(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(name, sent.value, rate)
         for t in batches:
-            clean = [not finder.find(text) for text in t.column(t.schema.get_field_index(text_col)).to_pylist()]
+            clean = [not finder.find(text) for text in t.column(1).to_pylist()]
             yield t.filter(pa.array(clean, pa.bool_()))
 
     return run

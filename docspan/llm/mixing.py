@@ -151,7 +151,45 @@ def whole_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: floa
             k = most if left - most * size[i] - room[i] < (most + 1) * size[i] - left else most + 1
         out[i] = min(max(k, 0), cap * n[i])
         left -= float(out[i] * size[i])
-    return out
+    return _closer(size, n, out, left, cap) if abs(left) > 0.5 else out
+
+
+#: Most sizes of a source for which two moves at a time are tried; with more, one move nearly always does.
+FEW_SIZES = 200
+
+
+def _closer(size: np.ndarray, n: np.ndarray, out: np.ndarray, left: float, cap: int) -> np.ndarray:
+    """out after moves (a copy more of one size, less of another, or both; two such at a time where sizes are
+    few), as long as they bring the words nearer to the target, of which `left` are missing."""
+    some = np.flatnonzero(size > 0)
+    worth = np.append(size[some], 0)  # by place in some, -1 being none
+    spot = np.append(np.arange(len(some)), -1)
+    while True:
+        more, less = np.meshgrid(np.append(-1, spot[:-1]), np.append(-1, spot[:-1]), indexing="ij") if len(some) <= FEW_SIZES else (np.concatenate([spot, np.full(len(some), -1)]), np.concatenate([np.full(len(some) + 1, -1), spot[:-1]]))
+        more, less = more.ravel(), less.ravel()
+        room, held = np.append(out[some] < cap * n[some], True), np.append(out[some] > 0, True)
+        may = room[more] & held[less]
+        more, less = more[may], less[may]
+        net = (worth[more] - worth[less]).astype(float)
+        order = np.argsort(net, kind="stable")
+        more, less, net = more[order], less[order], net[order]
+        at = np.clip(np.searchsorted(net, left - net), 1, len(net) - 1) if len(net) > 1 else np.zeros(len(net), np.int64)
+        other = np.where(np.abs(left - net - net[at - 1]) < np.abs(left - net - net[at]), at - 1, at)
+        off = np.abs(left - net - net[other])
+        for i in np.argsort(off, kind="stable")[:200]:
+            if off[i] >= abs(left) - 1e-9:
+                return out
+            new = out.copy()
+            for j in (i, other[i]):
+                if more[j] >= 0:
+                    new[some[more[j]]] += 1
+                if less[j] >= 0:
+                    new[some[less[j]]] -= 1
+            if (new >= 0).all() and (new <= cap * n).all():
+                out, left = new, left - net[i] - net[other[i]]
+                break
+        else:
+            return out
 
 
 def _rates(size: np.ndarray, lam: float, mean: float, cap: int) -> np.ndarray:

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspan.llm.words import in_chunks
 
@@ -236,22 +237,21 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     empty result.
     """
     src = docs.drop("pii")
-    names = src.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swap = Pseudonyms(key)
         for t in batches:
-            at = t.schema.get_field_index(text_col)
-            texts = t.column(at).to_pylist()
+            texts = t.column(1).to_pylist()
             for lo, hi in in_chunks(texts, 8 << 20):
                 done = [swap(x) for x in texts[lo:hi]]
-                cols = [c.slice(lo, hi - lo) for c in t.columns]
-                cols[at] = pa.array([d[0] for d in done], pa.string())
                 spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in d[1]] for d in done], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*cols, spans], [*names, "pii"])
+                yield pa.RecordBatch.from_arrays([t.column(0).slice(lo, hi - lo), pa.array([d[0] for d in done], pa.string()), spans], ["__row", "__text", "pii"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{schema}, pii array<struct<kind:string,start:bigint,end:bigint>>")
+    rest = F.struct(F.lit(None).cast("int").alias("__none"), *(F.col(f"`{c}`") for c in src.columns if c != text_col))
+    whole = src.select(rest.alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    spans = T.StructField("pii", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+    done = whole.mapInArrow(run, T.StructType([*whole.schema.fields, spans]))
+    return done.select(*(F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in src.columns), "pii")
 
 
 def kinds_found(done: DataFrame) -> DataFrame:

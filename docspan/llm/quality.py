@@ -266,23 +266,26 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed
     Repeated rows count each time and score alike.  Very long texts are read whole.  An empty table
     gives an empty result.  Columns of docs named quality or keep are replaced.
     """
-    src = docs.drop("quality", "keep")
-    weights, _ = fit(src, sample, seed, text_col)
+    return unpacked(_scored(docs.drop("quality", "keep"), threshold, sample, seed, text_col), "quality", "keep")
+
+
+def _scored(docs: DataFrame, threshold: float, sample: int, seed: int, text_col: str) -> DataFrame:
+    """docs, packed, with quality and keep."""
+    weights, _ = fit(docs, sample, seed, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            texts = t.column(t.schema.get_field_index(text_col)).to_pylist()
+            texts = t.column(1).to_pylist()
             z = np.concatenate([np.zeros(0), *(Features(texts[lo:hi]).score(sent.value) for lo, hi in in_chunks(texts, CHUNK))])
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(p), pa.array(p >= threshold)], [*t.schema.names, "quality", "keep"])
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(p), pa.array(p >= threshold)], ["__row", "quality", "keep"])
 
-    added = [T.StructField("quality", T.DoubleType()), T.StructField("keep", T.BooleanType())]
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, *added]))
+    whole = packed(docs, text_col)
+    return whole.toDF("__row", "__text").mapInArrow(run, T.StructType([whole.schema["__row"], T.StructField("quality", T.DoubleType()), T.StructField("keep", T.BooleanType())]))
 
 
 def drop_rejected(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs, whatever their names.  Null
     and very long texts, repeated rows and an empty table: as in classify."""
-    whole = packed(docs, text_col, *(["doc_id"] if "doc_id" in docs.columns else []))
-    return unpacked(classify(whole, threshold, sample, seed, text_col).filter("keep"))
+    return unpacked(_scored(docs, threshold, sample, seed, text_col).filter("keep"))
