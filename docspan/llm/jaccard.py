@@ -43,6 +43,8 @@ BLOCK = 4096
 DEAL = 2048
 #: One row in so many tells which tiles have more rows than DEAL, and at most so many tiles are dealt.
 SAMPLED, HOT_TILES = 64, 100_000
+#: Texts with more copies than this go on as one row before tiles are formed, others after.
+COPIES = 8
 #: Texts that are unpacked at a time.
 SLICE = 512
 
@@ -208,7 +210,10 @@ def _dealt(node: str = "node", count: str = "size") -> Column:
 def _tiles(rows: DataFrame) -> DataFrame:
     """(key, deal, node, size, pull) of tiles with several nodes.  size: the rows that the tile had, copies
     included; pull: how many tiles the node shares, large ones counting more."""
-    keys = rows.filter("node is not null").select("uid", "node", F.explode("keys").alias("key"))
+    # of a text with many copies, one row goes on
+    many = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("uid").alias("one")).filter(F.col("n") > COPIES)
+    some = rows.filter("node is not null").join(small(stored(many.select("node", "one"), "copied")), "node", "left").filter("one is null or one = uid")
+    keys = some.select("uid", "node", F.explode("keys").alias("key"))
     part = keys.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > DEAL)
     hot = F.broadcast(stored(part.orderBy(F.desc("n"), "key").limit(HOT_TILES).select("key"), "hot"))
     tile = Window.partitionBy("key")

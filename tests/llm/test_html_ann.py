@@ -26,9 +26,44 @@ def test_pages_of_other_kinds():
     assert html.main_text("<script>if (a<b) '<p>'</script>t<style>") == "t"
     assert html.main_text("<p hidden>x</p><p style='display: none'>y</p><p>z</p>") == "z"
     assert html.main_text("<div>" * 30_000 + "deep") == "deep"
+    assert html.main_text("<div>" * 20_000 + "</p></section>" * 20_000 + "deep") == "deep"
+    assert html.main_text("<p title=it's>a</p><p title='b'>c</p><p title=\"open>d</p>e") == "a c d e"
     assert html.main_text("<p>" + "long " * 200_000).count("long") == 200_000
 
 
+def test_words_in_classes_tell_of_no_prose():
+    page = '<article><p>Intro</p><h2 id="related-work">Related work</h2><p id="notice">Body one</p><p class="notice">Two</p><section class="social-history">Three</section><div class="ad">no</div><div class="cookie-notice box">no</div><div id="menu">no</div></article>'
+    assert html.main_text(page) == "Intro Related work Body one Two Three"
+    assert html.main_text('<div id="page-menu-wrapper"><p>All of it</p></div>') == "All of it"
+    assert html.main_text('<div class="main-nav">x</div><div class="skip-link">x</div><p>y</p>') == "y"
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for bad in ("<a b='", '<a b="', "<a b=", "<!--", "<p title='x>", "</", "<a b='>'"):
+        start = time.time()
+        html.main_text(bad * (1_000_000 // len(bad)))
+        assert time.time() - start < 5, bad
+
+
+def test_templates_inside_articles(spark):
+    rows = []
+    for i in range(20):  # a line that most articles of the site hold goes, whatever its class
+        rows.append((i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Story {i} of its own.</p><p>Write to our desk!</p></article>"))
+    for i in range(20, 40):  # near copies of an article keep their text
+        rows.append((i, f"http://b.example/{i}", "<article>" + "".join(f"<p>Part {k}{'' if k != i % 8 else ' changed ' + str(i)}.</p>" for k in range(8)) + "</article>"))
+    for i in range(40, 70):  # a line that some articles share stays
+        rows.append((i, f"http://c.example/{i}", f"<article><p>Text {i}.</p>{'<p>A saying.</p>' if i < 50 else ''}</article>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"Title {i} Story {i} of its own."
+    for i in range(20, 40):
+        assert got[i] == " ".join(f"Part {k}{'' if k != i % 8 else ' changed ' + str(i)}." for k in range(8))
+    for i in range(40, 70):
+        assert got[i] == f"Text {i}." + (" A saying." if i < 50 else "")
+
+
 def test_templates_go_and_copies_stay(spark):
     rows = []
     for i in range(12):
@@ -43,7 +78,7 @@ def test_templates_go_and_copies_stay(spark):
     for i in range(12):
         assert got[i] == (f"Story {i} of its own", len(f"Story {i} of its own"))
         assert got[12 + i][0] == "The same story"
-        assert got[24 + i][0] == f"All share this line Text {24 + i}"
+        assert got[24 + i][0] == f"Text {24 + i}"
     assert got[90][0] == "no address" and got[91] == ("", 0) and got[92] == ("", 0) and got[None][0] == "Story 0 of its own"
     assert html.extract(df.limit(0)).collect() == []
 
