@@ -2,14 +2,20 @@
 
 On a bounded sample, the neighbour graph is cut into parts of equal size with few edges between
 them, and a small classifier learns to tell a vector's part.  The classifier then places every row
-of the table, and for each query ranks the parts; the query is compared with all rows of the most
-probable ones.  How many that takes is measured on sample queries against brute force.
+of the table, and for each query gives the parts' probabilities; the query is compared with all rows of
+the most probable ones.  How much probability they must hold together is measured on sample queries
+against brute force, so queries that the classifier is sure of search few parts and others more.
 
-Parts are dealt into blocks, so a part of any size is spread over tasks.
+Parts follow the table: about PART_ROWS rows each, up to MOST parts.  A larger table has a second level:
+each part is cut again, by a graph and a classifier of its own, fitted by Spark on a bounded sample of it.
+
+For the search, parts are packed into blocks, or a large one dealt to several; a task has one block and the
+queries that want parts of it, and keeps a query's best k of all of them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +28,10 @@ from docspan.llm.common import stored
 
 #: Vectors, expected, on which the index is fitted.
 SAMPLE = 8192
-#: Rows that a part should hold.
-PART_ROWS = 8192
-#: Most rows of a part for each task, and most queries that meet them.
-BLOCK, QUERIES = 16_384, 16_384
+#: Rows that a part should hold, and most parts that one level has.
+PART_ROWS, MOST = 512, 128
+#: Most rows of a block, and most queries that meet them in one task.
+BLOCK, QUERIES = 16_384, 4096
 SEED = 9_176
 
 
@@ -98,34 +104,72 @@ class Router:
         return cls(*params)
 
 
-def fit(x: np.ndarray, rows: int, k: int, recall: float) -> tuple[Router, int, int]:
-    """Router, number of parts, and of parts to search so that sample queries reach `recall`.
-    rows: of the whole table, by which parts are chosen to hold about PART_ROWS."""
+@dataclass
+class Level:
+    """A cut into parts: the router, how vectors are scaled for it, and the probability to search."""
+
+    parts: int
+    router: Router | None = None
+    scale: float = 1.0
+    mass: float = 1.0
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Probability of each part, a row for each vector."""
+        if self.router is None:
+            return np.ones((len(x), 1))
+        z = self.router.scores(x / self.scale)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return self.chances(x).argmax(axis=1)
+
+
+def parts_for(rows: int, sample: int) -> int:
+    """Parts of a level: a power of two, such that they hold PART_ROWS rows or MOST is reached; two at least
+    where the sample has enough vectors for that."""
     parts = 1
-    while parts < 256 and parts * PART_ROWS < rows and parts * 64 < len(x):
+    while parts < MOST and parts * 64 <= sample and (parts == 1 or parts * PART_ROWS < rows):
         parts *= 2
-    scale = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    unit = x / np.median(scale)
+    return parts
+
+
+def fit(x: np.ndarray, rows: int, k: int, recall: float) -> Level:
+    """The level for a table of so many rows, of which x are a sample.  mass: what the parts searched must hold
+    so that sample queries reach recall."""
+    parts = parts_for(rows, len(x))
     if parts == 1 or len(x) < 4 * k:
-        return Router.fit(unit[:1], np.ones((1, 1)), epochs=0), 1, 1
+        return Level(1)
+    scale = float(np.median(np.maximum(np.linalg.norm(x, axis=1), 1e-30)))
+    unit = x / scale
     near = np.empty((len(x), k), np.int64)
-    for lo in range(0, len(x), 256):  # in strips, to keep the driver's memory small
+    for lo in range(0, len(x), 256):  # in strips, to keep memory small
         sims = unit[lo : lo + 256] @ unit.T
         sims[np.arange(len(sims)), np.arange(lo, lo + len(sims))] = -np.inf
         near[lo : lo + 256] = np.argpartition(sims, len(x) - k, axis=1)[:, len(x) - k :]
     part = cut_graph(near[:, : min(k, 10)], parts, unit)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), k), part[near].ravel()), 1 / k)
-    half = len(x) // 2  # probing is measured on vectors that the classifier hasn't seen
-    trial = Router.fit(unit[:half], target[:half])
-    placed = trial.scores(unit).argmax(axis=1)
-    test = np.arange(half, len(x))
-    order = np.argsort(-trial.scores(unit[test]), axis=1)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
-    found = np.take_along_axis(rank, placed[near[test]], axis=1)
-    probes = next(p for p in range(1, parts + 1) if (found < p).mean() >= recall or p == parts)
-    return Router.fit(unit, target), parts, probes
+    half = len(x) // 2  # how much to search is measured on vectors that the classifier hasn't seen
+    trial = Level(parts, Router.fit(unit[:half], target[:half]), scale)
+    placed = trial.place(x)
+    chance = trial.chances(x[half:])
+    order = np.argsort(-chance, axis=1, kind="stable")
+    before = np.cumsum(np.take_along_axis(chance, order, axis=1), axis=1) - np.take_along_axis(chance, order, axis=1)
+    need = np.empty_like(before)
+    np.put_along_axis(need, order, before, axis=1)
+    wanted = np.take_along_axis(need, placed[near[half:]], axis=1)  # a neighbour is found if more than this is searched
+    return Level(parts, Router.fit(unit, target), scale, min(1.0, float(np.quantile(wanted, recall, method="higher")) + 1e-9))
+
+
+def chosen(chance: np.ndarray, mass: float, sizes: np.ndarray, enough: int) -> np.ndarray:
+    """Which parts each query searches: the most probable until they hold mass, and enough rows."""
+    order = np.argsort(-chance, axis=1, kind="stable")
+    p = np.take_along_axis(chance, order, axis=1)
+    go = (np.cumsum(p, axis=1) - p < mass) | (np.cumsum(sizes[order], axis=1) - sizes[order] < enough)
+    out = np.empty_like(go)
+    np.put_along_axis(out, order, go, axis=1)
+    return out & (sizes > 0)
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -191,63 +235,148 @@ def search(vectors: DataFrame, is_query: str = "id % 20 = 0", k: int = 20, recal
     of largest inner product found in the parts searched, ties to smaller ids, never its own id.
 
     Rows without an id or with a vector that is null, zero, of another length or not finite take no
-    part.  Repeated rows count once: one id, one vector (the first by its values).  Where the parts
-    searched hold fewer than k rows, more parts are searched.  An empty table gives an empty result.
+    part.  Rows of one id count once, with the first vector by its values.  Where the parts searched hold
+    fewer than k rows, more are searched.  An empty table gives an empty result.  Other columns, whatever
+    their names, are not read.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
     src = usable(vectors, id_col, vec_col)
     rows = src.count()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    draw = (F.xxhash64(F.lit(SEED), "id") / float(1 << 63) + 1) / 2
-    got = src.filter(draw < sample / rows).select("id", "x").collect()
+    placed, levels = _placed(src, rows, k, recall, sample)
+    found = _met(placed, levels, is_query, rows, k)
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _draw(salt: int):
+    return (F.xxhash64(F.lit(SEED + salt), "id") / float(1 << 63) + 1) / 2
+
+
+def _placed(src: DataFrame, rows: int, k: int, recall: float, sample: int) -> tuple[DataFrame, list[Level]]:
+    """(id, x, leaf) of all rows, stored, and the levels: the first, and where there is a second, one for each
+    of its parts.  Parts of the last level, one after another, are the leaves."""
+    got = src.filter(_draw(0) < sample / rows).select("id", "x").collect()
     got.sort(key=lambda r: r[0])
     x = np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
-    router, parts, probes = fit(x, rows, k, recall) if len(got) else (None, 1, 1)
-    scale = float(np.median(np.maximum(np.linalg.norm(x, axis=1), 1e-30))) if len(got) else 1.0
-    sent = spark.sparkContext.broadcast((router, scale))
+    two = rows > MOST * PART_ROWS * 2
+    goal = recall**0.5 if two else recall
+    top = fit(x, rows, k, goal) if len(got) else Level(1)
+    levels = [top]
+    sent = src.sparkSession.sparkContext.broadcast(levels)
+    names, schema = ["id", "x", "leaf"], "id long, x array<double>, leaf int"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                z = sent.value[0].scores(_vectors(t.column(1)) / sent.value[1]).argmax(axis=1) if parts > 1 else np.zeros(t.num_rows)
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(z.astype(np.int32))], ["id", "x", "part"])
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(sent.value[0].place(_vectors(t.column(1))).astype(np.int32))], names)
+
+    placed = stored(src.groupBy("id").agg(F.min("x").alias("x")).mapInArrow(place, schema), "placed")
+    if not two or top.parts == 1:
+        return placed, levels
+    held = placed.groupBy("leaf").agg(F.count("*").alias("n"))  # MOST rows at most
+
+    def cut(t: pa.Table) -> pa.Table:
+        x = _vectors(t.column("x").combine_chunks())[np.argsort(t.column("id").to_numpy())]
+        return pa.table({"leaf": pa.array([t.column("leaf")[0].as_py()], pa.int32()), "level": pa.array([pickle.dumps(fit(x, t.column("n")[0].as_py(), k, goal))], pa.binary())})
 
-    placed = stored(src.groupBy("id").agg(F.min("x").alias("x")).mapInArrow(place, "id long, x array<double>, part int"), "placed")
-    held = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}
-    sizes = np.array([held.get(p, 0) for p in range(parts)])
+    some = placed.join(F.broadcast(held), "leaf").filter(_draw(1) < sample / F.col("n"))
+    fitted = {r[0]: pickle.loads(r[1]) for r in some.groupBy("leaf").applyInArrow(cut, "leaf int, level binary").collect()}
+    levels += [fitted.get(i, Level(1)) for i in range(top.parts)]
+    sent = src.sparkSession.sparkContext.broadcast(levels)
+    first = np.cumsum([0, *(level.parts for level in levels[1:])])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            part, x = t.column(2).to_numpy(), _vectors(t.column(1))
+            leaf = np.zeros(len(part), np.int32)
+            for p in np.unique(part):
+                leaf[part == p] = first[p] + sent.value[p + 1].place(x[part == p])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(leaf)], names)
+
+    return stored(placed.mapInArrow(again, schema), "placed"), levels
+
+
+def wanted(levels: list[Level], x: np.ndarray, sizes: np.ndarray, enough: int) -> np.ndarray:
+    """Which leaves each query searches."""
+    if len(levels) == 1:
+        return chosen(levels[0].chances(x), levels[0].mass, sizes, enough)
+    first = np.cumsum([0, *(level.parts for level in levels[1:])])
+    go = chosen(levels[0].chances(x), levels[0].mass, np.add.reduceat(sizes, first[:-1]), enough)
+    out = np.zeros((len(x), len(sizes)), bool)
+    for p in np.flatnonzero(go.any(axis=0)):
+        some = np.flatnonzero(go[:, p])
+        at = slice(first[p], first[p + 1])
+        out[some, at] = chosen(levels[p + 1].chances(x[some]), levels[p + 1].mass, sizes[at], enough)
+    return out
+
+
+def _met(placed: DataFrame, levels: list[Level], is_query: str, rows: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): a query's best k of each block in which it searches leaves."""
+    spark = placed.sparkSession
+    leaves = sum(level.parts for level in levels[1:]) or levels[0].parts
+    held = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}  # MOST * MOST rows at most
+    sizes = np.array([held.get(i, 0) for i in range(leaves)])
+    most = min(BLOCK, max(1024, -(-rows // 32)))  # a small table still makes work for many tasks
+    first, split, block, room = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), -1, 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > most:
+            first[i], split[i] = block + 1, -(-n // most)
+            block, room = block + split[i], 0
+        else:
+            if n > room:
+                block, room = block + 1, most
+            first[i], room = max(block, 0), room - n
+    sent = spark.sparkContext.broadcast((levels, sizes, first, split))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, sizes, first, split = sent.value
         for t in batches:
-            if t.num_rows:
-                q = _vectors(t.column(1))
-                order = np.argsort(-sent.value[0].scores(q / sent.value[1]), axis=1, kind="stable") if parts > 1 else np.zeros((len(q), 1), np.int64)
-                ahead = np.cumsum(sizes[order], axis=1) - sizes[order]
-                go = (np.arange(parts)[None, :] < probes) | (ahead < k + 1)
-                at, nth = np.nonzero(go & (sizes[order] > 0))
-                pick = pa.array(at)
-                yield pa.RecordBatch.from_arrays([t.column(0).take(pick), t.column(1).take(pick), pa.array(order[at, nth].astype(np.int32))], ["id", "x", "part"])
-
-    queries = stored(placed.filter(is_query).select("id", "x").mapInArrow(route, "id long, x array<double>, part int"), "queries")
-    asked = {r[0]: r[1] for r in queries.groupBy("part").count().collect()}
-    block = min(BLOCK, max(4096, -(-rows // 64)))  # a small table still makes work for many tasks
-    plan = [(p, max(1, -(-held.get(p, 0) // block)), max(1, -(-asked.get(p, 0) // QUERIES))) for p in range(parts)]
-    blocks = F.broadcast(spark.createDataFrame(plan, "part int, nb int, nq int"))
+            for lo in range(0, t.num_rows, 512):
+                ids, xs = t.column(0).slice(lo, 512), t.column(1).slice(lo, 512)
+                at, leaf = np.nonzero(wanted(levels, _vectors(xs), sizes, k + 1))
+                n = split[leaf]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at, leaf = np.repeat(at, n), np.repeat(leaf, n)
+                to = first[leaf] + within
+                order = np.lexsort((leaf, to, at))
+                at, leaf, to = at[order], leaf[order], to[order]
+                cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (to[1:] != to[:-1])])) if len(at) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)), pa.int32()), pa.array(leaf.astype(np.int32)))
+                pick = pa.array(at[cut])
+                yield pa.RecordBatch.from_arrays([ids.take(pick), xs.take(pick), pa.array(to[cut].astype(np.int32)), lists], ["id", "x", "block", "leaves"])
+
+    queries = stored(placed.filter(is_query).select("id", "x").mapInArrow(route, "id long, x array<double>, block int, leaves array<int>"), "queries")
+    asked = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
+    blocks = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(leaves)], "leaf int, first int, split int"))
+    turns = F.broadcast(asked)  # a row for each block, no more than leaves and rows / BLOCK together
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cand = placed.join(blocks, "part").select("part", deal(1, "nb").alias("b"), every("nq").alias("q"), "id", "x")
-    ask = queries.join(blocks, "part").select("part", every("nb").alias("b"), deal(2, "nq").alias("q"), "id", "x")
+    cand = placed.join(blocks, "leaf").select("leaf", (F.col("first") + deal(1, "split")).alias("block"), "id", "x")
+    cand = cand.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "leaf", "id", "x")
+    ask = queries.join(turns, "block").select("block", deal(2, "nq").alias("q"), "id", "x", "leaves")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b = left.combine_chunks(), right.combine_chunks()
-        one = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-        q, c, s = best(_vectors(one(a, "x")), one(a, "id").to_numpy(), _vectors(one(b, "x")), one(b, "id").to_numpy(), k)
-        return pa.table({"query_id": q, "vec_id": c, "score": s})
-
-    keys = ["part", "b", "q"]
-    found = ask.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(meet, schema)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best_of = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if left.num_rows and right.num_rows:
+            ids, x, lists = left.column("id").to_numpy(), _vectors(left.column("x").combine_chunks()), left.column("leaves").combine_chunks()
+            owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            leaf = lists.flatten().to_numpy()
+            c_ids, c_x, c_leaf = right.column("id").to_numpy(), _vectors(right.column("x").combine_chunks()), right.column("leaf").to_numpy()
+            for one in np.unique(leaf):
+                mine, here = owner[leaf == one], c_leaf == one
+                if here.any():
+                    got = best(x[mine], ids[mine], c_x[here], c_ids[here], k)
+                    best_of = top_k(*(np.concatenate(z) for z in zip(best_of, got, strict=True)), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), best_of, strict=True)))
+
+    keys = ["block", "q"]
+    return ask.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def top_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k largest scores, ties to smaller ids."""
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    use = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[use], c[use], s[use]

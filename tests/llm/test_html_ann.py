@@ -111,17 +111,49 @@ def test_few_vectors_are_searched_exactly(spark):
     assert all(len(v) == 4 for v in few.values()) and len(few) == 5
 
 
-def test_recall_of_the_learned_partition(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 256)
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 16))
-    x = (centres[rng.integers(0, 30, 4000)] + 0.4 * rng.normal(size=(4000, 16))).astype(np.float32).astype(float)
-    ids = np.arange(4000)
+def clustered(n, d=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(30, d))
+    x = centres[rng.integers(0, 30, n)] + 0.4 * rng.normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def recall_of(got, want):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+
+
+def compared(level, x, q):
+    """Share of the rows that the queries are compared with."""
+    sizes = np.bincount(level.place(x), minlength=level.parts)
+    return (ann.wanted([level], x[q], sizes, 21) @ sizes).mean() / len(x)
+
+
+def test_parts_follow_the_table():
+    assert [ann.parts_for(n, min(n, ann.SAMPLE)) for n in (20, 100, 500, 5000, 51_282, 10**9)] == [1, 2, 2, 16, 128, 128]
+    x = clustered(5000)
+    level = ann.fit(x, 5000, 20, 0.95)
+    assert level.parts == 16 and compared(level, x, np.arange(0, 5000, 20)) < 0.5
+    noise = np.random.default_rng(1).normal(size=(5000, 64))
+    assert ann.fit(noise, 5000, 20, 0.95).parts == 16
+
+
+def test_recall_of_the_learned_partition(spark):
+    x, ids = clustered(4000), np.arange(4000)
     got, want = searched(spark, ids, x, sample=2000), brute(ids, x, 20)
-    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
-    assert set(got) == set(want) and recall >= 0.9
+    assert set(got) == set(want) and recall_of(got, want) >= 0.9
     for q, rows in got.items():
-        assert rows == sorted(rows, key=lambda r: (-r[1], r[0])) and all(i != q for i, _ in rows)
+        assert len(rows) == 20 and rows == sorted(rows, key=lambda r: (-r[1], r[0])) and all(i != q for i, _ in rows)
+
+
+def test_recall_with_two_levels_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 64)
+    monkeypatch.setattr(ann, "MOST", 8)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    x, ids = clustered(4000, seed=5), np.random.default_rng(3).permutation(4000)
+    got, want = searched(spark, ids, x, sample=1000), brute(ids, x, 20)
+    assert set(got) == set(want) and recall_of(got, want) >= 0.9
+    assert all(rows == sorted(rows, key=lambda r: (-r[1], r[0])) for rows in got.values())
 
 
 def test_vectors_that_take_no_part(spark):
