@@ -87,11 +87,15 @@ def field_list(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ","), _trim), lambda f: f != "")
 
 
+#: The sentence that asks for named fields.
+FIELDS_PROMPT = ("Text Recognition: Extract only the following fields from this document: ", ". Return a flat JSON object where each key is one of the requested field names.")
+
+
 def prompt(custom: Column, fields: Column, formats: Column) -> Column:
     """A custom prompt first, then a list of fields, then the first format's."""
     first = F.lower(_trim(F.element_at(F.split(formats, ","), 1)))
-    named = F.concat(F.lit("Text Recognition: Extract only the following fields from this document: "), F.array_join(fields, ", "), F.lit(". Return a flat JSON object where each key is one of the requested field names."))
-    return F.when(F.coalesce(custom, F.lit("")) != "", custom).when(F.size(F.coalesce(fields, F.array().cast("array<string>"))) > 0, named).when(first == "table", "Table Recognition:").when(first == "formula", "Formula Recognition:").otherwise("Text Recognition:")
+    named = F.concat(F.lit(FIELDS_PROMPT[0]), F.array_join(fields, ", "), F.lit(FIELDS_PROMPT[1]))
+    return F.when(F.coalesce(custom, F.lit("")) != "", custom).when(F.size(F.coalesce(fields, F.array().cast("array<string>"))) > 0, named).when(first == "table", REGION_PROMPTS["table"]).when(first == "formula", REGION_PROMPTS["formula"]).otherwise(REGION_PROMPTS["text"])
 
 
 def region_prompt(region_type: Column, custom: Column | None = None) -> Column:
@@ -170,7 +174,7 @@ def megabytes(size: Column) -> Column:
     return F.round(size / 1048576.0, 2)
 
 
-def storage_path(path: Column, root: str = "/tmp/idep") -> Column:
+def storage_path(path: Column, root: str) -> Column:
     """Rooted paths stay, paths that start with the root's own name are rooted, others go below it."""
     bare = root.lstrip("/")
     return F.when(path.startswith("/"), path).when(path.startswith(bare), F.concat(F.lit("/"), path)).otherwise(F.concat(F.lit(root + "/"), path))

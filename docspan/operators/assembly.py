@@ -118,7 +118,7 @@ def post_process(results: DataFrame, raw: str = "raw", redact_text: bool = True)
     rows = results.withColumn("result_text", text)
     v = F.try_parse_json("result_text")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    wrapped = F.to_json(F.struct(F.col("result_text").alias("raw_text"), F.lit("unknown").alias("document_type"), F.lit(True).alias("_postprocessed"), F.lit("1.0").alias("_version")))
+    wrapped = F.to_json(F.struct(F.col("result_text").alias("raw_text"), F.lit("unknown").alias("document_type"), F.create_map().cast("map<string,string>").alias("fields"), F.array().cast("array<string>").alias("tables"), F.lit(True).alias("_postprocessed"), F.lit("1.0").alias("_version")))
     marked = F.concat(F.regexp_replace(F.to_json(v), r"\}$", ""), F.when(F.to_json(v) == "{}", "").otherwise(","), F.lit('"_postprocessed":true,"_version":"1.0"}'))
     size = lambda path, kind: F.coalesce(F.size(F.try_variant_get(v, path, kind)), F.lit(0)) > 0
     score = heuristic_confidence(F.col("result_text"), is_object & size("$.fields", "map<string,variant>"), is_object & size("$.tables", "array<variant>"), F.when(is_object, F.try_variant_get(v, "$.document_type", "string")))

@@ -6,8 +6,11 @@ Boxes are of a page x, y, w, h; sizes are whole numbers, divided without remaind
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from docspan.functions.text import blank, lines, split_lines, strip, words
 
 Box = tuple[int, int, int, int]
 PAGE: Box = (0, 0, 1000, 1000)
+# Patterns of pairs and headings, and the characters of a word that take no width.
 KV_COLON, KV_EQUALS = r"^([^:]+):\s*(.+)$", r"^([^=]+)=\s*(.+)$"
+NO_WIDTH = r"[^\p{L}\p{M}\p{N}_\s-]"
 HEADING = r"^(#{1,6}|\d+\.|\d+\.\d+\.?)\s+(.+)$"
 
 
@@ -64,31 +69,47 @@ def _numbered(df: DataFrame, keys: Sequence[str], text: str, page: Box) -> DataF
     return rows.select(*keys, "tall", F.posexplode("found").alias("line_no", "line"))
 
 
+def _side_by_side(x: int, w: int) -> Callable[[str], Column]:
+    """Start and width of each word of an array of words, of a line that begins at x and is w wide."""
+
+    @F.arrow_udf("array<struct<start:int,wide:int>>")
+    def place(found: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = found.flatten()
+        line = np.repeat(np.arange(len(n)), n)
+        size = lambda words: pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.bincount(line, size(flat), minlength=len(n))
+        clean = size(pc.replace_substring_regex(flat, NO_WIDTH, ""))
+        wide = np.maximum(10, np.floor(float(w) * (clean / total[line]))).astype(np.int64)
+        after = np.cumsum(wide + 5)
+        first = np.cumsum(n) - n
+        begun = np.append(0, after)[first]  # what the lines before have taken
+        start = x + after - wide - 5 - begun[line]
+        items = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(wide.astype(np.int32))], ["start", "wide"])
+        return pa.ListArray.from_arrays(pa.array(np.append(first, n.sum()).astype(np.int32)), items)
+
+    return place
+
+
 def word_boxes(df: DataFrame, keys: Sequence[str], text: str = "text", page: Box = PAGE, confidence: float = 0.9) -> DataFrame:
     """Words, each as wide as its share of the line's characters, at least 10, with 5 between.
 
-    The running position is a fold inside the line's array, so no row leaves its task.
+    A line's words stay one array until they have their places, so no row leaves its task; the running sum
+    over whole batches of lines is Arrow's and numpy's.
     """
     x, y, w, _ = page
     rows = _numbered(df, keys, text, page).withColumn("found", words(F.col("line"))).filter(F.size("found") > 0)
-    total = F.aggregate("found", F.lit(0), lambda n, s: n + F.char_length(s))
-    rows = rows.withColumn("total", total)
-    clean = lambda s: F.char_length(F.regexp_replace(s, r"(?U)[^\w\s-]", ""))
-    width = lambda s: F.greatest(F.lit(10), F.floor(F.lit(float(w)) * (clean(s) / F.col("total"))).cast("int"))
-    rows = rows.withColumn("widths", F.transform("found", width))
-    zero = F.struct(F.lit(x).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda acc, wide: F.struct((acc["at"] + wide + 5).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
-    rows = rows.withColumn("starts", F.aggregate("widths", zero, step)["starts"])
-    rows = rows.select(*keys, "tall", "line_no", F.posexplode(F.arrays_zip("found", "starts", "widths")).alias("word_no", "item"))
+    rows = rows.withColumn("placed", _side_by_side(x, w)("found"))
+    rows = rows.select(*keys, "tall", "line_no", F.posexplode(F.arrays_zip("found", "placed")).alias("word_no", "item"))
     conf = F.lit(confidence) * (F.lit(0.95) + F.lit(0.1) * (F.col("word_no") % 3) / F.lit(3.0))
     return rows.select(
         *keys,
         "line_no",
         "word_no",
         F.col("item.found").alias("word"),
-        F.col("item.starts").alias("x"),
+        F.col("item.placed.start").alias("x"),
         (F.lit(y) + F.col("line_no") * F.col("tall")).alias("y"),
-        F.col("item.widths").alias("w"),
+        F.col("item.placed.wide").alias("w"),
         F.col("tall").alias("h"),
         F.round(F.least(F.lit(1.0), conf), 3).alias("confidence"),
     )

@@ -66,6 +66,7 @@ def queue_score(priority: Column, enqueued: Column, intended: bool = False) -> C
 def queue_positions(queue: DataFrame, intended: bool = False, band: int = 3600) -> DataFrame:
     """queue with `score` and `position` from 1.  Scores fall into bands; the bands' counts are summed up
     in order, and jobs are numbered inside their band, so no task sorts the whole queue."""
+    # the running sum over bands is one task's, with a row for each band
     rows = queue.withColumn("score", queue_score(F.col("priority"), F.col("enqueued_at"), intended)).withColumn("__band", F.floor(F.col("score") / band))
     counts = rows.groupBy("__band").agg(F.count("*").alias("__n"))
     before = counts.select("__band", (F.sum("__n").over(Window.orderBy("__band")) - F.col("__n")).alias("__before"))
@@ -98,13 +99,20 @@ def missing_jobs(queue: DataFrame, jobs: DataFrame) -> DataFrame:
     return queue.join(jobs.select(F.col("id").alias("job_id")).distinct(), "job_id", "left_anti").withColumn("status", F.lit("FAILED"))
 
 
-def concurrency(spans: DataFrame, start: str, end: str, keys: list[str], slots: int = 5) -> DataFrame:
+def concurrency(spans: DataFrame, start: str, end: str, keys: list[str], slots: int = 5, band: int = 3_600_000) -> DataFrame:
     """For each span its holders at its start, itself included, and whether a slot was free: a running
-    count of starts and ends (an end comes before a start at the same time)."""
+    count of starts and ends (an end comes before a start at the same time).  Time is cut into bands; what
+    the bands before have left open is summed up over them, so no task holds a key's whole log."""
     up = spans.select(*keys, "id", F.col(start).alias("at"), F.lit(1).alias("step"))
     down = spans.select(*keys, "id", F.col(end).alias("at"), F.lit(-1).alias("step"))
-    w = Window.partitionBy(*keys).orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = up.unionByName(down).withColumn("holders", F.sum("step").over(w)).filter("step = 1")
+    steps = up.unionByName(down).withColumn("__band", F.floor(F.col("at") / band))
+    left = steps.groupBy(*keys, "__band").agg(F.sum("step").alias("__step"))
+    so_far = F.sum("__step").over(Window.partitionBy(*keys).orderBy("__band")) - F.col("__step")
+    left = left.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__band").alias("__of"), so_far.alias("__open"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__band") == F.col("__of")]
+    w = Window.partitionBy(*keys, "__band").orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = steps.withColumn("__in", F.sum("step").over(w)).filter("step = 1").join(left, same)
+    rows = rows.withColumn("holders", F.col("__open") + F.col("__in"))
     return rows.select(*keys, "id", "at", F.col("holders").cast("int").alias("holders"), (F.col("holders") <= slots).alias("admitted"))
 
 

@@ -143,7 +143,10 @@ ORACLES: dict[str, str] = {
   CASE type WHEN 'table' THEN 'Table Recognition:' WHEN 'formula' THEN 'Formula Recognition:' ELSE 'Text Recognition:' END AS task_prompt FROM (SELECT raw_type, count(*) AS n, {region_type('raw_type')} AS type FROM {REGIONS} GROUP BY raw_type)""",
     "prompt_selection": """SELECT CASE event_type WHEN 'error' THEN 'Read it' WHEN 'click' THEN 'Text Recognition: Extract only the following fields from this document: date, amount. Return a flat JSON object where each key is one of the requested field names.'
   WHEN 'view' THEN 'Table Recognition:' ELSE 'Text Recognition:' END AS prompt, count(*) AS n FROM events GROUP BY 1""",
-    "request_checks": "SELECT doc_id, CASE WHEN text = '' THEN 'image_ref is required' WHEN length(text) > 4096 THEN 'image_ref is too long' WHEN length(text[:3000]) > 2048 THEN 'prompt is too long' WHEN n_chars < 64 OR n_chars > 8192 THEN 'max_tokens is out of range' END AS reason, n_chars <= 4000 AS allowed, round(n_chars * 1024 / 1048576.0::DOUBLE, 2) AS mb FROM documents",
+    "request_checks": "SELECT doc_id, CASE WHEN text = '' THEN 'image_ref is required' WHEN length(text) > 4096 THEN 'image_ref is too long' WHEN length(text) > 2048 THEN 'prompt is too long' WHEN n_chars < 64 OR n_chars > 8192 THEN 'max_tokens is out of range' END AS reason, n_chars <= 4000 AS allowed, round(n_chars * 1024 / 1048576.0::DOUBLE, 2) AS mb FROM documents",
+    "file_routing": """SELECT doc_id, 'in/' || source || '/f' || doc_id || '.' || k AS path, CASE WHEN k = 'pdf' THEN 'pdf' WHEN k IN ('PNG', 'jpeg') THEN 'image' WHEN k IN ('docx', 'xlsx', 'pptx') THEN 'office'
+  WHEN k IN ('txt', 'csv', 'log') THEN 'text' WHEN k IN ('zip', 'tar.gz', 'txt.xz', '7z') THEN 'archive' ELSE 'unsupported' END AS kind, k IN ('zip', 'tar.gz', 'txt.xz', '7z') AS archive
+  FROM (SELECT *, ['pdf', 'PNG', 'jpeg', 'docx', 'xlsx', 'pptx', 'txt', 'csv', 'log', 'zip', 'tar.gz', 'txt.xz', '7z', 'exe', 'doc', ''][doc_id % 16 + 1] AS k FROM documents)""",
     "field_matches": "SELECT p_partkey, contains(replace(replace(lower(p_type), ' ', '_'), '-', '_'), 'anodized') OR contains('anodized', replace(replace(lower(p_type), ' ', '_'), '-', '_')) AS a, contains(replace(lower(p_name), ' ', '_'), 'small_ring') OR contains('small_ring', replace(lower(p_name), ' ', '_')) AS b, replace(replace(lower(p_name), ' ', '_'), '-', '_') AS key FROM part",
     "image_rules": """SELECT p_partkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - CASE WHEN p_size < 10 THEN 0.2 ELSE 0 END::DOUBLE - least(p_retailprice / 50 / 100, 0.3::DOUBLE) - CASE WHEN p_size * 2 < 30 THEN 0.2 ELSE 0 END::DOUBLE - CASE WHEN p_size / 20.0::DOUBLE > 1 THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN p_size % 3 = 0 THEN 0.1 ELSE 0 END::DOUBLE)), 4) AS score,
   w::BIGINT * h * 3 > 10 * 1048576 AS too_large, CASE WHEN greatest(w, h) <= 1280 THEN w ELSE greatest(1, floor(w * (1280.0::DOUBLE / greatest(w, h)))) END::INT AS new_w, CASE WHEN greatest(w, h) <= 1280 THEN h ELSE greatest(1, floor(h * (1280.0::DOUBLE / greatest(w, h)))) END::INT AS new_h,

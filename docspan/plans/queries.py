@@ -11,6 +11,7 @@ from docspan.functions import options as opt
 from docspan.functions import text as txt
 from docspan.operators import assembly, geometry, jobs, metrics, recognition, sequences, validation
 from docspan.plans import carriers as c
+from docspan.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAGE = geometry.PAGE
@@ -345,7 +346,7 @@ def prompt_selection(spark, sf):
 @query
 def request_checks(spark, sf):
     d = c.documents(spark, sf)
-    reason = opt.request_error(F.col("text"), F.substring(F.col("text"), 1, 3000), F.col("n_chars").cast("int"))
+    reason = opt.request_error(F.col("text"), F.col("text"), F.col("n_chars").cast("int"))
     return d.select("doc_id", reason.alias("reason"), opt.size_allowed(F.col("n_chars"), 4000).alias("allowed"), opt.megabytes(F.col("n_chars") * 1024).alias("mb"))
 
 
@@ -363,6 +364,20 @@ def image_rules(spark, sf):
     return p.select("p_partkey", score.alias("score"), opt.image_too_large(w, h, F.lit(3), 10).alias("too_large"), opt.bounded_edge(w, F.greatest(w, h), 1280).alias("new_w"), opt.bounded_edge(h, F.greatest(w, h), 1280).alias("new_h"), opt.percent_used(F.col("p_size"), F.lit(60)).alias("percent"), opt.backoff_seconds(F.col("p_size") % 5 + 1, 60.0).alias("wait"))
 
 
+# files
+
+
+def _paths():
+    """A path for each document, of every kind of file in turn."""
+    kinds = ("pdf", "PNG", "jpeg", "docx", "xlsx", "pptx", "txt", "csv", "log", "zip", "tar.gz", "txt.xz", "7z", "exe", "doc", "")
+    return F.concat(F.lit("in/"), F.col("source"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int")))
+
+
+@query
+def file_routing(spark, sf):
+    return c.documents(spark, sf).select("doc_id", _paths().alias("path")).select("doc_id", "path", files.route(F.col("path")).alias("kind"), files.is_archive(F.col("path")).alias("archive"))
+
+
 # jobs
 
 

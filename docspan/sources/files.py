@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 #: Fixed values.
 MAX_BYTES = 10 << 20
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
-OFFICE = (".doc", ".docx", ".odt")
+OFFICE = (".docx", ".xlsx", ".pptx")
 TEXTS = (".txt", ".csv")
-ARCHIVES = (".zip", ".rar", ".7z", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".gz", ".bz2")
-DOCUMENTS = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".doc", ".docx", ".txt", ".csv")
+FALLBACK_TEXTS = (".log",)
+ARCHIVES = (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".tgz", ".tbz2", ".txz")
+DOCUMENTS = (".pdf", ".docx", ".xlsx", ".pptx", ".csv", ".txt", ".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".webp")
 DEPTH = 10
 
 
@@ -33,13 +34,13 @@ def extension(path: Column) -> Column:
 
 
 def is_archive(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(zip|rar|7z|tar|tgz|tbz2|txz|gz|bz2|tar\.(gz|bz2|xz))$")
+    return extension(path).isin(*ARCHIVES)
 
 
 def route(path: Column) -> Column:
-    """What is done with a file, by its extension."""
+    """What is done with a file, by its extension.  Logs are taken as text, as the fallback ingest does."""
     ext = extension(path)
-    return F.when(ext == ".pdf", "pdf").when(ext.isin(*IMAGES), "image").when(ext.isin(*OFFICE), "office").when(ext.isin(*TEXTS), "text").when(is_archive(path), "archive").otherwise("unsupported")
+    return F.when(ext == ".pdf", "pdf").when(ext.isin(*IMAGES), "image").when(ext.isin(*OFFICE), "office").when(ext.isin(*TEXTS, *FALLBACK_TEXTS), "text").when(is_archive(path), "archive").otherwise("unsupported")
 
 
 def ingest(spark: SparkSession, path: str, pattern: str | None = None, limit: int = MAX_BYTES) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 
@@ -67,9 +68,9 @@ def test_text_functions(spark):
         (lambda: o.request_error(F.lit(""), F.lit(""), F.lit(None).cast("int")), "image_ref is required"),
         (lambda: o.request_error(F.lit("x"), F.lit(""), F.lit(64)), None),
         (lambda: o.clean_prompt(F.lit("a\x00b\tc")), "ab\tc"),
-        (lambda: o.storage_path(F.lit("/a")), "/a"),
-        (lambda: o.storage_path(F.lit("tmp/idep/a")), "/tmp/idep/a"),
-        (lambda: o.storage_path(F.lit("a")), "/tmp/idep/a"),
+        (lambda: o.storage_path(F.lit("/a"), "/srv/store"), "/a"),
+        (lambda: o.storage_path(F.lit("srv/store/a"), "/srv/store"), "/srv/store/a"),
+        (lambda: o.storage_path(F.lit("a"), "/srv/store"), "/srv/store/a"),
         (lambda: o.megabytes(F.lit(1572864)), 1.5),
         (lambda: o.backoff_seconds(F.lit(9), 60.0), 60.0),
         (lambda: o.bounded_edge(F.lit(2000), F.lit(4000), 1000), 500),
@@ -110,7 +111,7 @@ def test_fields_and_envelope(spark):
     raw = spark.createDataFrame([(1, '{"fields":{"a":1},"tables":[1],"document_type":"x"}'), (2, "plain"), (3, "[1]"), (4, "{}")], "id int, raw string")
     got = {r.id: (r.result, r.document_confidence) for r in assembly.post_process(raw).collect()}
     assert got[1][1] == 0.9 and got[1][0].endswith(',"_postprocessed":true,"_version":"1.0"}')
-    assert '"raw_text":"plain"' in got[2][0] and got[2][1] == 0.5 and '"raw_text":"[1]"' in got[3][0]
+    assert got[2] == ('{"raw_text":"plain","document_type":"unknown","fields":{},"tables":[],"_postprocessed":true,"_version":"1.0"}', 0.5) and '"raw_text":"[1]"' in got[3][0]
     assert got[4][0] == '{"_postprocessed":true,"_version":"1.0"}'
 
 
@@ -224,20 +225,24 @@ def test_files(spark, tmp_path):
         t_.addfile(info, io.BytesIO(b"deep"))
     (tmp_path / "a.txt").write_bytes(b"hello")
     (tmp_path / "b.TXT").write_bytes(b"hello")
-    (tmp_path / "c.zip").write_bytes(archive(x__txt="x", skip__exe="no", inner__zip=archive(y__csv="y"), t__tgz=tar.getvalue()))
+    (tmp_path / "c.zip").write_bytes(archive(x__txt="x", skip__exe="no", sheet__xlsx="s", inner__zip=archive(y__csv="y"), t__tgz=tar.getvalue()))
     (tmp_path / "d.txt.gz").write_bytes(gzip.compress(b"packed"))
     (tmp_path / "e.zip").write_bytes(b"broken")
+    (tmp_path / "j.pptx").write_bytes(b"slides")
+    (tmp_path / "k.txt.xz").write_bytes(lzma.compress(b"small"))
+    (tmp_path / "l.log").write_bytes(b"line")
     (tmp_path / "f.rar").write_bytes(b"rar")
     (tmp_path / "g.png").write_bytes(b"\x89PNG")
     (tmp_path / "h.pdf").write_bytes(b"%PDF")
     (tmp_path / "i.exe").write_bytes(b"x" * 50)
     got = {r.path.rsplit("/", 1)[1]: r for r in files.ingest(spark, str(tmp_path), limit=40_000).collect()}
-    assert {k: v.kind for k, v in got.items()} == {"a.txt": "text", "b.TXT": "text", "c.zip": "archive", "d.txt.gz": "archive", "e.zip": "archive", "f.rar": "archive", "g.png": "image", "h.pdf": "pdf", "i.exe": "unsupported"}
+    assert {k: v.kind for k, v in got.items()} == {"a.txt": "text", "b.TXT": "text", "c.zip": "archive", "d.txt.gz": "archive", "e.zip": "archive", "f.rar": "archive", "g.png": "image", "h.pdf": "pdf", "i.exe": "unsupported", "j.pptx": "office", "k.txt.xz": "archive", "l.log": "text"}
     assert got["a.txt"].hash == got["b.TXT"].hash and got["i.exe"].error and got["a.txt"].error is None
     assert files.ingest(spark, str(tmp_path), limit=10).filter("path like '%i.exe'").first().error.endswith("over the limit")
     all_ = files.contents(spark, str(tmp_path))
     inside = {r.member: (bytes(r.content) if r.content is not None else None, r.error) for r in files.flatten_archives(all_).collect()}
     assert inside["c.zip/x.txt"] == (b"x", None) and inside["c.zip/inner.zip/y.csv"] == (b"y", None) and inside["c.zip/t.tgz/in/deep.txt"] == (b"deep", None)
+    assert inside["c.zip/sheet.xlsx"] == (b"s", None) and inside["k.txt"] == (b"small", None)
     assert inside["d.txt"] == (b"packed", None) and inside["e.zip"][1].startswith("cannot be read") and inside["f.rar"][1] and "c.zip/skip.exe" not in inside
     fresh = files.new_files(files.ingest(spark, str(tmp_path), "*.[tT][xX][tT]"), spark.createDataFrame([("0",)], "hash string"))
     assert [r.path.rsplit("/", 1)[1] for r in fresh.collect()] == ["a.txt"]
