@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if it was counted and has no more rows than this (rows of fixed width).
 BROADCAST_ROWS = 200_000
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +38,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark.checkpoint.dir and may be deleted once the application has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
