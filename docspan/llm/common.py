@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,7 +45,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return out
+
+
+#: Paths of the tables stored in each scratch block that is open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block go when it ends, but for those given to `keep`.  What is read from
+    them must have been stored by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, a stored table, outlasts the innermost scratch block and belongs to the one around it."""
+    if _OPEN and df._scratch in _OPEN[-1]:
+        _OPEN[-1].remove(df._scratch)
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(df._scratch)
+    return df
 
 
 def packed(docs: DataFrame, *columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import stored
+from docspan.llm.common import keep, scratch, stored
 
 
 def connected(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -13,6 +13,11 @@ def connected(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     component.  start: (node, label) known beforehand, each label a node reachable from its node
     and not larger.  Each round takes the smallest label next to a node and then follows labels
     once more, so paths shrink by half or better a round.  Nodes without links have no row."""
+    with scratch(links.sparkSession):
+        return keep(_spread_labels(links, start))
+
+
+def _spread_labels(links: DataFrame, start: DataFrame | None) -> DataFrame:
     both = stored(
         links.filter("a <> b").select("a", "b").unionByName(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "links",
@@ -31,5 +36,6 @@ def connected(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         next_ = stored(next_.join(hop, "label", "left").select("node", F.least("label", "hop").alias("label"), "old"), "labels")
         changed = next_.filter("label <> old").limit(1).count()
         labels = next_.select("node", "label")
+        labels._scratch = next_._scratch
         if not changed:
             return labels

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspan.llm.common import small, sorted_runs, stored
+from docspan.llm.common import keep, scratch, small, sorted_runs, stored
 from docspan.llm.components import connected
 from docspan.llm.words import CHUNK_BYTES, in_chunks, mix, shingle_sets
 
@@ -210,6 +210,11 @@ def _dealt(node: str = "node", count: str = "size") -> Column:
 def _tiles(rows: DataFrame) -> DataFrame:
     """(key, deal, node, size, pull) of tiles with several nodes.  size: the rows that the tile had, copies
     included; pull: how many tiles the node shares, large ones counting more."""
+    with scratch(rows.sparkSession):
+        return keep(_formed(rows))
+
+
+def _formed(rows: DataFrame) -> DataFrame:
     # of a text with many copies, one row goes on
     many = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("uid").alias("one")).filter(F.col("n") > COPIES)
     some = rows.filter("node is not null").join(small(stored(many.select("node", "one"), "copied")), "node", "left").filter("one is null or one = uid")
@@ -272,6 +277,11 @@ def _linked(rule: Rule, x: tuple, y: tuple) -> bool:
 
 def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """(a, b, ok): whether the pairs are links, as far as the bitmaps let them through."""
+    with scratch(docs.sparkSession):
+        return keep(_decided(pairs, nodes, docs, rule, id_col, text_col))
+
+
+def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     close = stored(_beside_hubs(pairs, nodes, ["n", "band", "own", "below"], lambda x, y: _may_link(rule, x, y)).filter("ok").select("a", "b"), "close")
     ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     sets = _arrays(docs, nodes.join(ends, "node", "left_semi"), rule, id_col, text_col)
@@ -354,7 +364,12 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows as shingle_rows gives them; labels (node, label), the component of each
     linked node, in which every pair over the threshold is linked or joined by a chain of links."""
-    rows = stored(shingle_rows(docs, rule, id_col, text_col), "shingled")
+    with scratch(docs.sparkSession):
+        rows = keep(stored(shingle_rows(docs, rule, id_col, text_col), "shingled"))
+        return rows, keep(_components(docs, rows, rule, id_col, text_col))
+
+
+def _components(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     tiles = _tiles(rows)
     inside = rows.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
     nodes = stored(inside.dropDuplicates(["node"]), "inside")
@@ -366,9 +381,9 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     labels = stored(_joined(labels, links), "groups")
 
-    rest = _rest(tiles, hubs, labels)
     info = nodes.select("node", "n", "band", "own", "below")
-    named = stored(_compare(rest.join(info, "node"), rule, exact=False), "named")
+    with scratch(docs.sparkSession):
+        named = keep(stored(_compare(_rest(tiles, hubs, labels).join(info, "node"), rule, exact=False), "named"))
     tested = _exact(stored(named.select("a", "b").distinct(), "pairs"), nodes, docs, rule, id_col, text_col)
     links = links.unionByName(tested.filter("ok").select("a", "b"))
 
@@ -380,7 +395,7 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
         sets = _arrays(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi"), rule, id_col, text_col)
         found = _compare(rest.join(info, "node").join(sets, "node"), rule, exact=True)
         links = links.unionByName(stored(found.select("a", "b"), "found"))
-    return rows, connected(links)
+    return connected(links)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,18 +425,22 @@ def keep_one(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id",
     stays.  Very long texts are read whole.  An empty table gives an empty result.  Columns can have any
     names but __id and __row.
     """
-    rule = rule or Rule()
+    with scratch(docs.sparkSession):
+        return _first_of_each(docs, rule or Rule(), id_col, text_col)
+
+
+def _first_of_each(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     rows, labels = linked_nodes(docs, rule, id_col, text_col)
     heads = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "row")).alias("head"))
     heads = heads.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head"))
     name = [F.col("id").alias("__id"), F.col("row").alias("__row")]
-    kept = stored(heads.select("head.id", "head.row").select(*name).distinct(), "kept")
+    kept = keep(stored(heads.select("head.id", "head.row").select(*name).distinct(), "kept"))
     known, row = _known_by(id_col, text_col)
     tagged = docs.withColumns({"__id": known, "__row": row})
     words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     both = ["__id", "__row"]
     stay = tagged.filter(words).join(small(kept), both, "left_semi")
     # rows with equal id and text are known by the same; few are, so only these are regrouped
-    again = small(stored(rows.groupBy("id", "row").count().filter("count > 1").select(*name), "again"))
+    again = small(keep(stored(rows.groupBy("id", "row").count().filter("count > 1").select(*name), "again")))
     once = stay.join(again, both, "left_anti").unionByName(stay.join(again, both, "left_semi").dropDuplicates(both))
     return once.unionByName(tagged.filter(~words)).select(*(F.col(f"`{c}`") for c in docs.columns))
