@@ -17,6 +17,14 @@ BROADCAST_ROWS = 200_000
 #: Spark's setting by which a query's shuffle files go when it ends, not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Settings under which tables are stored: Python workers get batches of few rows and bytes, since what a
+#: batch takes there, and off the heap beside it, comes on top of the executor's heap.
+STORING = {
+    CLEANUP: "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,12 +47,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark.checkpoint.dir and may be deleted once the application has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    was = {k: spark.conf.get(k, None) for k in STORING}
+    for k, v in STORING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if _OPEN:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import packed, unpacked
+from docspan.llm.words import text_slices
 
 #: Characters of items that are searched in one reading of the documents; more items take more readings.
 BLOCK_CHARS = 8_000_000
@@ -183,7 +183,8 @@ def _finding(docs: DataFrame, items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(name, sent.value, rate)
         for t in batches:
-            rows = [(doc, *hit) for doc, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for hit in finder.find(text)]
+            ids = t.column(0).to_pylist()
+            rows = [(doc, *hit) for lo, hi, texts in text_slices(t.column(1)) for doc, text in zip(ids[lo:hi], texts, strict=True) for hit in finder.find(text)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
@@ -197,20 +198,20 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_co
     Null, blank and very long texts, and items: as in leaks.  Repeated rows stay or go together.  An empty
     table of documents stays empty; without items all rows stay.
     """
-    whole = packed(docs, text_col).toDF("__row", "__text")
+    kept = docs
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        whole = whole.mapInArrow(_keeping(docs, items, rate), whole.schema)
-    return unpacked(whole)
+        kept = kept.filter(_clean(docs, items, rate)(F.col(f"`{text_col}`")))
+    return kept
 
 
-def _keeping(docs: DataFrame, items: list[tuple[int, str]], rate: float):
+def _clean(docs: DataFrame, items: list[tuple[int, str]], rate: float):
+    """A function of texts: whether each holds none of the items."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     name = hash(tuple(items))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
         finder = _finder(name, sent.value, rate)
-        for t in batches:
-            clean = [not finder.find(text) for text in t.column(1).to_pylist()]
-            yield t.filter(pa.array(clean, pa.bool_()))
+        return pa.array([not finder.find(t) for _, _, texts in text_slices(text) for t in texts], pa.bool_())
 
-    return run
+    return clean

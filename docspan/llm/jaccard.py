@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docspan.llm.common import keep, scratch, small, sorted_runs, stored
 from docspan.llm.components import connected
-from docspan.llm.words import CHUNK_BYTES, in_chunks, mix, shingle_sets
+from docspan.llm.words import CHUNK_BYTES, mix, shingle_sets, text_slices
 
 #: Nodes of a tile that one task compares with as many others at a time.
 BLOCK = 4096
@@ -45,8 +45,6 @@ DEAL = 2048
 SAMPLED, HOT_TILES = 64, 100_000
 #: Texts with more copies than this go on as one row before tiles are formed, others after.
 COPIES = 8
-#: Texts that are unpacked at a time.
-SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -84,14 +82,6 @@ class Rule:
         return self.of * both >= self.share * (n + m - both)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Ranges of a batch's rows with their texts, a bounded amount of text at a time."""
-    for at in range(0, batch.num_rows, SLICE):
-        texts = batch.column(column).slice(at, SLICE).to_pylist()
-        for lo, hi in in_chunks(texts, CHUNK_BYTES // 2):
-            yield at + lo, at + hi, texts[lo:hi]
-
-
 def _known_by(id_col: str, text_col: str) -> tuple[Column, Column]:
     """(id, row): what a row is found again by, its id (0 for null) and a hash of its text."""
     key = F.col(f"`{id_col}`").cast("long")
@@ -105,7 +95,7 @@ def shingle_rows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _slices(batch, 4):
+            for lo, hi, texts in text_slices(batch.column(4), CHUNK_BYTES // 2):
                 sets = list(shingle_sets(texts, rule.words))
                 n = np.array([len(s) for s in sets], np.int64)
                 empty = n == 0
@@ -183,7 +173,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _slices(batch, 1):
+            for lo, hi, texts in text_slices(batch.column(1), CHUNK_BYTES // 2):
                 sets = [s.tobytes() for s in shingle_sets(texts, rule.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -248,6 +238,8 @@ def _beside_hubs(pairs: DataFrame, table: DataFrame, columns: list[str], judge:
                 ok.append(y is not None and x == now and judge(hub, v))
             keep = pa.array([y is not None for y in b], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep), pa.array(ok, pa.bool_()).filter(keep)], ["a", "b", "ok"])
+            del values, v
+            pa.default_memory_pool().release_unused()
 
     counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
     many = small(stored(counts.filter(F.col("size") > DEAL), "many"))

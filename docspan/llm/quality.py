@@ -17,12 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docspan.llm.common import packed, unpacked
-from docspan.llm.words import in_chunks, mix
+from docspan.llm.words import mix, text_slices
 
 #: Documents, expected, that the scorer is trained on.
 SAMPLE = 4000
@@ -220,12 +218,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED, text_col: str =
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            texts = t.column(0).to_pylist()
-            for lo, hi in in_chunks(texts, CHUNK):
-                p, n = np.unique(Features(texts[lo:hi]).pattern(), return_counts=True)
+            for _, _, texts in text_slices(t.column(0), CHUNK):
+                p, n = np.unique(Features(texts).pattern(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], ["pattern", "n"])
 
-    src = docs.select(F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{text_col}`").alias("text"))
     counts = {r[0]: r[1] for r in src.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()}
     if not counts:
         return np.zeros(WEIGHTS + 1), np.full((len(LABELLERS), 2, 3), 1 / 3)
@@ -233,14 +230,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED, text_col: str =
     # a document is in the sample by a hash of its id and text, so copies are drawn one by one
     share = sample / sum(counts.values())
     draw = F.xxhash64(F.lit(seed), "text", *([F.col("doc_id")] if "doc_id" in docs.columns else []))
-    part = docs.select(F.col(text_col).alias("text"), *(["doc_id"] if "doc_id" in docs.columns else [])).select("text", draw.alias("draw"))
+    part = docs.select(F.col(f"`{text_col}`").alias("text"), *(["doc_id"] if "doc_id" in docs.columns else [])).select("text", draw.alias("draw"))
     part = part.filter((F.col("draw") / float(1 << 63) + 1) / 2 < share)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            texts, draws = t.column(0).to_pylist(), t.column(1)
-            for lo, hi in in_chunks(texts, CHUNK):
-                f = Features(texts[lo:hi])
+            draws = t.column(1)
+            for lo, hi, texts in text_slices(t.column(0), CHUNK):
+                f = Features(texts)
                 shape, pair, stats = f.places()
                 doc = np.concatenate([f.text, f.text, np.repeat(np.arange(hi - lo), len(LABELLERS))])
                 value = np.concatenate([np.repeat(1 / np.maximum(f.words, 1), f.words)] * 2 + [np.ones(stats.size)])
@@ -266,26 +263,24 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed
     Repeated rows count each time and score alike.  Very long texts are read whole.  An empty table
     gives an empty result.  Columns of docs named quality or keep are replaced.
     """
-    return unpacked(_scored(docs.drop("quality", "keep"), threshold, sample, seed, text_col), "quality", "keep")
+    scored = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("quality", "keep")), _scorer(docs, sample, seed, text_col).alias("quality"))
+    return scored.withColumn("keep", F.col("quality") >= threshold)
 
 
-def _scored(docs: DataFrame, threshold: float, sample: int, seed: int, text_col: str) -> DataFrame:
-    """docs, packed, with quality and keep."""
+def _scorer(docs: DataFrame, sample: int, seed: int, text_col: str) -> Column:
+    """The probability of being good, by a scorer fitted on docs.  Only texts go to Python workers."""
     weights, _ = fit(docs, sample, seed, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            texts = t.column(1).to_pylist()
-            z = np.concatenate([np.zeros(0), *(Features(texts[lo:hi]).score(sent.value) for lo, hi in in_chunks(texts, CHUNK))])
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(p), pa.array(p >= threshold)], ["__row", "quality", "keep"])
+    @F.arrow_udf("double")
+    def quality(text: pa.Array) -> pa.Array:
+        z = np.concatenate([np.zeros(0), *(Features(texts).score(sent.value) for _, _, texts in text_slices(text, CHUNK))])
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
-    whole = packed(docs, text_col)
-    return whole.toDF("__row", "__text").mapInArrow(run, T.StructType([whole.schema["__row"], T.StructField("quality", T.DoubleType()), T.StructField("keep", T.BooleanType())]))
+    return quality(F.col(f"`{text_col}`"))
 
 
 def drop_rejected(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs, whatever their names.  Null
     and very long texts, repeated rows and an empty table: as in classify."""
-    return unpacked(_scored(docs, threshold, sample, seed, text_col).filter("keep"))
+    return docs.filter(_scorer(docs, sample, seed, text_col) >= threshold)

@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
+#: Texts that are unpacked at a time.
+SLICE = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,6 +82,16 @@ def in_chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tup
         yield lo, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a column with their texts; only a bounded amount of text, or one text that is longer, is
+    unpacked at a time, and memory that was freed goes back at the end."""
+    for at in range(0, len(column), SLICE):
+        texts = column.slice(at, SLICE).to_pylist()
+        for lo, hi in in_chunks(texts, limit):
+            yield at + lo, at + hi, texts[lo:hi]
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word n-grams; a text with fewer words has
     its whole sequence as the only one, and a text without words has none."""
