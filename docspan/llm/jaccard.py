@@ -366,19 +366,19 @@ def _components(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_
     inside = rows.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
     nodes = stored(inside.dropDuplicates(["node"]), "inside")
 
-    hubs = stored(tiles.groupBy("key", "size").agg(F.max(F.struct("pull", "node")).alias("h")).select("key", "size", F.col("h.node").alias("hub")), "hubs")
-    star = tiles.join(_spread(hubs).drop("size"), ["key", "deal"]).filter("node <> hub").select("node", "hub").distinct()
-    pull = tiles.groupBy("node").agg(F.max("pull").alias("pull")).withColumnRenamed("node", "hub")
+    hubs = tiles.groupBy("key", "size").agg(F.max(F.struct("pull", "node")).alias("h")).select("key", "size", F.col("h.node").alias("hub"), F.col("h.pull").alias("pull"))
+    hubs = stored(hubs, "hubs")
     # a node's strongest hub first; the others only matter where that leaves them in different groups
-    star = stored(star.join(pull, "hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "pull"), "star")
-    main = stored(star.groupBy("b").agg(F.max(F.struct("pull", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "main")
+    star = tiles.select("key", "deal", "node").join(_spread(hubs).drop("size"), ["key", "deal"]).filter("node <> hub")
+    main = stored(star.groupBy("node").agg(F.max(F.struct("pull", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("node").alias("b")), "main")
     tested = _exact(main, nodes, docs, rule, id_col, text_col)
     links = tested.filter("ok").select("a", "b")
     labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     labels = stored(_joined(labels, links), "groups")
-    group = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    other = star.select("a", "b").join(main, ["a", "b"], "left_anti").join(group("a"), "a", "left").join(group("b"), "b", "left")
-    other = other.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    # hubs take their group with them to their tiles, where only nodes of other groups go on
+    grouped = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("key", "size", "hub", F.coalesce("label", "hub").alias("label"))
+    other = tiles.select("key", "deal", "node").join(_spread(grouped).drop("size"), ["key", "deal"]).filter("node <> hub")
+    other = other.join(labels, ["node", "label"], "left_anti").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(main, ["a", "b"], "left_anti")
     tested = _exact(stored(other, "other"), nodes, docs, rule, id_col, text_col)
     more = tested.filter("ok").select("a", "b")
     links = links.unionByName(more)
