@@ -41,6 +41,12 @@ def layout_only(layout: DataFrame, keys: Sequence[str]) -> DataFrame:
     return layout.groupBy(*keys).agg(F.count("*").alias("n_regions"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("confidence")).withColumn("model", F.lit("PaddleOCR-only"))
 
 
+def two_stage_confidence(pages: DataFrame, joined: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean confidence of each page's joined regions, 0 for a page without any."""
+    mean = joined.groupBy(*keys).agg(F.avg("confidence").alias("__mean"))
+    return pages.select(*keys).distinct().join(mean, list(keys), "left").select(*keys, F.round(F.coalesce("__mean", F.lit(0.0)), 4).alias("confidence"))
+
+
 def two_stage_or_page(joined: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pages' regions, and for pages without any the whole page as one region."""
     return joined.unionByName(whole.join(joined.select(*keys).distinct(), list(keys), "left_anti"))

@@ -39,6 +39,13 @@ def line_boxes(df: DataFrame, keys: Sequence[str], text: str = "text", page: Box
     return rows.select(*keys, "line_no", "text", F.lit(x).alias("x"), (F.lit(y) + at).alias("y"), F.lit(w).alias("w"), F.least(tall, F.lit(h) - at).alias("h"), F.lit(confidence).alias("confidence"))
 
 
+def block_boxes(df: DataFrame, keys: Sequence[str], text: str = "text", kind: str = "type", page: Box = PAGE, confidence: str | None = None) -> DataFrame:
+    """The whole content as one box, the page's, of the region's type; without a confidence column it is 1."""
+    x, y, w, h = (F.lit(v) for v in page)
+    sure = F.lit(1.0) if confidence is None else F.col(confidence)
+    return df.select(*keys, F.col(text).alias("text"), F.col(kind).alias("type"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), sure.alias("confidence"))
+
+
 def line_elements(df: DataFrame, keys: Sequence[str], text: str = "text", output_format: str = "text", page_w: int = 612, page_h: int = 792) -> DataFrame:
     """Elements of a page: one a line, labelled, or one in all for formats that aren't lines."""
     if output_format in ("json", "table", "key_value", "structured"):

@@ -128,6 +128,8 @@ ORACLES: dict[str, str] = {
     "chunk_mean_confidence": f"SELECT job_id, round(sum(CASE WHEN error IS NULL THEN confidence ELSE 0 END) / count(*), 6) AS confidence FROM {TURNS} GROUP BY job_id",
     "token_totals": r"SELECT conv_id AS job_id, sum(length(text))::BIGINT AS prompt_tokens, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))::BIGINT AS completion_tokens FROM conversations GROUP BY 1",
     "region_content_join": f"SELECT * FROM {JOINED}",
+    "two_stage_confidence": f"SELECT p.page_id, round(coalesce(avg(j.confidence), 0.0::DOUBLE), 4) AS confidence FROM (SELECT DISTINCT page_id FROM pages) p LEFT JOIN {JOINED} j ON j.page_id = p.page_id GROUP BY p.page_id",
+    "block_boxes": f"SELECT page_id, index, raw_type AS text, {region_type('raw_type')} AS type, 0 AS x, 0 AS y, 1000 AS w, 1000 AS h, confidence FROM {REGIONS}",
     "layout_only": f"SELECT page_id, count(*) AS n_regions, round(avg(confidence), 6) AS confidence, 'PaddleOCR-only' AS model FROM {REGIONS} GROUP BY page_id",
     "full_page_fallback": f"""WITH j AS (SELECT j.* FROM {JOINED} j JOIN {REGIONS} r USING (page_id, index) WHERE coalesce(r.score, 1.0) >= 0.95 AND j.label = 'title')
   SELECT * FROM j UNION ALL SELECT page_id, 0, 'text', '', 0.9 FROM pages WHERE page_id NOT IN (SELECT page_id FROM j)""",

@@ -260,6 +260,19 @@ def layout_only(spark, sf):
     return assembly.layout_only(c.regions(spark, sf), ["page_id"])
 
 
+@query
+def two_stage_confidence(spark, sf):
+    layout = assembly.standard_types(c.regions(spark, sf))
+    joined = assembly.join_regions(layout, c.region_contents(spark, sf), ["page_id"])
+    return assembly.two_stage_confidence(c.table(spark, sf, "pages"), joined, ["page_id"])
+
+
+@query
+def block_boxes(spark, sf):
+    rows = assembly.standard_types(c.regions(spark, sf))
+    return geometry.block_boxes(rows, ["page_id", "index"], "raw_type", confidence="confidence")
+
+
 @query
 def full_page_fallback(spark, sf):
     layout = assembly.standard_types(assembly.filter_regions(c.regions(spark, sf), 0.95))
