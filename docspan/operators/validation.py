@@ -77,6 +77,12 @@ def word_overlaps(boxes: DataFrame, page_keys: Sequence[str], item: Sequence[str
     return both.withColumn("ratio", F.round(share, 6)).filter(F.col("ratio") > threshold).select(*page_keys, *(f"a_{c}" for c in item), *(f"b_{c}" for c in item), "ratio")
 
 
+def overlap_warnings(boxes: DataFrame, page_keys: Sequence[str], item: Sequence[str], threshold: float = 0.1) -> DataFrame:
+    """The pairs of word_overlaps as coded rows."""
+    code = F.lit("WORD_BOXES_OVERLAP")
+    return word_overlaps(boxes, page_keys, item, threshold).drop("ratio").withColumns({"code": code, "severity": severity(code)})
+
+
 def pair_code(key: Column, value: Column) -> Column:
     return F.when(key.isNull() | value.isNull(), "INVALID_KV_PAIR_FORMAT").when((key == "") & (value != ""), "ORPHANED_VALUE")
 

@@ -194,3 +194,4 @@ ORACLES: dict[str, str] = {
   f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(regexp_replace(line, '\s+', ' ', 'g')) ORDER BY turn, i) AS nth FROM l WHERE line <> '')
   SELECT conv_id AS job_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS line_no, line FROM f WHERE nth = 1""",
 }
+ORACLES["overlap_warnings"] = f"SELECT user_id, day, a_event_id, b_event_id, 'WORD_BOXES_OVERLAP' AS code, 'medium' AS severity FROM ({ORACLES['word_overlaps']})"

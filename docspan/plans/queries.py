@@ -192,12 +192,20 @@ def confidence_warnings(spark, sf):
     return validation.confidence_warnings(rows, ["event_id"])
 
 
-@query
-def word_overlaps(spark, sf):
+def _event_boxes(spark, sf):
     e = c.events(spark, sf)
     day = F.col("ts").cast("date").cast("string")
-    boxes = e.select("user_id", day.alias("day"), "event_id", F.floor("value").cast("int").alias("x"), (F.col("event_id") % 97 * 3).cast("int").alias("y"), F.lit(25).alias("w"), F.lit(12).alias("h"))
-    return validation.word_overlaps(boxes, ["user_id", "day"], ["event_id"])
+    return e.select("user_id", day.alias("day"), "event_id", F.floor("value").cast("int").alias("x"), (F.col("event_id") % 97 * 3).cast("int").alias("y"), F.lit(25).alias("w"), F.lit(12).alias("h"))
+
+
+@query
+def word_overlaps(spark, sf):
+    return validation.word_overlaps(_event_boxes(spark, sf), ["user_id", "day"], ["event_id"])
+
+
+@query
+def overlap_warnings(spark, sf):
+    return validation.overlap_warnings(_event_boxes(spark, sf), ["user_id", "day"], ["event_id"])
 
 
 @query
