@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import ann, chat, decontaminate, html, lm, mixing, pii, quality, sharding
+from docspan.llm import ann, chat, decontaminate, html, lm, mixing, negatives, pii, quality, sharding
 from docspan.llm.common import table
 from docspan.llm.jaccard import Rule, jaccard_components
 
@@ -62,9 +62,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "part", "perspective", "n_turns", "text", spans.alias("mask_spans"), "trained_chars")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    poisoned = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=poisoned)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting)
+    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting, op13_hard_negatives)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,5 +118,23 @@ SELECT conv_id, CAST(part AS VARCHAR) AS part, perspective, count(*) AS n_turns,
   coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto - 1 AS BIGINT)::VARCHAR, ',' ORDER BY nth) FILTER (WHERE own), '') AS mask_spans,
   CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars
 FROM placed GROUP BY conv_id, part, perspective
+""",
+    "op13_hard_negatives": """
+WITH vectors AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.row <> b.row WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, other) AS nth FROM pairs WHERE same QUALIFY nth <= 5
+), found AS (
+  SELECT p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.row, p.nth ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN pairs n ON n.row = p.row AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
 """,
 }
