@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import ann, chat, decontaminate, html, lm, mixing, negatives, pii, quality, sharding
+from docspan.llm import ann, chat, decontaminate, html, lm, mixing, negatives, pii, quality, repair, sharding
 from docspan.llm.common import table
 from docspan.llm.jaccard import Rule, jaccard_components
 
@@ -62,6 +62,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "part", "perspective", "n_turns", "text", spans.alias("mask_spans"), "trained_chars")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label, vec_id = F.col("label").cast("long"), F.col("vec_id")
     poisoned = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -70,7 +74,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting, op13_hard_negatives)
+    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting, op11_conversation_repair, op13_hard_negatives)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -118,6 +122,63 @@ SELECT conv_id, CAST(part AS VARCHAR) AS part, perspective, count(*) AS n_turns,
   coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT)::VARCHAR || '-' || CAST(upto - 1 AS BIGINT)::VARCHAR, ',' ORDER BY nth) FILTER (WHERE own), '') AS mask_spans,
   CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars
 FROM placed GROUP BY conv_id, part, perspective
+""",
+    "op11_conversation_repair": """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), faults AS (
+  SELECT given.* EXCLUDE (k), xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS f
+  FROM given, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faults WHERE f <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS c, lag(left(role, 1)) OVER w AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), judged AS (
+  SELECT *, seen = '' AS blank, seen <> '' AND again AS duplicate, seen <> '' AND NOT again AND right(seen, 1) NOT IN ('.', '!', '?') AS truncated FROM placed
+), inserted(p, n, m) AS (
+  VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)
+), steps(m, c, q) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), edits AS (
+  SELECT m, c, q, 'K' AS e, 0 AS price FROM steps UNION ALL SELECT m, c, q, 'R', 3 FROM steps WHERE c <> 's' UNION ALL SELECT m, NULL, m, 'D', 4 FROM (VALUES (0), (1), (2), (3)) v(m)
+), front(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, '000000000' FROM judged
+  UNION ALL
+  SELECT f.conv_id, r.i, e.q, min(lpad(CAST(CAST(left(f.best, 9) AS BIGINT) + 3 * n + price + CASE WHEN r.truncated AND e.e <> 'D' THEN 3 ELSE 0 END AS VARCHAR), 9, '0') || substr(f.best, 10) || repeat('I', n) || e.e)
+  FROM front f JOIN judged r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1 JOIN inserted s ON s.p = f.q
+    JOIN edits e ON e.m = s.m AND (e.e = 'D' OR NOT r.blank AND NOT r.duplicate AND (e.e = 'R' OR e.c = r.c))
+  GROUP BY f.conv_id, r.i, e.q
+), sizes AS (
+  SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id
+), ended AS (
+  SELECT f.conv_id, min(lpad(CAST(CAST(left(best, 9) AS BIGINT) + 3 * [0, 2, 1, 0][q + 1] AS VARCHAR), 9, '0') || substr(best, 10) || repeat('I', [0, 2, 1, 0][q + 1])) AS best
+  FROM front f JOIN sizes ON sizes.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = sizes.n GROUP BY f.conv_id
+), audits AS (
+  SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM ended
+), symbols AS (
+  SELECT conv_id, unnest(range(1, len(audit) + 1)) AS nr, unnest(string_split(audit, '')) AS e FROM audits WHERE audit <> ''
+), numbered AS (
+  SELECT *, count(*) FILTER (WHERE e <> 'I') OVER w AS i, count(*) FILTER (WHERE e <> 'D') OVER w AS nth FROM symbols WINDOW w AS (PARTITION BY conv_id ORDER BY nr)
+), lines AS (
+  SELECT n.conv_id, n.nr, n.e, n.nth, r.role, r.text, bool_or(n.nth = 1 AND n.e = 'K' AND r.c = 's') OVER (PARTITION BY n.conv_id) AS headed
+  FROM numbered n LEFT JOIN judged r ON n.e <> 'I' AND r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i WHERE n.e <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (nth % 2 = 1) = headed THEN 'assistant' ELSE 'user' END || ':' || coalesce(text, ''), chr(10) ORDER BY nr) AS body FROM lines GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+    count(*) FILTER (WHERE prior IS NOT NULL AND prior || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
 """,
     "op13_hard_negatives": """
 WITH vectors AS (
