@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import ann, chat, decontaminate, html, lm, mixing, negatives, pii, quality, repair, sharding
+from docspan.llm import ann, chat, decontaminate, html, lm, mixing, negatives, pii, quality, repair, repeats, sharding
 from docspan.llm.common import table
 from docspan.llm.jaccard import Rule, jaccard_components
 
@@ -66,6 +66,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.conversation_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label, vec_id = F.col("label").cast("long"), F.col("vec_id")
     poisoned = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -74,7 +78,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting, op11_conversation_repair, op13_hard_negatives)
+    for f in (op1_quality_classifier, op2_sharding, op3_html_extraction, op4_lm_scoring, op5_mixing, op6_ann, op7_decontamination, op8_pii, op9_ngram_jaccard_join, op10_chat_formatting, op11_conversation_repair, op12_suffix_array_dedup, op13_hard_negatives)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -179,6 +183,32 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
   coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id
   LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
+""",
+    "op12_suffix_array_dedup": """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT row, doc_id, i, b[i:i + 49] AS w FROM (SELECT *, unnest(range(1, octet_length(b) - 48)) AS i FROM docs)
+), marked AS (
+  SELECT row, i FROM (SELECT row, i, doc_id, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < doc_id
+), steps AS (
+  SELECT row, i, lag(i) OVER (PARTITION BY row ORDER BY i) AS prior FROM marked
+), runs AS (
+  SELECT row, i, sum(CASE WHEN prior IS NULL OR i - prior > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS run FROM steps
+), spans AS (
+  SELECT row, min(i) AS lo, max(i) + 50 AS hi FROM runs GROUP BY row, run
+), between_spans AS (
+  SELECT row, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 1) AS lo, lo AS hi FROM spans
+  UNION ALL SELECT row, max(hi), NULL FROM spans GROUP BY row
+), kept AS (
+  SELECT k.row, unhex(string_agg(hex(b[k.lo:coalesce(k.hi, octet_length(b) + 1) - 1]), '' ORDER BY k.lo)) AS rest
+  FROM between_spans k JOIN docs ON docs.row = k.row WHERE coalesce(k.hi, octet_length(b) + 1) > k.lo GROUP BY k.row
+), summed AS (
+  SELECT row, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY row
+)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(rest, ''::BLOB) END) AS kept_sha256
+FROM docs d LEFT JOIN summed ON summed.row = d.row LEFT JOIN kept ON kept.row = d.row
 """,
     "op13_hard_negatives": """
 WITH vectors AS (
