@@ -21,10 +21,12 @@ as runs of a single window each, by the window's own hash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ LONGEST = 256
 #: Surroundings (of 65,536 told apart) beyond which a gram is hot.
 HOT = 2048
 #: Least grams and bytes of runs that a bucket should hold.
-GRAMS, BYTES = 1 << 20, 2 << 20
+GRAMS, BYTES = 5 << 19, 1 << 20
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -78,161 +80,213 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def least_grams(data: np.ndarray) -> np.ndarray:
-    """The name of each window's least gram."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64)
-    return least_of(gram_hashes(data, GRAM), LENGTH - GRAM + 1) & _NAME
-
-
-def pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of a long text that overlap so that each window is in one of them, and where they start."""
-    for at in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
-        yield at, data[at : at + PIECE + LENGTH - 1]
-
-
-def runs(names: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (from, to) of each run over one name; runs end after LONGEST windows, and at every window that is single."""
-    if not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.r_[True, names[1:] != names[:-1]]
-    if single is not None:
-        new |= single
-    start = np.flatnonzero(new)
-    since = np.arange(len(names)) - np.repeat(start, np.diff(np.r_[start, len(names)]))
-    start = np.flatnonzero(new | (since % LONGEST == 0))
-    return start, np.r_[start[1:], len(names)]
+class Windows:
+    """All windows of some texts (parts of long ones) put together: name of the least gram, place in `raw`, number
+    of the text and place in it."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]]):
+        self.raw = b"".join(p[2] for p in parts)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        size = np.array([len(p[2]) for p in parts], np.int64)
+        base, count = np.cumsum(size) - size, size - LENGTH + 1
+        self.place = np.arange(count.sum()) + np.repeat(base - (np.cumsum(count) - count), count)
+        self.text = np.repeat(np.array([p[0] for p in parts], np.int64), count)
+        self.at = self.place + np.repeat(np.array([p[1] for p in parts], np.int64) - base, count)
+        self.names = (least_of(gram_hashes(self.data, GRAM), LENGTH - GRAM + 1) & _NAME)[self.place]
+        #: where windows don't follow on each other
+        self.breaks = np.r_[True, self.place[1:] != self.place[:-1] + 1]
+
+    def own_hashes(self) -> np.ndarray:
+        return gram_hashes(self.data, LENGTH)[self.place]
+
+    def runs(self, names: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (first, last) of each run over one name, LONGEST windows at most."""
+        new = np.r_[True, names[1:] != names[:-1]] | breaks
+        start = np.flatnonzero(new)
+        since = np.arange(len(names)) - np.repeat(start, np.diff(np.r_[start, len(names)]))
+        start = np.flatnonzero(new | (since % LONGEST == 0))
+        return start, np.r_[start[1:], len(names)] - 1
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each run."""
+        up, down = _powers(len(self.data))
+        total = np.r_[np.uint64(0), np.cumsum(_BYTE[self.data] * up, dtype=np.uint64)]
+        lo, hi = self.place[first], self.place[last] + LENGTH
+        return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+@lru_cache(1)
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        each = np.full(n, base, np.uint64)
+        each[0] = 1
+        out.append(np.cumprod(each, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _all_powers(max(2 * PIECE, 1 << n.bit_length()))
+    return up[:n], down[:n]
+
+
+def windows(texts: Iterable[bytes]) -> Iterator[Windows]:
+    """Windows of texts, about PIECE bytes at a time; parts of a long text overlap, so that each of its windows is
+    in one of them."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, raw in enumerate(texts):
+        for at in range(0, len(raw) - LENGTH + 1, PIECE):
+            part = raw[at : at + PIECE + LENGTH - 1]
+            if held and size + len(part) > PIECE:
+                yield Windows(held)
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield Windows(held)
 
 
 # ---------------------------------------------------------------- suffixes of a bucket
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of data (characters over 0, and separators, which are 0 or less and all different), by
-    doubling: only what isn't in order yet is sorted again."""
+    """Order of the suffixes of data: characters over 0, and separators 0, of which the last character is one and an
+    earlier one counts as less.  As many characters as fit a number beside the suffix's position are sorted at once,
+    then their number is doubled: only what isn't in order yet is sorted again."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    # a suffix's rank is the place of the first one that equals it so far
-    new = np.r_[True, rank[order][1:] != rank[order][:-1]]
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    size = 1
+    places = max(n - 1, 1).bit_length()
+    seen = np.flatnonzero(np.bincount(data, minlength=1)[1:]) + 1
+    small = np.zeros(int(data.max(initial=0)) + 1, np.uint64)
+    small[seen] = np.arange(1, len(seen) + 1)
+    bits = len(seen).bit_length()
+    size = max((64 - places) // max(bits, 1), 1)
+    key, text, alive = np.zeros(n, np.uint64), small[data], np.ones(n, bool)
+    for k in range(size):
+        key <<= np.uint64(bits)
+        if k < n:
+            alive[n - k :] = False
+            alive[: n - k] &= text[k:] > 0
+            key[: n - k] |= np.where(alive[: n - k], text[k:], 0)
+    key = np.sort((key << np.uint64(places)) | np.arange(n, dtype=np.uint64))
+    order = (key & np.uint64((1 << places) - 1)).astype(np.int32)
+    key >>= np.uint64(places)
+    # a suffix's rank is the place of the first one that equals it so far; those that ended differ by their separators
+    new = np.r_[True, key[1:] != key[:-1]][:n] | ~alive[order]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places whose suffix isn't alone
     while len(open_):
         own = order[open_]
-        ahead = rank[np.minimum(own + size, n - 1)]  # the data ends with a separator, so no equal ones reach the end
-        key = rank[own] * n + ahead
-        by = np.argsort(key, kind="stable")
-        own, key = own[by], key[by]
+        group = np.cumsum(new[open_])
+        ahead = rank[own + size]  # equal ones go on for as long
+        room = (len(open_) - 1).bit_length()
+        if int(group[-1]).bit_length() + places + room <= 63:
+            key = np.sort((group << (places + room)) | (ahead.astype(np.int64) << room) | np.arange(len(open_)))
+            own, key = own[key & ((1 << room) - 1)], key >> room
+        else:
+            key = (group << 32) | ahead
+            by = np.argsort(key)
+            own, key = own[by], key[by]
         order[open_] = own
-        new = np.r_[True, key[1:] != key[:-1]]
-        rank[own] = np.maximum.accumulate(np.where(new, open_, 0))
-        open_ = open_[~(new & np.r_[new[1:], True])]
+        new[open_] = np.r_[True, key[1:] != key[:-1]]
+        rank[own] = np.maximum.accumulate(np.where(new[open_], open_, 0))
+        begins = new[open_]
+        open_ = open_[~(begins & np.r_[begins[1:], True])]
         size *= 2
     return order
 
 
-def bounded_prefixes(data: np.ndarray, order: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lcp, group).  lcp: how many characters each suffix has in common with the one before it in order, separators
-    apart, at most `stop`.  group: for each place the number of the interval of suffixes that have their first `stop`
-    characters in common, -1 for suffixes that have them alone or are shorter.
+def bounded_prefixes(data: np.ndarray, order: np.ndarray, stop: int, lcp: np.ndarray | None = None) -> np.ndarray:
+    """For each place in order the number of the interval of suffixes that have their first `stop` characters in
+    common, -1 for suffixes that have them alone or are shorter.  lcp, if given, takes for each place how many
+    characters its suffix has in common with the one before it, separators apart, at most `stop`.
 
     Round by round the intervals of suffixes with a common prefix w of l characters are extended backward, by each
     character c that stands before them in the transform: the suffixes that begin with c and go on with those of
     one interval are the interval of cw.  Places at which intervals part in round l have l characters in common."""
     n = len(data)
-    lcp = np.full(n, -1, np.int64)
-    group = np.full(n, -1, np.int64)
-    if not n:
-        return lcp, group
+    if lcp is not None:
+        lcp[:], lcp[:1] = stop, 0
     transform = data[order - 1]  # the character before each suffix
-    # where c stands before the suffix at place i, the suffix longer by c is at place forward[i]
-    forward = np.empty(n, np.int64)
-    forward[np.argsort(transform, kind="stable")] = np.arange(n)
-    behind = np.empty(n, np.int64)  # the other way: the place of the suffix that is shorter by its first character
-    behind[forward] = np.arange(n)
+    # where c stands before the suffix at place i, the suffix longer by c comes at the place that i has when
+    # all places are sorted by c: so this order says which place each longer suffix extends
+    extends = np.argsort(transform, kind="stable").astype(np.int32)
     first = data[order]
-    places = np.arange(n)
-    interval = np.zeros(n, np.int64)  # by place, in the last round; at first all have the empty prefix in common
-    lcp[0] = 0
+    places = np.arange(n, dtype=np.int32)
+    interval = np.zeros(n, np.int32)  # by place, in the last round; at first all have the empty prefix in common
     for length in range(stop):
         # of the suffixes that had `length` characters in common with others, those still with others by one more
-        shorter = interval[behind[places]]
-        whole = (shorter >= 0) & (first[places] > 0)
-        alone = ~(whole[1:] & whole[:-1] & (shorter[1:] == shorter[:-1]) & (first[places][1:] == first[places][:-1]))
-        within = (places[1:] == places[:-1] + 1) & (interval[places[1:]] == interval[places[:-1]])
-        lcp[places[1:][alone & within]] = length
-        new = np.r_[True, alone]
-        many = ~(new & np.r_[new[1:], True])
-        number = np.cumsum(new)
-        interval[places] = -1
-        places = places[many]
-        interval[places] = number[many]
+        shorter = interval[extends]
+        whole = (shorter >= 0) & (first > 0)
+        alone = (shorter[1:] != shorter[:-1]) | (first[1:] != first[:-1]) | ~whole[1:]
+        if lcp is not None:
+            own = interval[places]
+            lcp[places[1:][alone & (own[1:] == own[:-1])]] = length
+        new = np.r_[True, alone][: len(places)]
+        many = ~(new & np.r_[alone, True][: len(places)])
+        number = np.cumsum(new, dtype=np.int32)
+        interval[places] = np.where(many, number, -1)
+        places, extends, first = places[many], extends[many], first[many]
         if not len(places):
             break
+    group = np.full(n, -1, np.int32)
     group[places] = interval[places]
-    lcp[lcp < 0] = stop
-    return lcp, group
+    return group
 
 
-def least_owners(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string (distinct ones) and each of its windows the least owner of a string that holds the window."""
+def least_owners(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """strings: distinct ones.  For each byte of each, in order and with a separator behind each string, the number of
+    the string, whether a window starts there, and the least owner of a string that holds this window."""
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes + 1)
-    data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
-    data[ends - 1] = -np.arange(len(strings))
+    data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int16) + np.int16(1)
+    data[ends - 1] = 0
     order = suffix_order(data)
-    group = bounded_prefixes(data, order, length)[1]
+    group = bounded_prefixes(data, order, length)
     string = np.repeat(np.arange(len(strings)), sizes + 1)
-    least = owners[string]  # by position
+    starts = np.arange(len(data)) <= np.repeat(ends - 1 - length, sizes + 1)
+    least = owners[string]
     places = np.flatnonzero(group >= 0)
     if len(places):
         start = np.flatnonzero(np.r_[True, group[places][1:] != group[places][:-1]])
         lowest = np.minimum.reduceat(least[order[places]], start)
         least[order[places]] = np.repeat(lowest, np.diff(np.r_[start, len(places)]))
-    return [least[end - 1 - size : end - length] for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return string, starts, least
 
 
 # ---------------------------------------------------------------- what Spark's tasks do
 
 
-def _hashed(strings: list[bytes]) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in strings]
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """A column's values one after another."""
+    return (v.as_buffer().to_pybytes() for v in column)
 
 
 def _grams(buckets: int):
-    """Least grams of texts, packed: a row a batch and bucket, with the texts' keys, how many grams each has, and for
-    each gram its name and 16 bits of its run's hash."""
+    """Least grams of texts, packed: a row for some texts and a bucket, with the texts' keys, how many grams each has,
+    and for each gram its name and 16 bits of a hash of its run's surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, words = [], []
-            for i, text in enumerate(batch.column("text")):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                for _, part in pieces(data):
-                    names = least_grams(part)
-                    start, stop = runs(names)
-                    # the run's surroundings: hashes of its first and last window
-                    edge = gram_hashes(part, LENGTH)
-                    around = mix(edge[start] ^ (edge[stop - 1] * np.uint64(3)))
-                    words.append(np.unique(names[start] | (around & np.uint64(0xFFFF))))
-                    which.append(np.full(len(words[-1]), i))
-            if not words:
-                continue
-            which, words = np.concatenate(which), np.concatenate(words)
-            bucket = (mix(words >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket * len(batch) + which, kind="stable")
-            which, words, bucket = which[by], words[by], bucket[by]
             keys = batch.column("key").to_numpy()
-            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-            out: list[list] = [[], [], [], []]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                own, counts = np.unique(which[lo:hi], return_counts=True)
-                for column, value in zip(out, (bucket[lo], keys[own].tobytes(), counts.astype(np.uint32).tobytes(), words[lo:hi].tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "keys", "counts", "grams"])
+            for w in windows(_texts(batch.column("text"))):
+                first, last = w.runs(w.names, w.breaks)
+                own = w.own_hashes()
+                around = mix(own[first] ^ (own[last] * np.uint64(3)))
+                words, which = w.names[first] | (around & np.uint64(0xFFFF)), w.text[first]
+                bucket = (mix(words >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                by = np.lexsort((words, which, bucket))
+                which, words, bucket = which[by], words[by], bucket[by]
+                new = np.r_[True, (words[1:] != words[:-1]) | (which[1:] != which[:-1])]
+                which, words, bucket = which[new], words[new], bucket[new]
+                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+                out: list[list] = [[], [], [], []]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    texts, counts = np.unique(which[lo:hi], return_counts=True)
+                    for column, value in zip(out, (bucket[lo], keys[texts].tobytes(), counts.astype(np.uint32).tobytes(), words[lo:hi].tobytes()), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "keys", "counts", "grams"])
 
     return run
 
@@ -267,25 +321,6 @@ def _shared(hot: int):
     return run
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of texts whose windows have shared grams, with the hot ones of these."""
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for key, doc_id, text, packed in zip(*(batch.column(c) for c in ("key", "doc_id", "text", "grams")), strict=True):
-            raw = text.as_py().encode()
-            marks = np.unique(np.frombuffer(b"".join(packed.as_py()), np.uint64))
-            hot = marks[marks & np.uint64(1) == 1] & _NAME
-            marks = np.unique(marks & _NAME)
-            for at, part in pieces(np.frombuffer(raw, np.uint8)):
-                names = least_grams(part)
-                edge = np.diff(_among(names, marks).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-                for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    own = hot[_among(hot, np.unique(names[lo:hi]))] if len(hot) else hot
-                    for column, value in zip(out, (key.as_py(), doc_id.as_py(), at + lo, raw[at + lo : at + hi + LENGTH - 1], own.tobytes()), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.binary()) for c in out[3:])], names=["key", "doc_id", "start", "bytes", "hot"])
-
-
 def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Whether each value is one of a sorted array."""
     if not len(of):
@@ -293,37 +328,59 @@ def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _cut(raw: bytes, packed: bytes) -> tuple[list[int], list[bytes], np.ndarray]:
-    """A fragment's runs: gram (of a single window, its own hash), bytes and first window."""
-    data, hot = np.frombuffer(raw, np.uint8), np.frombuffer(packed, np.uint64)
-    names = least_grams(data)
-    single = _among(names, hot) if len(hot) else None
-    if single is not None and single.any():
-        names = np.where(single, gram_hashes(data, LENGTH), names)
-        start, stop = runs(names, single | np.r_[False, single[:-1]])
-    else:
-        start, stop = runs(names)
-    return names[start].view(np.int64).tolist(), [raw[lo : hi + LENGTH - 1] for lo, hi in zip(start.tolist(), stop.tolist(), strict=True)], start
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of texts whose windows have shared grams, with the hot ones of these.  Whether a gram is shared or hot
+    is known of the gram, whichever text's list it is read from."""
+    for batch in batches:
+        marks = np.unique(np.frombuffer(b"".join(x for packed in batch.column("grams").to_pylist() for x in packed), np.uint64))
+        hot = marks[marks & np.uint64(1) == 1] & _NAME
+        marks = np.unique(marks & _NAME)
+        keys, ids = batch.column("key"), batch.column("doc_id")
+        for w in windows(_texts(batch.column("text"))):
+            on = np.flatnonzero(_among(w.names, marks))
+            new = np.r_[True, (on[1:] != on[:-1] + 1) | w.breaks[on[1:]]][: len(on)]
+            first, last = on[new], on[np.r_[new[1:], True][: len(on)]]
+            lo, hi = w.place[first].tolist(), (w.place[last] + LENGTH).tolist()
+            found = [b""] * len(first)
+            if len(hot):
+                found = [hot[_among(hot, np.unique(w.names[a : b + 1]))].tobytes() for a, b in zip(first, last, strict=True)]
+            texts = pa.array(w.text[first])
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(texts), ids.take(texts), pa.array(w.at[first]), pa.array([w.raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array(found, pa.binary())],
+                names=["key", "doc_id", "start", "bytes", "hot"],
+            )
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[Windows, np.ndarray, np.ndarray, np.ndarray]]:
+    """Fragments' windows, and of their runs the gram (of a single window over a hot gram, its own hash), the first
+    and the last window."""
+    hot = np.unique(np.frombuffer(b"".join(batch.column("hot").to_pylist()), np.uint64))
+    for w in windows(_texts(batch.column("bytes"))):
+        names, breaks = w.names, w.breaks
+        if len(hot):
+            single = _among(names, hot)
+            names = np.where(single, w.own_hashes(), names)
+            breaks = breaks | single | np.r_[False, single[:-1]]
+        first, last = w.runs(names, breaks)
+        yield w, names[first], first, last
 
 
 def _distinct_runs(buckets: int):
-    """Runs of fragments, equal ones of a batch folded."""
+    """Runs of fragments; equal ones that are read together are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, list] = {}
-            for doc_id, raw, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bytes", "hot")), strict=True):
-                for gram, string in zip(*_cut(raw, hot)[:2], strict=True):
-                    known = seen.get(string)
-                    if known is None:
-                        seen[string] = [gram, doc_id, doc_id]
-                    elif doc_id < known[1]:
-                        known[1] = doc_id
-                    elif doc_id > known[2]:
-                        known[2] = doc_id
-            grams, least, most = (np.array(c, np.int64) for c in zip(*seen.values(), strict=True)) if seen else (np.zeros(0, np.int64),) * 3
-            bucket = (mix(grams.view(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(list(seen), pa.binary()), pa.array(least), pa.array(most)], names=["bucket", "bytes", "least", "most"])
+            ids = batch.column("doc_id").to_numpy()
+            for w, gram, first, last in _runs(batch):
+                hashed, owner = w.hashes(first, last), ids[w.text[first]]
+                by = np.lexsort((gram, hashed))
+                start = np.flatnonzero(np.r_[True, (hashed[by][1:] != hashed[by][:-1]) | (gram[by][1:] != gram[by][:-1])])
+                least, most = np.minimum.reduceat(owner[by], start), np.maximum.reduceat(owner[by], start)
+                one = by[start]
+                strings = [w.raw[a:b] for a, b in zip(w.place[first[one]].tolist(), (w.place[last[one]] + LENGTH).tolist(), strict=True)]
+                bucket = (mix(gram[one] + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+                made = [pa.array(bucket), pa.array(gram[one].view(np.int64)), pa.array(hashed[one].view(np.int64)), pa.array(strings, pa.binary()), pa.array(least), pa.array(most)]
+                yield pa.RecordBatch.from_arrays(made, names=["bucket", "gram", "run", "bytes", "least", "most"])
 
     return run
 
@@ -333,27 +390,28 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (from, to); runs of one document only, without such windows, have no row."""
     for group in sorted_runs(batches, ["bucket"]):
         strings, least, most = group["bytes"].to_pylist(), group["least"].to_numpy(), group["most"].to_numpy()
-        held: list[list] = [[], [], []]
-        for i, owner in enumerate(least_owners(strings, least)):
-            edge = np.diff((owner < least[i]).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-            if most[i] > least[i] or edge.any():
-                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
-                for column, value in zip(held, (strings[i], least[i], spans.astype(np.int32).tobytes()), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(_hashed(held[0]), pa.int64()), pa.array([len(s) for s in held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.binary())], names=["run", "size", "least", "spans"])
+        string, starts, owner = least_owners(strings, least)
+        edge = np.diff((starts & (owner < least[string])).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = string[lo]
+        begin = np.searchsorted(string, of)
+        spans = np.stack([lo - begin, hi - begin], axis=1).astype(np.int32)
+        cuts = np.searchsorted(of, np.arange(len(strings) + 1))
+        some = np.flatnonzero((most > least) | (cuts[1:] > cuts[:-1]))
+        rows = group.select(["gram", "run", "least"]).take(pa.array(some)).combine_chunks()
+        size = pa.array([len(strings[i]) for i in some.tolist()], pa.int64())
+        packed = pa.array([spans[cuts[i] : cuts[i + 1]].tobytes() for i in some.tolist()], pa.binary())
+        for part in rows.append_column("size", size).append_column("spans", packed).to_batches():
+            yield part
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for key, doc_id, at, raw, hot in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "start", "bytes", "hot")), strict=True):
-            _, strings, start = _cut(raw, hot)
-            out[0] += _hashed(strings)
-            out[1] += map(len, strings)
-            out[2] += [key] * len(strings)
-            out[3] += [doc_id] * len(strings)
-            out[4] += (start + at).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["run", "size", "key", "doc_id", "at"])
+        for w, gram, first, last in _runs(batch):
+            texts = pa.array(w.text[first])
+            at = pc.add(batch.column("start").take(texts), pa.array(w.at[first]))
+            made = [pa.array(gram.view(np.int64)), pa.array(w.hashes(first, last).view(np.int64)), batch.column("key").take(texts), batch.column("doc_id").take(texts), at]
+            yield pa.RecordBatch.from_arrays(made, names=["gram", "run", "key", "doc_id", "at"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +419,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
-            raw = text.as_py().encode()
+            raw = text.as_buffer().to_pybytes()
             spans = found.as_py() or []
             lo = np.concatenate([np.frombuffer(s["spans"], np.int32)[0::2].astype(np.int64) + s["at"] for s in spans] or [np.zeros(0, np.int64)])
             hi = np.concatenate([np.frombuffer(s["spans"], np.int32)[1::2].astype(np.int64) + s["at"] for s in spans] or [np.zeros(0, np.int64)]) + LENGTH - 1
@@ -411,10 +469,10 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
         # a run has 14 windows or so, hence 63 bytes for 14
         total = fragments.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
         buckets = max(parts, -(-5 * total // BYTES))
-        distinct = fragments.select("doc_id", "bytes", "hot").mapInArrow(_distinct_runs(buckets), "bucket int, bytes binary, least long, most long")
-        distinct = distinct.repartition(min(buckets, 8 * parts), "bucket").groupBy("bucket", "bytes").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        owners = stored(distinct.sortWithinPartitions("bucket").mapInArrow(_owners, "run long, size long, least long, spans binary"), "owners")
-        met = fragments.mapInArrow(_occurrences, "run long, size long, key long, doc_id long, at long").join(owners, ["run", "size"])
+        distinct = fragments.select("doc_id", "bytes", "hot").mapInArrow(_distinct_runs(buckets), "bucket int, gram long, run long, bytes binary, least long, most long")
+        distinct = distinct.repartition(min(buckets, 8 * parts), "bucket").groupBy("bucket", "gram", "run", "bytes").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        owners = stored(distinct.sortWithinPartitions("bucket").mapInArrow(_owners, "gram long, run long, least long, size long, spans binary"), "owners")
+        met = fragments.mapInArrow(_occurrences, "gram long, run long, key long, doc_id long, at long").join(owners, ["gram", "run"])
         all_windows = F.concat(F.lit(b"\0\0\0\0"), _int32(F.col("size") - LENGTH + 1))
         spans = F.when(F.col("doc_id") > F.col("least"), all_windows).otherwise(F.col("spans"))
         found = met.select("key", "at", spans.alias("spans")).filter("octet_length(spans) > 0").groupBy("key").agg(F.collect_list(F.struct("at", "spans")).alias("found"))

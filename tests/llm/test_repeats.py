@@ -82,11 +82,13 @@ def test_nothing(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_suffixes_and_common_prefixes(seed):
     rng = random.Random(seed)
-    strings = list({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(20)})
-    data = np.array([c for k, s in enumerate(strings) for c in [*(ord(x) + 1 for x in s), -k]])
+    strings = list({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(20)} | {"ab" * 40, "b" * 70, "b" * 71})
+    data = np.array([c for s in strings for c in [*(ord(x) + 1 for x in s), 0]], np.int16)
     order = repeats.suffix_order(data)
-    assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:].tolist())
-    lcp, group = repeats.bounded_prefixes(data, order, 7)
+    apart = [int(c) or k - len(data) for k, c in enumerate(data)]  # an earlier separator is less
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: apart[i:])
+    lcp = np.zeros(len(data), int)
+    group = repeats.bounded_prefixes(data, order, 7, lcp)
     want = [0]
     for a, b in zip(order, order[1:], strict=False):
         n = 0
@@ -99,5 +101,6 @@ def test_suffixes_and_common_prefixes(seed):
 
 def test_least_owner_of_each_window():
     strings = [b"abcdefgh", b"xcdefgy", b"zzzzzzzz"]
-    got = repeats.least_owners(strings, np.array([5, 3, 4]), 4)
-    assert [x.tolist() for x in got] == [[5, 5, 3, 3, 5], [3, 3, 3, 3], [4, 4, 4, 4, 4]]
+    string, starts, least = repeats.least_owners(strings, np.array([5, 3, 4]), 4)
+    got = [least[(string == k) & starts].tolist() for k in range(3)]
+    assert got == [[5, 5, 3, 3, 5], [3, 3, 3, 3], [4, 4, 4, 4, 4]]
