@@ -7,14 +7,19 @@ Scalars are SQL expressions, so Catalyst sees through them; table functions turn
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 from docspan.functions.text import REDACTIONS, similarity
+from docspan.operators.geometry import HEADING, KV_COLON, KV_EQUALS
 
 _FULL_LINES = r"filter(split(t, r'\r\n|[\n\r\x0b\f]', -1), s -> s rlike r'\S')"
 _LINES = "split(t, '\\n', -1)"
 _STRIP = r"regexp_replace(regexp_replace({}, r'^\s+', ''), r'\s+$', '')"
-_COLON, _EQUALS = r"r'^([^:]+):\s*(.+)$'", r"r'^([^=]+)=\s*(.+)$'"
+_COLON, _EQUALS = f"r'{KV_COLON}'", f"r'{KV_EQUALS}'"
 
 
 def _redact() -> str:
@@ -42,9 +47,50 @@ def _statements() -> list[str]:
     return [make.format(head, body) for head, body in {**scalar, **tables}.items()]
 
 
+# the heading pattern as Java reads it: `.` stops at any line terminator, `$` may stand before one at the end
+_ENDS = "\n\r\x85\u2028\u2029"
+_HEAD = re.compile(HEADING.replace(".+", f"[^{_ENDS}]+").replace("$", rf"(?:\r\n|[{_ENDS}])?\Z"), re.ASCII)
+_BLANKS = " \t\n\x0b\f\r"
+
+
+@udtf(returnType="section_no int, level int, heading string, content string, y int, h int", useArrow=True)
+class ExtractSections:
+    """extract_sections(text, page_h): the sections of a text and where they stand on a page of this height.  It
+    goes from line to line and holds the section that is open."""
+
+    def eval(self, text: str, page_h: int) -> Iterator[tuple]:
+        if text is None or page_h is None or not text.strip(_BLANKS):
+            return
+        lines = [line.strip(_BLANKS) for line in text.split("\n")]
+        tall = page_h // len(lines)
+        held: list = []  # number, level, heading, first line, lines below
+        number = 0
+        for at, line in enumerate(lines):
+            head = _HEAD.match(line)
+            if head:
+                if held:
+                    yield self.row(held, at, tall)
+                number += 1
+                mark = head[1]
+                level = len(mark) if mark.startswith("#") else mark.count(".") + 1
+                held = [number, level, head[2], at, []]
+            elif not held:
+                held = [0, 0, "Preamble", at, [line]]
+            elif held[0]:
+                held[4].append(line)
+        yield self.row(held, len(lines), tall)
+
+    @staticmethod
+    def row(held: list, after: int, tall: int) -> tuple:
+        number, level, heading, first, below = held
+        content = "\n".join(x for x in below if x) if number else below[0]
+        return number, level, heading, content, first * tall, (after - first if number else 1) * tall
+
+
 def register(spark: SparkSession) -> None:
     """Defines the functions in the session: redact_pii, validate_bbox, score_confidence, text_similarity;
-    extract_lines, extract_words, extract_key_values, extract_table."""
+    extract_lines, extract_words, extract_key_values, extract_table, extract_sections."""
     for statement in _statements():
         spark.sql(statement)
     spark.udf.register("text_similarity", similarity)
+    spark.udtf.register("extract_sections", ExtractSections)

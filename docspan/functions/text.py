@@ -5,13 +5,13 @@ White space is that of `\\s` in Java and RE2: space and 0x09-0x0D.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspan.functions.diff import ratio
+
 #: What is redacted, in this order.
 REDACTIONS = (
     ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
@@ -99,16 +99,7 @@ def complexity_level(score: Column) -> Column:
     return F.when(score < 0.3, "low").when(score < 0.6, "medium").when(score < 0.8, "high").otherwise("very_high")
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts; 1 if both are empty, 0 if one is.  The time is quadratic
-    in the texts' length, so pass lines or passages rather than books."""
-
-    def ratio(x: str | None, y: str | None) -> float:
-        if not x and not y:
-            return 1.0
-        if not x or not y:
-            return 0.0
-        return difflib.SequenceMatcher(None, x, y).ratio()
-
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+@F.arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How much of two texts is the same, from 0 to 1 (`diff.ratio`): 1 if both are empty, 0 if one is."""
+    return pa.array([ratio(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())

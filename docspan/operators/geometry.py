@@ -6,7 +6,7 @@ Boxes are of a page x, y, w, h; sizes are whole numbers, divided without remaind
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -198,35 +198,51 @@ def table_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sections(df: DataFrame, keys: Sequence[str], text: str = "text", page: Box = PAGE) -> DataFrame:
     """Headings (# marks, or numbers) with the lines below them; of the lines before the first heading,
-    the first alone makes a preamble.  A text's lines stay one array, cut at its headings, so no row
-    leaves its task."""
+    the first alone makes a preamble.  Null and blank texts have no sections.  A text's lines stay one array:
+    Arrow batches are cut at the headings of all their texts at once, so the time is linear and no row leaves its task."""
     x, y, w, h = page
     rows = df.filter(~blank(F.col(text))).select(*keys, F.transform(lines(F.col(text)), strip).alias("said"))
-    heads = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda i: F.element_at("said", i + 1).rlike(HEADING))
-    rows = rows.withColumns({"n": F.size("said"), "heads": heads})
-    early = F.when(F.coalesce(F.get("heads", F.lit(0)), F.lit(-1)) == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumns({"early": F.size(early), "cuts": F.concat(early, "heads")})
-    rows = rows.select(*keys, "said", "n", "early", "cuts", F.posexplode("cuts").alias("at", "first"))
-    next_ = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("n"))
-    rows = rows.withColumns({"next": next_, "line": F.element_at("said", F.col("first") + 1), "section_no": (F.col("at") + 1 - F.col("early")).cast("int")})
+    rows = rows.withColumn("heads", F.transform("said", lambda s: s.rlike(HEADING)))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    cut = rows.mapInArrow(_cut_at_heads, f"{kept}, section_no int, first int, after int, n int, line string, below string")
     preamble = F.col("section_no") == 0
     marker = F.regexp_extract("line", HEADING, 1)
     numbered = F.char_length(marker) - F.char_length(F.replace(marker, F.lit("."))) + 1
-    below = F.filter(F.slice("said", F.col("first") + 2, F.col("next") - F.col("first") - 1), lambda s: s != "")
     tall = _div(F.lit(h), F.col("n"))
-    return rows.select(
+    return cut.select(
         *keys,
         "section_no",
         F.when(preamble, 0).when(marker.startswith("#"), F.char_length(marker)).otherwise(numbered).cast("int").alias("level"),
         F.when(preamble, "Preamble").otherwise(F.regexp_extract("line", HEADING, 2)).alias("heading"),
-        F.when(preamble, F.col("line")).otherwise(F.array_join(below, "\n")).alias("content"),
+        F.when(preamble, F.col("line")).otherwise(F.col("below")).alias("content"),
         F.lit(x).alias("x"),
         (F.lit(y) + F.col("first") * tall).cast("int").alias("y"),
         F.lit(w).alias("w"),
-        (F.when(preamble, 1).otherwise(F.col("next") - F.col("first")) * tall).cast("int").alias("h"),
+        (F.when(preamble, 1).otherwise(F.col("after") - F.col("first")) * tall).cast("int").alias("h"),
     )
 
 
+def _cut_at_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sections of texts whose lines (`said`) and heads are lists: where each begins and ends among its text's lines,
+    its first line, and the lines below that aren't empty."""
+    for batch in batches:
+        said, heads = batch.column("said"), batch.column("heads")
+        edge = said.offsets.to_numpy().astype(np.int64)
+        flat, at = said.flatten(), edge - edge[0]
+        head = heads.flatten().to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(head | np.isin(np.arange(len(head)), at[:-1]))  # a heading, or a text's first line
+        text = np.searchsorted(at, first, "right") - 1
+        after = np.minimum(np.r_[first[1:], len(head)][: len(first)], at[text + 1])
+        before = np.cumsum(head) - head  # headings of the batch before each line
+        number = np.where(head[first], before[first] - before[at[text]] + 1, 0)
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        strings, place = flat.filter(pa.array(full)).to_pylist(), np.r_[0, np.cumsum(full)]
+        below = ["\n".join(strings[place[lo + 1] : place[hi]]) for lo, hi in zip(first.tolist(), after.tolist(), strict=True)]
+        kept = [c for c in batch.schema.names if c not in ("said", "heads")]
+        made = [*(batch.column(c).take(pa.array(text)) for c in kept), *(pa.array(v.astype(np.int32)) for v in (number, first - at[text], after - at[text], at[text + 1] - at[text])), flat.take(pa.array(first)), pa.array(below, pa.string())]
+        yield pa.RecordBatch.from_arrays(made, [*kept, "section_no", "first", "after", "n", "line", "below"])
+
+
 def vertical_segments(df: DataFrame, keys: Sequence[str], width: str, height: str, segments: int = 3, overlap: int = 40) -> DataFrame:
     """Bands of a page from top to bottom, overlapping, the last to the end; without any, the page."""
     n = max(2, segments)

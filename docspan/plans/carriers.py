@@ -42,6 +42,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream that reads what is there."""
+    schema = table(spark, sf_dir, "events").schema
+    at = F.col("ts").cast("timestamp")
+    # as a pattern, since a stream's plain path has to be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumns({"ts": at, "ms": F.unix_millis(at)})
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The opening tags of web pages as layout regions, in page order: raw type = tag, with a score and a
     box that follow from the position; every 7th has no score."""

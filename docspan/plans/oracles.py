@@ -195,3 +195,22 @@ ORACLES: dict[str, str] = {
   SELECT conv_id AS job_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS line_no, line FROM f WHERE nth = 1""",
 }
 ORACLES["overlap_warnings"] = f"SELECT user_id, day, a_event_id, b_event_id, 'WORD_BOXES_OVERLAP' AS code, 'medium' AS severity FROM ({ORACLES['word_overlaps']})"
+
+
+def _replayed(seconds: int, limit: int) -> str:
+    """Each user's events one after another, with the admitted ones that are still in the window."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nth FROM {EVENTS}),
+  run AS (SELECT event_id, user_id, ms, nth, true AS admitted, [ms] AS held FROM e WHERE nth = 1
+    UNION ALL SELECT event_id, user_id, ms, nth, len(kept) < {limit}, CASE WHEN len(kept) < {limit} THEN list_append(kept, ms) ELSE kept END
+      FROM (SELECT e.*, list_filter(run.held, lambda t: t > e.ms - {seconds * 1000}) AS kept FROM run JOIN e ON e.user_id IS NOT DISTINCT FROM run.user_id AND e.nth = run.nth + 1))"""
+
+
+ORACLES |= {
+    "rate_limit_admitted": f"{_replayed(6 * 3600, 1)} SELECT event_id, admitted, len(held) AS in_window FROM run",
+    "stream_rate_limit": f"{_replayed(86_400, 2)} SELECT event_id, admitted, len(held) AS in_window FROM run",
+    "stream_dedup": f"{_replayed(86_400, 1)} SELECT event_id, user_id, ms FROM run WHERE admitted",
+    "stream_rate_5m": """SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events
+  GROUP BY ALL HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events)""",
+    "stream_expiry": f"""SELECT user_id, ms AS last_ms, ms + 86400000 AS expired_ms FROM (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next_ms, max(ms) OVER () AS latest FROM {EVENTS})
+  WHERE CASE WHEN next_ms IS NULL THEN ms + 86400000 <= latest ELSE next_ms - ms >= 86400000 END""",
+}

@@ -12,6 +12,8 @@ from docspan.functions import text as txt
 from docspan.operators import assembly, geometry, jobs, metrics, recognition, sequences, validation
 from docspan.plans import carriers as c
 from docspan.sources import files
+from docspan.sources.shared import shared_folder
+from docspan.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAGE = geometry.PAGE
@@ -554,6 +556,33 @@ def rate_limit_admitted(spark, sf):
     return sequences.admitted_requests(c.events(spark, sf).select("event_id", "user_id", "ms"), "user_id", seconds=6 * 3600, limit=1).select("event_id", "admitted", "in_window")
 
 
+# streams, each run over all of its source from an empty state
+
+
+@query
+def stream_rate_5m(spark, sf):
+    """Windows that the watermark has closed."""
+    counted = streams.rates(c.arriving_events(spark, sf), ["event_type"]).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    return streams.caught_up(counted, shared_folder(spark, "rate"))
+
+
+@query
+def stream_dedup(spark, sf):
+    first = streams.first_within(c.arriving_events(spark, sf).select("event_id", "user_id", "ms", "ts"), "user_id")
+    return streams.caught_up(first.select("event_id", "user_id", "ms"), shared_folder(spark, "dedup"))
+
+
+@query
+def stream_rate_limit(spark, sf):
+    limited = streams.admitted(c.arriving_events(spark, sf).select("event_id", "user_id", "ms", "ts"), "user_id", seconds=86_400, limit=2)
+    return streams.caught_up(limited.select("event_id", "admitted", "in_window"), shared_folder(spark, "limit"))
+
+
+@query
+def stream_expiry(spark, sf):
+    return streams.caught_up(streams.expired(c.arriving_events(spark, sf), "user_id"), shared_folder(spark, "expiry"))
+
+
 @query
 def circuit_breaker(spark, sf):
     e = c.events(spark, sf).select("event_id", "user_id", "ms", (F.col("event_type") == "error").alias("failed"))

@@ -6,12 +6,12 @@ Sources are folders of files; `available` runs what is there and ends, for tests
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
@@ -35,24 +35,104 @@ def first_seen(docs: DataFrame, key: str = "hash", ts: str = "ts", ttl: str = "2
     return docs.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def admitted(requests: DataFrame, key: str, ms: str = "ms", seconds: int = 60, limit: int = 100) -> DataFrame:
-    """requests (key, id, ms) with `admitted`: a key's admitted requests of the last seconds are its state,
-    at most limit of them."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+class _Held(StatefulProcessor):
+    """Keeps of each key the times that count, and lets go of them by an event-time timer: a time-to-live of
+    state would count processing time, and a catch-up run would never see it pass."""
 
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(ms, kind="stable")
-        out = []
-        for at in rows[ms]:
-            held = [t for t in held if t > at - seconds * 1000]
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(int(at))
-        state.update((held,))
-        yield rows.assign(admitted=out)
+    def __init__(self, time: str, span_ms: int):
+        self.time, self.span = time, span_ms
 
-    return requests.groupBy(key).applyInPandasWithState(step, f"{schema}, admitted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long")
+
+    def times(self) -> list[int]:
+        return [at for (at,) in self.held.get()] if self.held.exists() else []
+
+    def keep(self, times: list[int]) -> None:
+        """Holds these times until the last of them is `span` old."""
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if times:
+            self.held.put([(int(t),) for t in times])
+            self.handle.registerTimer(int(times[-1]) + self.span)
+        else:
+            self.held.clear()
+
+    def in_order(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """A key's rows of one batch, which the trigger bounds."""
+        return pd.concat(rows).sort_values(self.time, kind="stable")
+
+    def close(self) -> None:
+        pass
+
+
+class _Limiter(_Held):
+    def __init__(self, time: str, span_ms: int, limit: int):
+        super().__init__(time, span_ms)
+        self.limit = limit
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held, good, full = self.times(), [], []
+        batch = self.in_order(rows)
+        for at in batch[self.time].tolist():
+            held = [t for t in held if t > at - self.span]
+            good.append(len(held) < self.limit)
+            if good[-1]:
+                held.append(at)
+            full.append(len(held))
+        self.keep(held)
+        yield batch.assign(admitted=good, in_window=full)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.held.clear()
+        yield pd.DataFrame()
+
+
+class _Expiry(_Held):
+    def rows(self, key: tuple, last: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"state_key": pd.Series([key[0]] * len(last), dtype=object), "last_ms": last, "expired_ms": [t + self.span for t in last]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        times = self.times() + self.in_order(rows)[self.time].tolist()
+        times.sort()
+        self.keep(times[-1:])
+        yield self.rows(key, [a for a, b in zip(times, times[1:], strict=False) if b - a >= self.span])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        gone = self.times()
+        self.held.clear()
+        yield self.rows(key, gone)
+
+
+def _named(key: str) -> Column:
+    """The key as a string that is never null: pandas would make other numbers of whole ones beside a null."""
+    return F.to_json(F.struct(F.col(key).alias("key")))
+
+
+def admitted(requests: DataFrame, key: str, ms: str = "ms", ts: str = "ts", seconds: int = 60, limit: int = 100, late: str = "0 seconds") -> DataFrame:
+    """requests with `admitted` and `in_window`, how many of the key's admitted ones then are in the window.  A key's
+    admitted requests of the last seconds are its state, at most limit of them; it goes when the watermark of ts,
+    the time that ms has in milliseconds, has passed the last one's window.  Rows without a key have a key of their own; rows later
+    than `late` are dropped by Spark."""
+    schema = StructType([*requests.schema.fields, *StructType.fromDDL("state_key string, admitted boolean, in_window long").fields])
+    rows = requests.withColumn("state_key", _named(key)).withWatermark(ts, late).groupBy("state_key")
+    return rows.transformWithStateInPandas(_Limiter(ms, seconds * 1000, limit), schema, "append", "eventTime").drop("state_key")
+
+
+def first_within(rows: DataFrame, key: str, ms: str = "ms", ts: str = "ts", seconds: int = 86_400, late: str = "0 seconds") -> DataFrame:
+    """Rows whose key was not let through in the last seconds: a key that is set once lives so long, and repetitions
+    don't lengthen its life."""
+    return admitted(rows, key, ms, ts, seconds, 1, late).filter("admitted").drop("admitted", "in_window")
+
+
+def expired(puts: DataFrame, key: str, ms: str = "ms", ts: str = "ts", seconds: int = 86_400, late: str = "0 seconds") -> DataFrame:
+    """(key, last_ms, expired_ms): entries that were not put again for so many seconds after last_ms, as soon as the next
+    put or the watermark of ts shows it.  A put just as the time is over comes too late."""
+    rows = puts.select(_named(key).alias("state_key"), ms, ts).withWatermark(ts, late).groupBy("state_key")
+    gone = rows.transformWithStateInPandas(_Expiry(ms, seconds * 1000), "state_key string, last_ms long, expired_ms long", "append", "eventTime")
+    kind = puts.schema[key].dataType.simpleString()
+    return gone.select(F.from_json("state_key", f"key {kind}")["key"].alias(key), "last_ms", "expired_ms")
 
 
 def drain(queue: DataFrame, submit, every: str = "10 seconds", most: int = 10) -> DataStreamWriter:
@@ -69,5 +149,27 @@ def available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append
     return stream.sparkSession.table(name)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Inside, streams are started with the state store that state by key needs."""
+    name, was = "spark.sql.streaming.stateStore.providerClass", None
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def caught_up(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what its source holds now, writing files into folder; what came out of it, this time and
+    earlier ones.  Run again it goes on from there."""
+    spark = stream.sparkSession
+    with keyed_state(spark):
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def write_metrics(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

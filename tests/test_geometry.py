@@ -113,3 +113,42 @@ def test_round_trip(spark):
     assert rows(v.round_trip(df, g.sections(df, ["doc_id"]), ["doc_id"]), "similarity", "preserved", "code") == [(1.0, True, None)]
     lost = one(spark, "p\n" + "q " * 200 + "\n# A")
     assert v.round_trip(lost, g.sections(lost, ["doc_id"]), ["doc_id"]).first().code == "CONTENT_NOT_PRESERVED"
+
+
+def test_sections_of_many_texts(spark):
+    """Against plain reading of lines, several texts in a batch, blank and null ones among them."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    lines = ["# One", "## Two ", "1. First", "1.2 Second", "1.2. Third", "text", " more text ", "", "#no", "####### seven", "3.a", "été", "# x\ry", "a\tb"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["", " \n ", None]
+    want = []
+    for k, text in enumerate(texts):
+        if text is None or not text.strip():
+            continue
+        said = [x.strip(" \t\n\x0b\f\r") for x in text.split("\n")]
+        heads = [i for i, x in enumerate(said) if re.match(r"^(#{1,6}|\d+\.|\d+\.\d+\.?)[ \t]+([^\r]+)\Z", x)]
+        tall = 1000 // len(said)
+        if heads[:1] != [0]:
+            want.append((k, 0, 0, "Preamble", said[0], 0, tall))
+        for n, (lo, hi) in enumerate(zip(heads, [*heads[1:], len(said)], strict=False)):
+            mark, heading = said[lo].split(None, 1)
+            level = len(mark) if mark[0] == "#" else mark.count(".") + 1
+            want.append((k, n + 1, level, heading, "\n".join(x for x in said[lo + 1 : hi] if x), lo * tall, (hi - lo) * tall))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    cols = ["doc_id", "section_no", "level", "heading", "content", "y", "h"]
+    assert sorted(rows(g.sections(df, ["doc_id"]), *cols)) == sorted(want)
+    assert g.sections(df.limit(0), ["doc_id"]).count() == 0
+    from docspan.functions.register import register
+
+    register(spark)
+    df.createOrReplaceTempView("headed")
+    told = spark.sql("SELECT d.doc_id, s.* FROM headed d, LATERAL extract_sections(d.text, 1000) s")
+    assert sorted(map(tuple, told.select(*cols).collect())) == sorted(want)
+
+
+def test_sections_of_a_long_text(spark):
+    text = "\n".join(f"# head {i}" if i % 3 == 0 else f"line {i}" for i in range(60_000))
+    got = g.sections(one(spark, text), ["doc_id"])
+    assert got.count() == 20_000 and got.filter("section_no = 7").first().content == "line 19\nline 20"

@@ -270,7 +270,8 @@ def test_streams(spark, tmp_path):
     assert ratios.agg(F.sum("errors")).first()[0] == 15
     seen = streams.available(streams.first_seen(src().select("hash", "ts")), "s_first", str(tmp_path / "c3"))
     assert sorted(r.hash for r in seen.collect()) == [f"h{i}" for i in range(9)]
-    limited = streams.available(streams.admitted(src().select("id", "user", "ms"), "user", seconds=100, limit=1), "s_limit", str(tmp_path / "c4"))
+    with streams.keyed_state(spark):
+        limited = streams.available(streams.admitted(src().select("id", "user", "ms", "ts"), "user", seconds=100, limit=1), "s_limit", str(tmp_path / "c4"))
     batch = sequences.admitted_requests(df.select("id", "user", "ms"), "user", seconds=100, limit=1)
     assert {(r.id, r.admitted) for r in limited.collect()} == {(r.id, r.admitted) for r in batch.collect()}
     taken = []
