@@ -206,6 +206,7 @@ def _replayed(seconds: int, limit: int) -> str:
 
 
 ORACLES |= {
+    "archive_members": "SELECT 'doc' || doc_id || '.txt' AS name, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS sha256, CAST(NULL AS VARCHAR) AS error FROM documents",
     "rate_limit_admitted": f"{_replayed(6 * 3600, 1)} SELECT event_id, admitted, len(held) AS in_window FROM run",
     "stream_rate_limit": f"{_replayed(86_400, 2)} SELECT event_id, admitted, len(held) AS in_window FROM run",
     "stream_dedup": f"{_replayed(86_400, 1)} SELECT event_id, user_id, ms FROM run WHERE admitted",

@@ -11,7 +11,7 @@ from docspan.functions import options as opt
 from docspan.functions import text as txt
 from docspan.operators import assembly, geometry, jobs, metrics, recognition, sequences, validation
 from docspan.plans import carriers as c
-from docspan.sources import files
+from docspan.sources import archives, files
 from docspan.sources.shared import shared_folder
 from docspan.streaming import streams
 
@@ -556,6 +556,19 @@ def rate_limit_admitted(spark, sf):
     return sequences.admitted_requests(c.events(spark, sf).select("event_id", "user_id", "ms"), "user_id", seconds=6 * 3600, limit=1).select("event_id", "admitted", "in_window")
 
 
+@query
+def archive_members(spark, sf):
+    """The documents, packed into ZIP and TAR archives and read from these again."""
+    folder = shared_folder(spark, "archives")
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(23))
+    ending = F.when(number % 3 == 0, ".zip").when(number % 3 == 1, ".tar").otherwise(".tar.gz")
+    packed = c.documents(spark, sf).select(F.concat(F.lit("part"), number.cast("string"), ending).alias("archive"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    archives.write_archives(packed, folder).write.format("noop").mode("overwrite").save()
+    archives.register(spark)
+    rows = spark.read.format("archives").option("partitionBytes", 1 << 20).load(folder)
+    return rows.select(F.regexp_extract("member", r"/(doc.*)$", 1).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), "error")
+
+
 # streams, each run over all of its source from an empty state
 
 

@@ -6,12 +6,7 @@ read becomes a row with an error.
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import io
-import lzma
-import tarfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,51 +73,29 @@ def decode_image(source: Column) -> Column:
     return F.unbase64(F.regexp_replace(source, r"^data:[^,]*,", ""))
 
 
-def members(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """Documents in an archive and in archives inside it: (path, bytes, error)."""
-    low = name.lower()
-    if depth > DEPTH:
-        yield name, None, f"nested more than {DEPTH} deep"
-        return
-    try:
-        if low.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-        elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
-        elif low.endswith((".gz", ".bz2", ".xz")):
-            opened = {"gz": gzip.decompress, "bz2": bz2.decompress, "xz": lzma.decompress}[low.rsplit(".", 1)[1]](data)
-            found = [(name.rsplit(".", 1)[0], opened)]
-        elif low.endswith((".rar", ".7z")):
-            yield name, None, "needs a program that isn't here"
-            return
-        elif low.endswith(DOCUMENTS):
-            yield name, data, None
-            return
-        else:
-            return
-    except Exception as err:  # a broken archive is a row, not a failed job
-        yield name, None, f"cannot be read: {err}"
-        return
-    for inner, body in found:
-        path = inner if low.endswith((".gz", ".bz2", ".xz")) and not low.endswith((".tar.gz", ".tar.bz2", ".tar.xz")) else f"{name}/{inner}"
-        yield from members(path, body, depth + 1)
-
-
-def flatten_archives(files: DataFrame) -> DataFrame:
-    """(path, member, content, error) of files (path, content): the documents in archives, and files that
-    are documents themselves."""
+def flatten_archives(files: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """(path, member, content, error) of files (path, content): the documents in archives, and files that are documents
+    themselves, as the data source of `archives` gives them from paths.  A member longer than `most` is an error."""
+    from docspan.sources.archives import BYTES, SCHEMA, opened
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for path, data in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
-                rows = list(members(path.rsplit("/", 1)[-1], data or b""))
-                for i in range(0, len(rows), 16):
-                    part = rows[i : i + 16]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.string())], ["path", "member", "content", "error"])
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "member", "content", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary, error string")
+        for t in batches:
+            for path, data in zip(t.column(0).to_pylist(), t.column(1), strict=True):
+                held, size = [], 0
+                for row in opened(path.rsplit("/", 1)[-1], io.BytesIO(data.as_py() or b""), most):
+                    held.append((path, *row))
+                    size += len(row[1] or b"")
+                    if size >= BYTES:
+                        yield made(held)
+                        held, size = [], 0
+                if held:
+                    yield made(held)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def rasterise(files: DataFrame, render: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:
