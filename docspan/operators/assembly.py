@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspan.functions.options import field_key, region_type
-from docspan.functions.text import redact
+from docspan.functions.text import redact, strip
 
 BREAK = "\n\n---\n\n"
 
@@ -90,25 +90,53 @@ def chunk_confidence(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.round(F.sum(F.coalesce("confidence", F.lit(0.0))) / F.count("*"), 6).alias("confidence"))
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _wanted(fields: Sequence[str]) -> list[str]:
+    return [f.lower().replace(" ", "_").replace("-", "_") for f in fields]
+
+
+def _matches(key: Column, fields: Sequence[str]) -> Column:
+    wanted = F.array(*(F.lit(f) for f in _wanted(fields)))
+    return F.exists(wanted, lambda f: (F.instr(field_key(key), f) > 0) | (F.instr(f, field_key(key)) > 0))
+
+
 def filter_fields(elements: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Elements that have to do with the fields: of a JSON object the matching keys stay (none: the
-    element goes), other text stays if it names a field."""
-    wanted = F.array(*(F.lit(f.lower().replace(" ", "_").replace("-", "_")) for f in fields))
-    obj = F.from_json("content", "map<string,string>")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("content")).startswith("OBJECT"), F.lit(False))
-    kept = F.map_filter(obj, lambda k, _: F.exists(wanted, lambda f: (F.instr(field_key(k), f) > 0) | (F.instr(f, field_key(k)) > 0)))
-    said = F.regexp_replace(F.lower(F.concat(F.coalesce("content", F.lit("")), F.lit(" "), F.col("label"))), "[ -]", "_")
-    named = F.exists(wanted, lambda f: F.instr(said, f) > 0)
-    rows = elements.withColumns({"__object": is_object, "__kept": F.when(is_object, kept), "__named": named})
+    """Elements that have to do with the fields: of a JSON object the matching keys stay, with their values as they
+    are and in the order of their names (none: the element goes); other text stays if it or its label names a
+    field.  Without fields all stays."""
+    if not fields:
+        return elements
+    v = F.try_parse_json("content")
+    kept = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: _matches(k, fields))
+    said = F.regexp_replace(F.lower(F.concat(F.coalesce("content", F.lit("")), F.lit(" "), F.coalesce("label", F.lit("text")))), "[ -]", "_")
+    named = F.exists(F.array(*(F.lit(f) for f in _wanted(fields))), lambda f: F.instr(said, f) > 0)
+    rows = elements.withColumns({"__object": _is_object(v), "__kept": F.when(_is_object(v), kept), "__named": named})
     rows = rows.filter(F.when(F.col("__object"), F.size("__kept") > 0).otherwise(F.col("__named")))
     return rows.withColumn("content", F.when(F.col("__object"), F.to_json("__kept")).otherwise(F.col("content"))).drop("__object", "__kept", "__named")
 
 
-def flat_fields(elements: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys of filtered JSON elements as rows (field, value); a later element's value holds."""
-    obj = F.from_json("content", "map<string,string>")
-    rows = elements.filter(F.try_parse_json("content").isNotNull()).select(*keys, "index", F.explode(obj).alias("field", "value"))
-    return rows.groupBy(*keys, "field").agg(F.max_by("value", "index").alias("value"))
+def flat_fields(elements: DataFrame, keys: Sequence[str], fields: Sequence[str] = (), order: str = "index", intended: bool = False) -> DataFrame:
+    """The fields of filtered elements as rows (field, value), value a variant, so that numbers stay numbers.  A key of
+    a JSON element has its last element's value; if there is none, a field has what follows its name, a colon or
+    white space and more in the first text that says so, in lower case.  A field of several words is looked for as
+    the rule in force writes it, a pattern taken literally, so that it is hardly ever found; `intended` lets any
+    of blank, line and hyphen stand between its words, or nothing."""
+    v = F.try_parse_json("content")
+    obj = F.map_entries(F.when(_is_object(v), F.try_variant_get(v, "$", "map<string,variant>")))
+    said = F.transform(obj, lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), F.lit(1).alias("kind")))
+    told = []
+    for name, f in zip(fields, _wanted(fields), strict=True):
+        literal = "[ _-]?".join(rf"\Q{w}\E" for w in f.split("_")) if intended else rf"\Q{f.replace('_', '[ _-]?')}\E"
+        pattern = rf"{literal}[:\s]+([^\n]+)"
+        text = F.lower("content")
+        told.append(F.when(~_is_object(v) & text.rlike(pattern), F.struct(F.lit(name).alias("field"), strip(F.regexp_extract(text, pattern, 1)).cast("variant").alias("value"), F.lit(0).alias("kind"))))
+    found = F.coalesce(said, F.array_compact(F.array(*told))) if told else said
+    rows = elements.select(*keys, F.col(order).alias("__order"), F.inline(found))
+    json, first = F.max_by(F.when(F.col("kind") == 1, F.col("value")), F.when(F.col("kind") == 1, F.col("__order"))), F.min_by(F.when(F.col("kind") == 0, F.col("value")), F.when(F.col("kind") == 0, F.col("__order")))
+    return rows.groupBy(*keys, "field").agg(F.coalesce(json, first).alias("value"))
 
 
 def with_coordinates(value: Column, box: Column, confidence: Column, include: bool) -> Column:
@@ -123,9 +151,11 @@ def post_process(results: DataFrame, raw: str = "raw", redact_text: bool = True)
     text = redact(F.col(raw)) if redact_text else F.col(raw)
     rows = results.withColumn("result_text", text)
     v = F.try_parse_json("result_text")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    is_object = _is_object(v)
     wrapped = F.to_json(F.struct(F.col("result_text").alias("raw_text"), F.lit("unknown").alias("document_type"), F.create_map().cast("map<string,string>").alias("fields"), F.array().cast("array<string>").alias("tables"), F.lit(True).alias("_postprocessed"), F.lit("1.0").alias("_version")))
-    marked = F.concat(F.regexp_replace(F.to_json(v), r"\}$", ""), F.when(F.to_json(v) == "{}", "").otherwise(","), F.lit('"_postprocessed":true,"_version":"1.0"}'))
+    marks = {"_postprocessed": "true", "_version": '"1.0"'}
+    others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*marks))
+    marked = F.to_json(F.map_concat(others, F.create_map(*(x for k, text in marks.items() for x in (F.lit(k), F.parse_json(F.lit(text)))))))
     size = lambda path, kind: F.coalesce(F.size(F.try_variant_get(v, path, kind)), F.lit(0)) > 0
     score = heuristic_confidence(F.col("result_text"), is_object & size("$.fields", "map<string,variant>"), is_object & size("$.tables", "array<variant>"), F.when(is_object, F.try_variant_get(v, "$.document_type", "string")))
     return rows.withColumns({"result": F.when(is_object, marked).otherwise(wrapped), "document_confidence": score})

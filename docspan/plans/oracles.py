@@ -135,10 +135,6 @@ ORACLES: dict[str, str] = {
   SELECT * FROM j UNION ALL SELECT page_id, 0, 'text', '', 0.9 FROM pages WHERE page_id NOT IN (SELECT page_id FROM j)""",
     "region_types": f"SELECT {region_type('raw_type')} AS type, count(*) AS n FROM {REGIONS} GROUP BY 1",
     "region_filter": f"SELECT page_id, count(*) AS total, count(*) FILTER (WHERE coalesce(score, 1.0) < 0.5) AS filtered, count(*) FILTER (WHERE coalesce(score, 1.0) >= 0.5) AS kept FROM {REGIONS} GROUP BY page_id",
-    "field_filter": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' ELSE 'user k ' || event_type END AS content FROM events",
-    "flat_fields": "SELECT user_id, 'k' AS field, arg_max(json_extract_string(props, '$.k'), event_id) AS value FROM events GROUP BY user_id",
-    "post_process": f"SELECT doc_id, {redact('text')} AS result_text, CASE WHEN length({redact('text')}) > 100 THEN 0.6 ELSE 0.5 END::DOUBLE AS document_confidence FROM documents",
-    "envelope": "SELECT event_id, '2.0' AS schema_version, 'zai-org/GLM-OCR' AS model, '{\"k\":' || json_extract_string(props, '$.k') || ',\"_postprocessed\":true,\"_version\":\"1.0\"}' AS result, 0.5::DOUBLE AS document_confidence FROM events",
     "option_parsing": """SELECT event_id, event_type = 'view' AS flag, greatest(10, least(72, user_id))::INT AS whole, 1200 AS fallback, value AS number, 'text|' || event_type || '|json' AS fields, false AS formats_ok,
   least(user_id * 100, 8192)::INT AS tokens, greatest(64, least(8192, user_id * 100))::INT AS page_tokens, CASE WHEN user_id % 2 = 0 THEN 1.15 ELSE 1.05 END::DOUBLE AS penalty FROM events""",
     "prompt_for_region": f"""SELECT raw_type, n, type, CASE type WHEN 'table' THEN 'Table Recognition:' WHEN 'formula' THEN 'Formula Recognition:' ELSE 'Text Recognition:' END AS prompt, CASE WHEN type IN ('table', 'formula') THEN type ELSE 'text' END AS task,
@@ -215,3 +211,25 @@ ORACLES |= {
     "stream_expiry": f"""SELECT user_id, ms AS last_ms, ms + 86400000 AS expired_ms FROM (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next_ms, max(ms) OVER () AS latest FROM {EVENTS})
   WHERE CASE WHEN next_ms IS NULL THEN ms + 86400000 <= latest ELSE next_ms - ms >= 86400000 END""",
 }
+
+#: Elements of events, those that are objects by key, with the names as they are compared.
+_ELEMENTS = """e AS (SELECT event_id, user_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"Sub Total":' || event_id || ',"Sign-Up-No":{"a":[' || event_id || ',2]},"z":"x"}'
+    WHEN 2 THEN 'Kind: ' || event_type || ' k: ' || event_id || chr(10) || 'Sign up: no' WHEN 3 THEN '{"zzz":1}' WHEN 4 THEN '["k",1]' ELSE event_type END AS content FROM events),
+  o AS (SELECT *, json_valid(content) AND coalesce(json_type(CASE WHEN json_valid(content) THEN content END), '') = 'OBJECT' AS is_object FROM e),
+  k AS (SELECT event_id, user_id, content, unnest(json_keys(content)) AS key FROM o WHERE is_object),
+  m AS (SELECT *, json_extract(content, '$."' || key || '"') AS value FROM k
+    WHERE len(list_filter(['k', 'sign_up'], lambda f: contains(replace(replace(lower(key), ' ', '_'), '-', '_'), f) OR contains(f, replace(replace(lower(key), ' ', '_'), '-', '_')))) > 0),
+  t AS (SELECT * FROM o WHERE NOT is_object AND len(list_filter(['k', 'sign_up'], lambda f: contains(replace(replace(lower(content || ' text'), ' ', '_'), '-', '_'), f))) > 0)"""
+ORACLES |= {
+    "field_filter": f"""WITH {_ELEMENTS} SELECT event_id, '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}}' AS content FROM m GROUP BY event_id UNION ALL SELECT event_id, content FROM t""",
+    "flat_fields": rf"""WITH {_ELEMENTS}, f AS (SELECT user_id, event_id, key AS field, CAST(value AS VARCHAR) AS value, 1 AS kind FROM m
+    UNION ALL SELECT user_id, event_id, 'K', '"' || trim(regexp_extract(lower(content), 'k[:\s]+([^\n]+)', 1)) || '"', 0 FROM t WHERE regexp_matches(lower(content), 'k[:\s]+([^\n]+)')
+    UNION ALL SELECT user_id, event_id, 'sign-up', '"' || trim(regexp_extract(lower(content), 'sign[ _-]?up[:\s]+([^\n]+)', 1)) || '"', 0 FROM t WHERE regexp_matches(lower(content), 'sign[ _-]?up[:\s]+([^\n]+)'))
+  SELECT user_id, field, coalesce(arg_max(value, event_id) FILTER (WHERE kind = 1), arg_min(value, event_id) FILTER (WHERE kind = 0)) AS value FROM f GROUP BY user_id, field""",
+    "post_process": f"""SELECT doc_id, '{{"raw_text":' || CAST(to_json({redact('text')}) AS VARCHAR) || ',"document_type":"unknown","fields":{{}},"tables":[],"_postprocessed":true,"_version":"1.0"}}' AS result,
+  {redact('text')} AS result_text, CASE WHEN length({redact('text')}) > 100 THEN 0.6 ELSE 0.5 END::DOUBLE AS document_confidence FROM documents""",
+    "envelope": """SELECT event_id, '2.0' AS schema_version, 'zai-org/GLM-OCR' AS model, CASE event_id % 3 WHEN 0 THEN '{"k":' || json_extract(props, '$.k') || ',"_postprocessed":true,"_version":"1.0"}'
+    WHEN 1 THEN '{"fields":{"n":' || event_id || '},"k":' || json_extract(props, '$.k') || ',"_postprocessed":true,"_version":"1.0"}'
+    ELSE '{"raw_text":"' || event_type || '","document_type":"unknown","fields":{},"tables":[],"_postprocessed":true,"_version":"1.0"}' END AS result,
+  CASE event_id % 3 WHEN 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS document_confidence FROM events""",
+}

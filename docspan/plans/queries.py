@@ -302,29 +302,45 @@ def region_filter(spark, sf):
     return assembly.region_counters(c.regions(spark, sf), ["page_id"])
 
 
+def _field_elements(spark, sf):
+    """Events as elements: objects with and without asked keys, a list, and texts with and without."""
+    e, i = c.events(spark, sf), F.col("event_id")
+    number = i.cast("string")
+    kinds = [
+        F.col("props"),
+        F.concat(F.lit('{"Sub Total":'), number, F.lit(',"Sign-Up-No":{"a":['), number, F.lit(',2]},"z":"x"}')),
+        F.concat(F.lit("Kind: "), F.col("event_type"), F.lit(" k: "), number, F.lit("\nSign up: no")),
+        F.lit('{"zzz":1}'),
+        F.lit('["k",1]'),
+        F.col("event_type"),
+    ]
+    content = F.element_at(F.array(*kinds), (i % len(kinds) + 1).cast("int"))
+    return e.select("event_id", "user_id", i.alias("index"), F.lit("text").alias("label"), content.alias("content"))
+
+
 @query
 def field_filter(spark, sf):
-    e = c.events(spark, sf)
-    content = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("user k "), F.col("event_type")))
-    rows = e.select("event_id", F.lit(0).alias("index"), F.lit("text").alias("label"), content.alias("content"))
-    return assembly.filter_fields(rows, ["event_id"], ["K", "sign-up"]).select("event_id", "content")
+    return assembly.filter_fields(_field_elements(spark, sf), ["event_id"], ["K", "sign-up"]).select("event_id", "content")
 
 
 @query
 def flat_fields(spark, sf):
-    rows = c.events(spark, sf).select("user_id", F.col("event_id").alias("index"), F.col("props").alias("content"))
-    return assembly.flat_fields(rows, ["user_id"])
+    fields = ["K", "sign-up"]
+    kept = assembly.filter_fields(_field_elements(spark, sf), ["event_id"], fields)
+    return assembly.flat_fields(kept, ["user_id"], fields, intended=True).select("user_id", "field", F.to_json("value").alias("value"))
 
 
 @query
 def post_process(spark, sf):
     rows = c.documents(spark, sf).select("doc_id", F.col("text").alias("raw"))
-    return assembly.post_process(rows).select("doc_id", "result_text", "document_confidence")
+    return assembly.post_process(rows).select("doc_id", "result", "result_text", "document_confidence")
 
 
 @query
 def envelope(spark, sf):
-    rows = c.events(spark, sf).select("event_id", F.col("props").alias("raw"))
+    """Objects, objects that are marked already, and plain text."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"_version":"0.9","fields":{"n":'), F.col("event_id").cast("string"), F.lit("},"), F.substring("props", 2, 1 << 20))).otherwise(F.col("event_type"))
+    rows = c.events(spark, sf).select("event_id", raw.alias("raw"))
     return assembly.envelope(assembly.post_process(rows)).select("event_id", "schema_version", "model", "result", "document_confidence")
 
 

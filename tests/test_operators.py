@@ -107,7 +107,17 @@ def test_fields_and_envelope(spark):
     df = spark.createDataFrame(rows, "p int, index int, label string, content string")
     kept = assembly.filter_fields(df, ["p"], ["number"]).orderBy("index")
     assert [(r["index"], r.content) for r in kept.collect()] == [(0, '{"Invoice-Number":"7"}'), (2, "The number is 7")]
-    assert [tuple(r) for r in assembly.flat_fields(kept, ["p"]).collect()] == [(1, "Invoice-Number", "7")]
+    flat = lambda d, *a, **k: sorted(map(tuple, assembly.flat_fields(d, ["p"], *a, **k).select("p", "field", F.to_json("value")).collect()))
+    assert flat(kept) == [(1, "Invoice-Number", '"7"')]
+    rows = [(1, 0, None, "Total amount: 9 EUR\nDate\t1 May"), (1, 1, "text", '{"Total Amount":5,"amount":{"a":[1,2.5]},"x":1}'), (1, 2, "text", '{"amount":null}'), (1, 3, "table", "[1]"), (2, 0, "amount", "none"), (2, 1, "text", None)]
+    df = spark.createDataFrame(rows, "p int, index int, label string, content string")
+    kept = assembly.filter_fields(df, ["p"], ["total amount", "Date"])
+    assert {(r.p, r["index"]): r.content for r in kept.collect()} == {(1, 0): rows[0][3], (1, 1): '{"Total Amount":5,"amount":{"a":[1,2.5]}}', (1, 2): '{"amount":null}'}
+    assert flat(kept, ["total amount", "Date"]) == [(1, "Date", '"1 may"'), (1, "Total Amount", "5"), (1, "amount", "null")]
+    assert flat(kept, ["total amount"], intended=True) == [(1, "Total Amount", "5"), (1, "amount", "null"), (1, "total amount", '"9 eur"')]
+    assert assembly.filter_fields(df, ["p"], []).count() == 6
+    twice = spark.createDataFrame([(1, '{"_postprocessed":false,"_version":"0","n":1}')], "id int, raw string")
+    assert assembly.post_process(twice).first().result == '{"n":1,"_postprocessed":true,"_version":"1.0"}'
     raw = spark.createDataFrame([(1, '{"fields":{"a":1},"tables":[1],"document_type":"x"}'), (2, "plain"), (3, "[1]"), (4, "{}")], "id int, raw string")
     got = {r.id: (r.result, r.document_confidence) for r in assembly.post_process(raw).collect()}
     assert got[1][1] == 0.9 and got[1][0].endswith(',"_postprocessed":true,"_version":"1.0"}')
