@@ -99,6 +99,29 @@ def complexity_level(score: Column) -> Column:
     return F.when(score < 0.3, "low").when(score < 0.6, "medium").when(score < 0.8, "high").otherwise("very_high")
 
 
+def half_even(x: Column, digits: int = 4) -> Column:
+    """x, a double, rounded to so many digits behind the point as a binary number: what lies exactly between two
+    goes to the even one, and what only looks so when written down goes where it is nearer to.  x * 10^digits is split
+    into its double and the exact rest (Dekker's product), which decides where the double alone is a tie."""
+    ten = float(10**digits)
+
+    def halves(v: Column | float) -> tuple:
+        wide = v * 134_217_729.0
+        high = wide - (wide - v)
+        return high, v - high
+
+    p = x * F.lit(ten)
+    (xh, xl), (th, tl) = halves(x), halves(ten)
+    rest = ((xh * th - p) + xh * tl + xl * th) + xl * tl
+    low = F.floor(p).cast("double")
+    part = p - low
+    even = low % 2 == 0
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & ~even)))
+    rounded = (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(ten)
+    # beyond that a double has no digits to round; a zero keeps its sign
+    return F.when(~(F.abs(p) < float(1 << 53)), x).when(rounded == 0, F.when(x < 0, F.lit(-0.0)).otherwise(x * 0.0)).otherwise(rounded)
+
+
 @F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """How much of two texts is the same, from 0 to 1 (`diff.ratio`): 1 if both are empty, 0 if one is."""

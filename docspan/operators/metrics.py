@@ -80,16 +80,28 @@ def mean_duration(events: DataFrame, keys: Sequence[str], value: str = "value")
     return events.groupBy(*keys).agg(F.round(F.sum(value) / F.count(value), 6).alias("mean"))
 
 
-def alert_intervals(samples: DataFrame, keys: Sequence[str], condition: Column, hold: int, ts: str = "ts", every: int = 60) -> DataFrame:
+def alert_intervals(samples: DataFrame, keys: Sequence[str], condition: Column, hold: int, ts: str = "ts", every: int = 60, band: int = 86_400) -> DataFrame:
     """Times during which condition held for `hold` seconds on end.  samples come every `every` seconds
     at most; a longer gap, or a sample without the condition, ends an interval.  condition fires
-    once `hold` has passed."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    at = F.unix_timestamp(ts)
-    rows = samples.withColumns({"__on": condition, "__at": at}).withColumn("__gap", F.col("__at") - F.lag("__at").over(w))
-    fresh = F.when(F.col("__on") & F.coalesce(F.lag("__on").over(w), F.lit(False)) & (F.col("__gap") <= every), 0).otherwise(1)
-    rows = rows.withColumn("__island", F.sum(fresh).over(w)).filter("__on")
-    out = rows.groupBy(*keys, "__island").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n_samples"))
+    once `hold` has passed.
+
+    Runs are formed within bands of time (`band` seconds, `every` at least), so that no task has a key's whole
+    log.  A run that begins a band goes on from the one that ended the band before; only such runs, two a band at
+    most, are read in the order of a key's bands.
+    """
+    band = max(band, every)
+    rows = samples.withColumns({"__on": F.coalesce(condition, F.lit(False)), "__at": F.unix_timestamp(ts)}).withColumn("__band", F.floor(F.col("__at") / band))
+    w = Window.partitionBy(*keys, "__band").orderBy(ts)
+    before, after = F.lag("__on").over(w), F.lead("__on").over(w)
+    rows = rows.withColumns({"__fresh": F.when(F.col("__on") & F.coalesce(before, F.lit(False)) & (F.col("__at") - F.lag("__at").over(w) <= every), 0).otherwise(1), "__head": before.isNull(), "__tail": after.isNull()})
+    rows = rows.withColumn("__run", F.sum("__fresh").over(w)).filter("__on")
+    runs = rows.groupBy(*keys, "__band", "__run").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n_samples"), F.bool_or("__head").alias("__head"), F.bool_or("__tail").alias("__tail"))
+    edge = F.col("__head") | F.col("__tail")
+    scan = Window.partitionBy(*keys).orderBy("__band", "first", "__run")
+    goes_on = F.col("__head") & F.coalesce(F.lag("__tail").over(scan), F.lit(False)) & (F.lag("__band").over(scan) == F.col("__band") - 1) & (F.col("first") - F.lag("last").over(scan) <= every)
+    joined = runs.filter(edge).withColumn("__chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(scan))
+    joined = joined.groupBy(*keys, "__chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_samples").alias("n_samples"))
+    out = joined.drop("__chain").unionByName(runs.filter(~edge).select(*keys, "first", "last", "n_samples"))
     held = out.filter(F.col("last") - F.col("first") >= hold)
     return held.select(*keys, F.timestamp_seconds("first").alias("since"), F.timestamp_seconds(F.col("first") + hold).alias("fires_at"), F.timestamp_seconds("last").alias("until"), "n_samples")
 

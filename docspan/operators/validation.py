@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +64,61 @@ def confidence_warnings(items: DataFrame, keys: Sequence[str], confidence: str =
 def word_overlaps(boxes: DataFrame, page_keys: Sequence[str], item: Sequence[str], threshold: float = 0.1, band: int = BAND) -> DataFrame:
     """Pairs of a page's boxes whose common area is over `threshold` of the smaller.  A box goes to
     each band of the page that it touches; a pair counts in the first band that both touch, so
-    boxes far from each other never meet."""
+    boxes far from each other never meet.  A band's boxes are swept from left to right: only those that reach the place
+    of the sweep are held and compared with the next one, so the time follows the pairs that meet.  Boxes
+    without a width, height or place make no pair; equal boxes of different items are a pair."""
     last = F.floor((F.greatest(F.col("y") + F.col("h"), F.col("y") + 1) - 1) / band)
-    rows = boxes.filter("w > 0 and h > 0").select(*page_keys, *item, "x", "y", "w", "h", F.floor(F.col("y") / band).alias("top"), F.explode(F.sequence(F.floor(F.col("y") / band), last)).alias("band"))
-    a = rows.select(*page_keys, "band", *(F.col(c).alias(f"a_{c}") for c in (*item, "x", "y", "w", "h", "top")))
-    b = rows.select(*page_keys, "band", *(F.col(c).alias(f"b_{c}") for c in (*item, "x", "y", "w", "h", "top")))
-    order = F.struct(*(f"a_{c}" for c in item)) < F.struct(*(F.col(f"b_{c}").alias(f"a_{c}") for c in item))
-    both = a.join(b, [*page_keys, "band"]).filter(order & (F.col("band") == F.greatest("a_top", "b_top")))
-    wide = F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")) - F.greatest("a_x", "b_x")
-    tall = F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")) - F.greatest("a_y", "b_y")
-    both = both.filter((wide > 0) & (tall > 0))
-    share = wide * tall / F.least(F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h"))
-    return both.withColumn("ratio", F.round(share, 6)).filter(F.col("ratio") > threshold).select(*page_keys, *(f"a_{c}" for c in item), *(f"b_{c}" for c in item), "ratio")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    rows = boxes.filter("w > 0 and h > 0 and x is not null and y is not null").select(*page_keys, *item, *(number(c) for c in "xywh"), F.floor(F.col("y") / band).alias("top"), F.explode(F.sequence(F.floor(F.col("y") / band), last)).alias("band"))
+    ddl = lambda names, before="": [f"`{before}{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields]
+    ordered = rows.repartition(*page_keys, "band").sortWithinPartitions(*page_keys, "band", "x", *item)
+    schema = ", ".join([*ddl(page_keys), *ddl(item, "a_"), *ddl(item, "b_"), "common double", "smaller double"])
+    pairs = ordered.mapInArrow(_swept(len(page_keys), len(item), threshold), schema)
+    return pairs.withColumn("ratio", F.round(F.col("common") / F.col("smaller"), 6)).filter(F.col("ratio") > threshold).drop("common", "smaller")
+
+
+def _swept(n_keys: int, n_item: int, threshold: float):
+    """Rows in the order of page, band and x: keys, item, x, y, w, h, top, band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_ = None, []
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            pages, items = list(zip(*cols[:n_keys], cols[-1], strict=True)), list(zip(*cols[n_keys : n_keys + n_item], strict=True))
+            which, first, second, common, smaller = [], [], [], [], []
+            for k, (page, own, x, y, w, h, top, band) in enumerate(zip(pages, items, *cols[n_keys + n_item :], strict=True)):
+                if page != at:
+                    at, open_ = page, []
+                else:
+                    open_ = [o for o in open_ if o[0] > x]
+                right, bottom, area = x + w, y + h, w * h
+                for o_right, o_y, o_bottom, o_area, o_top, other in open_:
+                    tall = min(bottom, o_bottom) - max(y, o_y)
+                    if tall > 0 and max(top, o_top) == band and other != own:
+                        shared, least = (min(right, o_right) - x) * tall, min(area, o_area)
+                        if shared > (threshold - 1e-6) * least:
+                            which.append(k)
+                            first.append(min(own, other))
+                            second.append(max(own, other))
+                            common.append(shared)
+                            smaller.append(least)
+                open_.append((right, y, bottom, area, top, own))
+            taken = pa.array(which, pa.int64())
+            kinds = batch.schema.types[n_keys : n_keys + n_item]
+            sides = [pa.array([p[c] for p in side], kind) for side in (first, second) for c, kind in enumerate(kinds)]
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(taken) for c in batch.columns[:n_keys]), *sides, pa.array(common, pa.float64()), pa.array(smaller, pa.float64())],
+                [*names[:n_keys], *(f"{b}_{c}" for b in "ab" for c in names[n_keys : n_keys + n_item]), "common", "smaller"],
+            )
+
+    return run
+
+
+def overlap_counts(boxes: DataFrame, page_keys: Sequence[str], item: Sequence[str], threshold: float = 0.1) -> DataFrame:
+    """A coded row for each page with overlapping boxes, and how many pairs it has."""
+    code = F.lit("WORD_BOXES_OVERLAP")
+    return word_overlaps(boxes, page_keys, item, threshold).groupBy(*page_keys).agg(F.count("*").alias("overlap_count")).withColumns({"code": code, "severity": severity(code)})
 
 
 def overlap_warnings(boxes: DataFrame, page_keys: Sequence[str], item: Sequence[str], threshold: float = 0.1) -> DataFrame:

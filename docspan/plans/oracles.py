@@ -233,3 +233,10 @@ ORACLES |= {
     ELSE '{"raw_text":"' || event_type || '","document_type":"unknown","fields":{},"tables":[],"_postprocessed":true,"_version":"1.0"}' END AS result,
   CASE event_id % 3 WHEN 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS document_confidence FROM events""",
 }
+ORACLES |= {
+    "half_even_values": "SELECT event_id, CAST(printf('%.3f', value) AS DOUBLE) AS value, CAST(printf('%.4f', (event_id % 4096) / 32.0::DOUBLE - 60) AS DOUBLE) AS tie FROM events",
+    "word_box_overlaps": f"""WITH b AS (SELECT doc_id, index, word_no, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM ({ORACLES['word_boxes_equal']}) WHERE x2 > x1 AND y2 > y1)
+  SELECT a.doc_id, count(*) AS overlap_count, 'WORD_BOXES_OVERLAP' AS code, 'medium' AS severity FROM b a JOIN b ON a.doc_id = b.doc_id AND (a.index, a.word_no) < (b.index, b.word_no)
+    AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+  WHERE round((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least(a.area, b.area)::DOUBLE, 6) > 0.1 GROUP BY a.doc_id""",
+}

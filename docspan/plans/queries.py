@@ -210,6 +210,14 @@ def overlap_warnings(spark, sf):
     return validation.overlap_warnings(_event_boxes(spark, sf), ["user_id", "day"], ["event_id"])
 
 
+@query
+def word_box_overlaps(spark, sf):
+    """Pages whose lines have so many words that equally wide boxes run into each other."""
+    words = geometry.word_boxes_equal(geometry.line_elements(c.documents(spark, sf), ["doc_id"]), ["doc_id", "index"])
+    boxes = words.select("doc_id", "index", "word_no", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    return validation.overlap_counts(boxes, ["doc_id"], ["index", "word_no"])
+
+
 @query
 def validation_summary(spark, sf):
     return validation.validation_summary(_boxes(spark, sf), ["doc_id"], PAGE)
@@ -553,6 +561,13 @@ def mean_duration(spark, sf):
     return metrics.mean_duration(c.events(spark, sf), ["event_type"])
 
 
+@query
+def half_even_values(spark, sf):
+    """Values with all their digits, and values that are ties."""
+    tie = (F.col("event_id") % 4096) / 32.0 - 60
+    return c.events(spark, sf).select("event_id", txt.half_even(F.col("value"), 3).alias("value"), txt.half_even(tie).alias("tie"))
+
+
 @query
 def alert_intervals(spark, sf):
     e = c.events(spark, sf)
