@@ -151,6 +151,71 @@ def request_error(image_ref: Column, prompt_text: Column, max_tokens: Column) ->
     )
 
 
+#: Options that are truth values.
+SWITCHES = ("include_coordinates", "include_word_confidence", "include_page_layout")
+_INT = r"^[ \t\n\x0b\f\r]*[+-]?[0-9]{1,18}[ \t\n\x0b\f\r]*$"
+
+
+def _kind(v: Column) -> Column:
+    """The kind of a variant: VOID for a JSON null, null for nothing."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _shown(v: Column) -> Column:
+    """A list's item as text, truth values and nulls written with a capital."""
+    kind = _kind(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(v.isNull() | (kind == "VOID"), "None").when(kind == "BOOLEAN", F.initcap(F.to_json(v))).otherwise(F.to_json(v))
+
+
+def _listed(v: Column) -> Column:
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), _shown)
+    return F.filter(items, lambda x: x.rlike(r"\S"))
+
+
+def checked_options(image_ref: Column, prompt_text: Column, options: Column) -> Column:
+    """(reason, output_format, max_tokens, extract_fields) of a request, options being the text of a JSON object.
+
+    reason is the first ground for refusing it, or null.  Each option is read by its own type: switches have to be
+    truth values; a format may be of any case; a number may be written as text, and decimals are cut off;
+    fields may be a list, an object (its names), the text of a JSON list, or names with commas between.  An image is a
+    data address or a rooted path: whether a relative one exists is not for an expression to say, so it is refused.
+    """
+    v = F.try_parse_json(options)
+    at = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    # an option that is null is there: an object's entry, which getting a path does not tell from none
+    given = F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    there = lambda name: F.array_contains(given, name)
+    kind = lambda name: F.coalesce(_kind(at(name)), F.lit("VOID"))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+    fmt = F.lower(F.coalesce(text("output_format"), F.to_json(at("output_format")), F.lit("none")))
+    number = (
+        F.when(kind("max_tokens").isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$.max_tokens", "double").try_cast("long"))
+        .when(kind("max_tokens") == "BOOLEAN", F.lit(0).cast("long"))
+        .when(text("max_tokens").rlike(_INT), F.trim(F.translate(text("max_tokens"), "\t\n\x0b\f\r", "     ")).try_cast("long"))
+    )
+    said = F.regexp_replace(text("extract_fields"), r"^\s+|\s+$", "")
+    inner = F.try_parse_json(said)
+    commas = F.filter(F.transform(F.split(said, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    which = kind("extract_fields")
+    names = F.filter(F.map_keys(F.try_variant_get(v, "$.extract_fields", "map<string,variant>")), lambda x: x.rlike(r"\S"))
+    fields = (
+        F.when(~there("extract_fields"), None)
+        .when(which == "VOID", F.array().cast("array<string>"))
+        .when(which == "ARRAY", _listed(at("extract_fields")))
+        .when(which == "OBJECT", names)
+        .when(which == "STRING", F.when(F.coalesce(_kind(inner) == "ARRAY", F.lit(False)), _listed(inner)).otherwise(commas))
+    )
+    reason = F.when(F.coalesce(image_ref, F.lit("")) == "", "image_ref is required").when(F.char_length(image_ref) > 4096, "image_ref is too long")
+    reason = reason.when(~(image_ref.startswith("data:") | image_ref.startswith("/")), "image_ref must be a path or a data address").when(F.char_length(prompt_text) > 2048, "prompt is too long")
+    for name in SWITCHES:
+        reason = reason.when(there(name) & (kind(name) != "BOOLEAN"), f"{name} must be a boolean")
+    reason = reason.when(there("output_format") & ~fmt.isin(*FORMATS), "output_format is unknown")
+    reason = reason.when(there("max_tokens") & ~F.coalesce(number.between(64, 8192), F.lit(False)), "max_tokens must be an integer between 64 and 8192")
+    reason = reason.when(there("extract_fields") & fields.isNull(), "extract_fields must be a list")
+    return F.struct(reason.alias("reason"), F.when(there("output_format"), fmt).alias("output_format"), number.alias("max_tokens"), fields.alias("extract_fields"))
+
+
 def clean_prompt(x: Column) -> Column:
     """Without control characters other than tab, LF and CR."""
     return F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

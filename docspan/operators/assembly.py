@@ -81,6 +81,28 @@ def aggregate_pages(pages: DataFrame, job: str = "job_id") -> DataFrame:
     )
 
 
+def page_results(pages: DataFrame, job: str = "job_id", content: str = "content") -> DataFrame:
+    """One row a job: `pages`, an array of (page, result) in page order, where result is the page's JSON as a variant or,
+    if it is none, its text; the `markdown` that results hold, joined; `page_count`, pages with errors
+    included; and the mean `confidence` of those without.  Pages of the same number follow by their text; an error
+    of "" is none; a job of nothing but errors has no pages and confidence 0."""
+    ok = F.coalesce(F.col("error"), F.lit("")) == ""
+    text = F.coalesce(F.col(content), F.lit(""))
+    found = F.array_sort(F.collect_list(F.when(ok, F.struct(F.col("page"), text.alias("text")))))
+    rows = pages.groupBy(job).agg(found.alias("found"), F.count("*").cast("int").alias("page_count"), F.round(F.coalesce(F.avg(F.when(ok, F.col("confidence"))), F.lit(0.0)), 6).alias("confidence"))
+    result = lambda p: F.coalesce(F.try_parse_json(p["text"]), p["text"].cast("variant"))
+    rows = rows.withColumn("pages", F.transform("found", lambda p: F.struct(p["page"].alias("page"), result(p).alias("result"))))
+    kind = lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.markdown", "variant")), F.lit(""))
+    said = F.transform("pages", lambda p: F.when(kind(p["result"]) == "STRING", F.try_variant_get(p["result"], "$.markdown", "string")))
+    return rows.select(job, "pages", F.array_join(F.filter(said, lambda m: F.coalesce(m, F.lit("")) != ""), BREAK).alias("markdown"), "page_count", "confidence")
+
+
+def result_json(results: DataFrame, job: str = "job_id", precision: str = "normal", model: str = "zai-org/GLM-OCR") -> DataFrame:
+    """The rows of `page_results` as one JSON object each, in `raw_content`."""
+    body = F.struct(F.col(job).alias("job_id"), F.lit(model).alias("model"), F.lit(precision).alias("precision"), "pages", "markdown", "page_count", "confidence")
+    return results.select(job, F.to_json(body).alias("raw_content"), "confidence", "page_count")
+
+
 def token_totals(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 

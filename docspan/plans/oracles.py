@@ -240,3 +240,23 @@ ORACLES |= {
     AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
   WHERE round((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least(a.area, b.area)::DOUBLE, 6) > 0.1 GROUP BY a.doc_id""",
 }
+
+_OPTIONS = """(SELECT doc_id, text, CASE WHEN doc_id % 41 = 0 THEN '' WHEN doc_id % 43 = 0 THEN 'scan.png' WHEN doc_id % 47 = 0 THEN repeat('/a', 2049) WHEN doc_id % 2 = 0 THEN 'data:image/png;base64,' ELSE '/in/scan.png' END AS image,
+  ['{"include_coordinates":true,"output_format":"JSON","max_tokens":"128","extract_fields":["a",1,true,null," "]}', '{"include_coordinates":"true"}', '{"include_word_confidence":1}', '{"include_page_layout":null}', '{"output_format":"xml"}',
+   '{"max_tokens":63}', '{"max_tokens":"many"}', '{"max_tokens":100.9,"extract_fields":"date, total ,,"}', '{"extract_fields":"[\\"x\\",\\"y z\\"]","output_format":"table"}', '{"extract_fields":5}', '{"extract_fields":{"k":1,"l":2}}', '{"extract_fields":null,"max_tokens":8192}', '{}'][doc_id % 13 + 1]::JSON AS o FROM documents)"""
+_SWITCHES = " ".join(f"WHEN list_contains(json_keys(o), '{n}') AND json_type(o, '$.{n}') <> 'BOOLEAN' THEN '{n} must be a boolean'" for n in ("include_coordinates", "include_word_confidence", "include_page_layout"))
+_ITEM = "coalesce(CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left(CAST(x AS VARCHAR), 1)) || substr(CAST(x AS VARCHAR), 2) ELSE CAST(x AS VARCHAR) END, 'None')"
+ORACLES |= {
+    "option_checks": f"""WITH r AS (SELECT *, lower(o ->> '$.output_format') AS fmt, json_type(o, '$.extract_fields') AS kind, trim(o ->> '$.extract_fields') AS said, trunc(TRY_CAST(o ->> '$.max_tokens' AS DOUBLE))::BIGINT AS n FROM {_OPTIONS}),
+  f AS (SELECT *, CASE WHEN NOT list_contains(json_keys(o), 'extract_fields') THEN NULL WHEN kind = 'NULL' THEN []::VARCHAR[] WHEN kind = 'ARRAY' THEN list_filter(list_transform(CAST(json_extract(o, '$.extract_fields') AS JSON[]), lambda x: {_ITEM}), lambda x: trim(x) <> '')
+    WHEN kind = 'OBJECT' THEN json_keys(o, '$.extract_fields') WHEN kind = 'VARCHAR' AND json_valid(said) THEN list_transform(CAST(CASE WHEN json_valid(said) THEN said END AS JSON[]), lambda x: {_ITEM})
+    WHEN kind = 'VARCHAR' THEN list_filter(list_transform(string_split(said, ','), lambda x: trim(x)), lambda x: x <> '') END AS fields FROM r)
+  SELECT doc_id, CASE WHEN image = '' THEN 'image_ref is required' WHEN length(image) > 4096 THEN 'image_ref is too long' WHEN NOT (image LIKE 'data:%' OR image LIKE '/%') THEN 'image_ref must be a path or a data address'
+    WHEN length(text) > 2048 THEN 'prompt is too long' {_SWITCHES} WHEN fmt NOT IN ('text', 'json', 'markdown', 'table', 'key_value', 'structured', 'formula') THEN 'output_format is unknown'
+    WHEN list_contains(json_keys(o), 'max_tokens') AND coalesce(n NOT BETWEEN 64 AND 8192, true) THEN 'max_tokens must be an integer between 64 and 8192' WHEN list_contains(json_keys(o), 'extract_fields') AND fields IS NULL THEN 'extract_fields must be a list' END AS reason,
+    fmt AS output_format, n AS max_tokens, CAST(to_json(fields) AS VARCHAR) AS extract_fields FROM f""",
+    "page_results": f"""WITH p AS (SELECT *, CASE WHEN page % 3 = 0 THEN to_json(coalesce(markdown, '')) WHEN page % 3 = 1 AND markdown IS NOT NULL THEN json_object('markdown', markdown, 'n', page) ELSE json_object('n', page) END AS result FROM {TURNS}),
+  g AS (SELECT job_id, string_agg('{{"page":' || page || ',"result":' || result || '}}', ',' ORDER BY page) FILTER (WHERE error IS NULL) AS pages, count(*)::INT AS page_count, round(coalesce(avg(confidence) FILTER (WHERE error IS NULL), 0), 6) AS confidence,
+    coalesce(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (WHERE error IS NULL AND page % 3 = 1 AND markdown <> ''), '') AS markdown FROM p GROUP BY job_id)
+  SELECT job_id, '{{"job_id":' || job_id || ',"model":"zai-org/GLM-OCR","precision":"normal","pages":[' || coalesce(pages, '') || '],"markdown":' || to_json(markdown) || ',"page_count":' || page_count || ',"confidence":' || confidence || '}}' AS raw_content, confidence, page_count FROM g""",
+}

@@ -251,6 +251,14 @@ def page_aggregate(spark, sf):
     return assembly.aggregate_pages(c.turns(spark, sf))
 
 
+@query
+def page_results(spark, sf):
+    """Turns as pages: every third is plain text, the others a JSON object."""
+    said = F.to_json(F.struct(F.col("page").alias("n"), F.when(F.col("page") % 3 == 1, F.col("markdown")).alias("markdown")))
+    pages = c.turns(spark, sf).withColumn("content", F.when(F.col("page") % 3 == 0, F.col("markdown")).otherwise(said))
+    return assembly.result_json(assembly.page_results(pages))
+
+
 @query
 def element_markdown(spark, sf):
     return assembly.assemble_page(geometry.line_elements(c.documents(spark, sf), ["doc_id"]), ["doc_id"])
@@ -397,6 +405,32 @@ def request_checks(spark, sf):
     return d.select("doc_id", reason.alias("reason"), opt.size_allowed(F.col("n_chars"), 4000).alias("allowed"), opt.megabytes(F.col("n_chars") * 1024).alias("mb"))
 
 
+_OPTIONS = (
+    '{"include_coordinates":true,"output_format":"JSON","max_tokens":"128","extract_fields":["a",1,true,null," "]}',
+    '{"include_coordinates":"true"}',
+    '{"include_word_confidence":1}',
+    '{"include_page_layout":null}',
+    '{"output_format":"xml"}',
+    '{"max_tokens":63}',
+    '{"max_tokens":"many"}',
+    '{"max_tokens":100.9,"extract_fields":"date, total ,,"}',
+    '{"extract_fields":"[\\"x\\",\\"y z\\"]","output_format":"table"}',
+    '{"extract_fields":5}',
+    '{"extract_fields":{"k":1,"l":2}}',
+    '{"extract_fields":null,"max_tokens":8192}',
+    "{}",
+)
+
+
+@query
+def option_checks(spark, sf):
+    """Each document's id chooses its options; its text is the prompt, and some images have no path."""
+    d, i = c.documents(spark, sf), F.col("doc_id")
+    image = F.when(i % 41 == 0, "").when(i % 43 == 0, "scan.png").when(i % 47 == 0, F.repeat(F.lit("/a"), 2049)).when(i % 2 == 0, "data:image/png;base64,").otherwise("/in/scan.png")
+    options = F.element_at(F.array(*(F.lit(o) for o in _OPTIONS)), (i % len(_OPTIONS) + 1).cast("int"))
+    return d.select("doc_id", opt.checked_options(image, F.col("text"), options).alias("o")).select("doc_id", "o.reason", "o.output_format", "o.max_tokens", F.to_json("o.extract_fields").alias("extract_fields"))
+
+
 @query
 def field_matches(spark, sf):
     p = c.table(spark, sf, "part")
