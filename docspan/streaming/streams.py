@@ -5,7 +5,7 @@ Sources are folders of files; `available` runs what is there and ends, for tests
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -142,6 +142,58 @@ def drain(queue: DataFrame, submit, every: str = "10 seconds", most: int = 10) -
     return queue.writeStream.foreachBatch(lambda batch, _: submit(dequeue(batch, most))).trigger(processingTime=every)
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that was written to its end, or None."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    return spark.read.parquet(path) if there else None
+
+
+def drain_with_retries(queue: DataFrame, submit: Callable[[DataFrame], DataFrame], folder: str, every: str = "10 seconds", most: int = 10, retries: int = 5) -> DataStreamWriter:
+    """Hands jobs (job_id, priority, enqueued_at) to submit, `most` a batch, which answers with (job_id, ok); a job
+    that isn't taken waits again, and after more than `retries` failures it is given up.  Rows without a job_id are
+    ticks, which start a batch when no new job does (a `rate` source beside the queue, for instance).
+
+    What a batch took, how each job of it ended (`outcomes`) and what waits after it are tables of folder by the batch's
+    number, each written once: a batch that is run again after a failure takes the same jobs, asks for none whose
+    outcome is known, and leaves the same tables.
+    """
+    from docspan.operators.jobs import dequeue
+
+    def tick(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = lambda table, n: f"{folder}/{table}/batch={n}"
+
+        def once(table: str, make: Callable[[], DataFrame]) -> DataFrame:
+            known = _written(spark, at(table, number))
+            if known is None:
+                make().write.mode("overwrite").parquet(at(table, number))
+            return spark.read.parquet(at(table, number))
+
+        fresh = batch.filter("job_id is not null").withColumn("retry_count", F.lit(0))
+        earlier = next((t for n in range(number - 1, -1, -1) if (t := _written(spark, at("waiting", n))) is not None), None)
+        pending = fresh if earlier is None else fresh.unionByName(earlier)
+        taken = once("taken", lambda: dequeue(pending, most).drop("score"))
+
+        def answered() -> DataFrame:
+            told = submit(taken).select("job_id", "ok")
+            rows = taken.join(told, "job_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+            count = F.when(F.col("ok"), F.col("retry_count")).otherwise(F.col("retry_count") + 1)
+            status = F.when(F.col("ok"), "PROCESSING").when(count > retries, "FAILED").otherwise("QUEUED")
+            return rows.withColumns({"retry_count": count, "status": status}).drop("ok")
+
+        ended = once("outcomes", answered)
+        once("waiting", lambda: pending.join(taken.select("job_id"), "job_id", "left_anti").unionByName(ended.filter("status = 'QUEUED'").drop("status")))
+
+    return queue.writeStream.foreachBatch(tick).trigger(processingTime=every)
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The last outcome of each job that `drain_with_retries` took: (job_id, status, retry_count, batch)."""
+    rows = spark.read.parquet(f"{folder}/outcomes")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("status", "retry_count", "batch"), "batch").alias("o")).select("job_id", "o.*")
+
+
 def available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source holds now; its result as a table in memory."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -85,3 +85,36 @@ def test_expired_entries(spark, tmp_path, arriving):
     assert {(r.user, r.last_ms) for r in got.collect()} == {w[:2] for w in want} | set(last.items())
     assert state_rows(spark, folder) == 1 and glob.glob(f"{folder}/rows/*.parquet")
     assert got.filter(F.col("expired_ms") - F.col("last_ms") != span).count() == 0
+
+
+def test_drain_gives_up_after_retries(spark, tmp_path):
+    """A service that takes odd jobs at once, job 4 at the third try and others never; one batch fails half-way and is
+    run again."""
+    schema = "job_id int, priority int, enqueued_at timestamp"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "drain")
+    asked: list[int] = []
+    broken = [True]
+
+    def submit(jobs):
+        ids = sorted(r.job_id for r in jobs.collect())
+        if broken[0] and 3 in ids:
+            broken[0] = False
+            raise RuntimeError("the service went away")
+        asked.extend(ids)
+        return spark.createDataFrame([(i, i % 2 == 1 or (i == 4 and asked.count(4) >= 3)) for i in ids], "job_id int, ok boolean")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_folder(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        writer = streams.drain_with_retries(stream, submit, folder, most=3).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c"))
+        writer.start().awaitTermination()
+
+    jobs = [(i, 0, START + dt.timedelta(seconds=i)) for i in range(1, 6)]
+    run(jobs[:2])
+    with pytest.raises(Exception, match="went away"):
+        run(jobs[2:])
+    for _ in range(10):  # ticks
+        run([(None, None, None)])
+    got = {r.job_id: (r.status, r.retry_count) for r in streams.outcomes(spark, folder).collect()}
+    assert got == {1: ("PROCESSING", 0), 3: ("PROCESSING", 0), 5: ("PROCESSING", 0), 4: ("PROCESSING", 2), 2: ("FAILED", 6)}
+    assert {i: asked.count(i) for i in range(1, 6)} == {1: 1, 2: 6, 3: 1, 4: 3, 5: 1}
