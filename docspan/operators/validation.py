@@ -143,6 +143,27 @@ def validation_summary(items: DataFrame, keys: Sequence[str], page: tuple[int, i
     return out.withColumn("high_low_confidence_ratio", many).withColumn("valid", (F.col("invalid_elements") == 0) & ~many)
 
 
+def _coded(rows: DataFrame, keys: Sequence[str], code: Column) -> DataFrame:
+    return rows.select(*keys, code.alias("code")).filter("code is not null").withColumn("severity", severity(F.col("code")))
+
+
+def word_format_warnings(words: DataFrame, keys: Sequence[str], word: str = "word", box: Sequence[str] = ("x", "y", "w", "h"), confidence: str = "confidence") -> DataFrame:
+    """A coded row for each word that lacks its text, its confidence or a part of its box."""
+    lacks = F.coalesce(*(F.when(F.col(c).isNull(), True) for c in (word, *box, confidence)))
+    return _coded(words, keys, F.when(lacks, "INVALID_WORD_BOX_FORMAT"))
+
+
+def ratio_warnings(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A coded row for each page of `validation_summary` that has too many elements of low confidence."""
+    return _coded(summary, keys, F.when(F.col("high_low_confidence_ratio"), "HIGH_LOW_CONFIDENCE_RATIO"))
+
+
+def structured_warnings(results: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
+    """A coded row for each structured result that is no JSON object with sections; null content is none."""
+    names = F.map_keys(F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>"))
+    return _coded(results, keys, F.when(~F.coalesce(F.array_contains(names, "sections"), F.lit(False)), "INVALID_STRUCTURED_FORMAT"))
+
+
 def schema_ok(content: Column, output_format: Column) -> Column:
     """Whether a result has the shape that its format asks for; text formats have none."""
     v = F.try_parse_json(content)

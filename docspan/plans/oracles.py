@@ -260,3 +260,10 @@ ORACLES |= {
     coalesce(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (WHERE error IS NULL AND page % 3 = 1 AND markdown <> ''), '') AS markdown FROM p GROUP BY job_id)
   SELECT job_id, '{{"job_id":' || job_id || ',"model":"zai-org/GLM-OCR","precision":"normal","pages":[' || coalesce(pages, '') || '],"markdown":' || to_json(markdown) || ',"page_count":' || page_count || ',"confidence":' || confidence || '}}' AS raw_content, confidence, page_count FROM g""",
 }
+ORACLES |= {
+    "structured_findings": """WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"sections":[{"level":1}],' || substr(props, 2) WHEN 1 THEN '["sections"]' WHEN 2 THEN event_type ELSE props END AS content FROM events)
+  SELECT event_id, 'INVALID_STRUCTURED_FORMAT' AS code, 'high' AS severity FROM r WHERE CASE WHEN json_valid(content) THEN json_extract(content, '$.sections') END IS NULL""",
+    "confidence_ratio_findings": """WITH t AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)))) AS index FROM pages WHERE html IS NOT NULL),
+  g AS (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE (page_id * 31 + index * (page_id % 5)) % 10 < 5) AS low FROM t GROUP BY page_id)
+  SELECT page_id, 'HIGH_LOW_CONFIDENCE_RATIO' AS code, 'high' AS severity FROM g WHERE low / n::DOUBLE > 0.5""",
+}

@@ -223,6 +223,20 @@ def validation_summary(spark, sf):
     return validation.validation_summary(_boxes(spark, sf), ["doc_id"], PAGE)
 
 
+@query
+def structured_findings(spark, sf):
+    """Events' properties as results: some with sections, some without, and some that are no object."""
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"sections":[{"level":1}],'), F.substring("props", 2, 1 << 20))).when(F.col("event_id") % 4 == 1, F.lit('["sections"]')).when(F.col("event_id") % 4 == 2, F.col("event_type")).otherwise(F.col("props"))
+    return validation.structured_warnings(c.events(spark, sf).select("event_id", said.alias("content")), ["event_id"])
+
+
+@query
+def confidence_ratio_findings(spark, sf):
+    """Regions of pages, of which many have a low score."""
+    regions = c.regions(spark, sf).select("page_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"), (F.pmod(F.col("page_id") * 31 + F.col("index") * (F.col("page_id") % 5), F.lit(10)) / 10.0).alias("confidence"))
+    return validation.ratio_warnings(validation.validation_summary(regions, ["page_id"], PAGE, low_ratio=0.5), ["page_id"])
+
+
 @query
 def pair_warnings(spark, sf):
     pairs = geometry.key_values(c.documents(spark, sf), ["doc_id"])

@@ -72,3 +72,12 @@ def test_rounding_is_pythons(spark):
         assert not wrong, wrong[:5]
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(half_even(F.col("v"))).collect()
     assert odd[0][0] != odd[0][0] and odd[1][0] == float("inf") and odd[2][0] is None
+
+
+def test_findings_as_coded_rows(spark):
+    words = spark.createDataFrame([(1, "a", 0, 0, 1, 1, 0.9), (2, None, 0, 0, 1, 1, 0.9), (3, "c", 0, None, 1, 1, 0.9), (4, "d", 0, 0, 1, 1, None)], "i int, word string, x int, y int, w int, h int, confidence double")
+    assert sorted(map(tuple, validation.word_format_warnings(words, ["i"]).collect())) == [(i, "INVALID_WORD_BOX_FORMAT", "high") for i in (2, 3, 4)]
+    results = spark.createDataFrame([(1, '{"sections":[]}'), (2, '{"sections":null}'), (3, '{"a":1}'), (4, "text"), (5, None), (6, "[]")], "i int, content string")
+    assert {r.i for r in validation.structured_warnings(results, ["i"]).collect()} == {3, 4, 5, 6}
+    items = spark.createDataFrame([(1, 0, 0, 1, 1, 0.4), (1, 0, 0, 1, 1, 0.9), (2, 0, 0, 1, 1, 0.9)], "p int, x int, y int, w int, h int, confidence double")
+    assert [tuple(r) for r in validation.ratio_warnings(validation.validation_summary(items, ["p"], (0, 0, 10, 10)), ["p"]).collect()] == [(1, "HIGH_LOW_CONFIDENCE_RATIO", "high")]
