@@ -3,17 +3,24 @@
 Counts of tokens and token pairs over the training documents are exact and summed by Spark.  The
 filter holds each n-gram once for every level of its count (level j from 2^(j-1) occurrences on),
 so a reader finds the level by probing one level after another until one is missing.  Pairs seen
-`min_count` times at least go in.  The filter is built in segments by Spark tasks; their number
-follows the n-grams, so every level of every count is held at every size.  Up to `max_bytes` all
+`min_count` times at least go in.  The number of probes follows the
+vocabulary, so that pairs which the filter makes up add less than a hundredth of mu to any context.
+The filter is built in segments by Spark tasks; their number follows the n-grams, so every level of
+every count is held at every size.  Up to `max_bytes` all
 segments are sent to the workers.  Beyond that they stay in the shared folder, and n-grams are sent
 to the task of their segments, which answers with their levels; scores are the same.
 
-p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N + V + 1), on the counts that
-the filter gives back.
+With e(n) the least count of n's level, p(w | v) = (e(v, w) + mu * p(w)) / (S(v) + mu) and
+p(w) = (e(w) + 1) / (E + V + 1), where S(v) is the sum of e(v, w) over all w and E that of e(w).  So the
+probabilities that follow a context sum to one over the V tokens and one unknown token.  S(v) is
+c(v) less what its pairs lose by their levels; a pair's hash begins with its context's, which tells
+whose loss it is.  Workers are sent S of the most frequent tokens; that of the others is in the filter
+too, in finer levels (STEP), which hold it to 0.8 %.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +35,13 @@ from docspan.llm.common import sorted_runs, stored
 from docspan.llm.words import in_chunks, mix, word_hashes
 
 SEGMENT_BITS = 1 << 23
+#: Probes at least, and bits at least for each level of an n-gram.
 PROBES = 6
 BITS_PER_ITEM = 10
+#: Ratio of the levels of contexts' sums, and what sets their hashes apart from tokens'.
+STEP = 1 + 1 / 64
+CONTEXT = 0x5C3A_91D7_24E8_6B0F
+UPPER = np.uint64(0xFFFF_FFFF_0000_0000)
 END = np.uint64(0xE2D0_0000_0000_0001)
 BEGIN = np.uint64(0xB361_0000_0000_0001)
 #: The most frequent tokens, whose exact counts workers are sent.
@@ -45,7 +57,8 @@ def in_training(id_col: str, parts: int = 7, held_out: int = 2) -> Column:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(v + np.uint64(0x9E3779B97F4A7C15)) ^ w)
+    """The upper half is v's."""
+    return v & UPPER | mix(mix(v + np.uint64(0x9E3779B97F4A7C15)) ^ w) >> np.uint64(32)
 
 
 def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +74,23 @@ def level(count: Column) -> Column:
 
 
 def estimate(levels: np.ndarray) -> np.ndarray:
-    """Middle of the counts of a level; 0 for level 0."""
-    return np.where(levels > 0, 1.5 * np.exp2(np.maximum(levels, 1) - 1.0) - 0.5, 0.0)
+    """Least count of a level; 0 for level 0."""
+    return np.where(levels > 0, np.exp2(np.maximum(levels, 1) - 1.0), 0.0)
+
+
+def least(count: Column) -> Column:
+    """Least count of count's level."""
+    return F.pow(F.lit(2.0), level(count) - 1).cast("long")
+
+
+def sum_level(total: Column, mu: float) -> Column:
+    """Level of a context's sum: how many steps lead from mu to total + mu."""
+    return F.round(F.log((total + mu) / mu) / math.log(STEP)).cast("int")
+
+
+def probes_for(vocabulary: int, mu: float) -> int:
+    """So many that made-up pairs, one for 2^probes probes, are less than mu / 100 of a context's."""
+    return max(PROBES, math.ceil(math.log2(max(1.0, 100 * vocabulary / max(mu, 1.0)))))
 
 
 @dataclass
@@ -70,27 +98,36 @@ class Filter:
     segments: int
     bits: np.ndarray | None  # bytes of all segments in turn, unless they are too large for that
     filled: DataFrame | None = None  # then (segment, bits), stored
+    probes: int = PROBES
+
+    @staticmethod
+    def steps(h: np.ndarray, lev: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a level begin, and how far they are apart."""
+        at = mix(h + np.uint64(lev * 0xD1B54A32D192ED03 % (1 << 64)))
+        return at, at >> np.uint64(32) | np.uint64(1)
 
     @staticmethod
-    def places(h: np.ndarray, lev: int, probe: int) -> np.ndarray:
+    def place(at: np.ndarray, apart: np.ndarray, probe: int) -> np.ndarray:
         """Bit of one probe inside a segment."""
-        salt = (lev * 2 * PROBES + probe + 1) * 0xD1B54A32D192ED03 % (1 << 64)
-        return mix(h + np.uint64(salt)) & np.uint64(SEGMENT_BITS - 1)
+        return at + apart * np.uint64(probe) & np.uint64(SEGMENT_BITS - 1)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        return probe_levels(self.bits, mix(h) % np.uint64(self.segments), h)
+        return probe_levels(self.bits, mix(h) % np.uint64(self.segments), h, self.probes)
 
 
-def probe_levels(bits: np.ndarray, segment: np.ndarray, h: np.ndarray) -> np.ndarray:
+def probe_levels(bits: np.ndarray, segment: np.ndarray, h: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """Level of each hash: how many levels in turn have all their bits.  segment: by its place in bits."""
     out = np.zeros(len(h), np.int64)
     base = segment * np.uint64(SEGMENT_BITS)
     live, lev = np.arange(len(h)), 0
     while len(live):
         lev += 1
-        for probe in range(PROBES):
-            at = base[live] + Filter.places(h[live], lev, probe)
-            live = live[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        at, apart = Filter.steps(h[live], lev)
+        for probe in range(probes):
+            bit = base[live] + Filter.place(at, apart, probe)
+            hit = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                live, at, apart = live[hit], at[hit], apart[hit]
             if not len(live):
                 break
         out[live] = lev
@@ -112,11 +149,15 @@ def counted(docs: DataFrame, text_col: str, pairs: bool) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def build_filter(counts: DataFrame, max_bytes: int) -> Filter:
-    """counts: (h, c), stored.  The filter's bits are with it if they have max_bytes at most."""
+def build_filter(counts: DataFrame, max_bytes: int, probes: int = PROBES, sums: DataFrame | None = None) -> Filter:
+    """counts: (h, c), and sums: (h, level), read from stored tables.  The filter's bits are with it if they have
+    max_bytes at most."""
     leveled = counts.select("h", level(F.col("c")).alias("level"))
+    if sums is not None:
+        leveled = leveled.unionByName(sums)
     items = leveled.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    segments = max(1, -(-items * BITS_PER_ITEM // SEGMENT_BITS))
+    # half of the bits are set at 3 bits for 2 probes
+    segments = max(1, -(-items * max(BITS_PER_ITEM, probes * 3 // 2) // SEGMENT_BITS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -129,20 +170,21 @@ def build_filter(counts: DataFrame, max_bytes: int) -> Filter:
                 left, most = h[mine], lev[mine]
                 for j in range(1, int(most.max()) + 1):
                     left, most = left[most >= j], most[most >= j]
-                    for probe in range(PROBES):
-                        bits[Filter.places(left, j, probe).astype(np.int64)] = True
+                    at, apart = Filter.steps(left, j)
+                    for probe in range(probes):
+                        bits[Filter.place(at, apart, probe).astype(np.int64)] = True
         for s, bits in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
     tagged = leveled.mapInArrow(_with_segment(segments), "segment int, h long, level int")
     filled = tagged.repartition(segments, "segment").select("h", "level").mapInArrow(fill, "segment int, bits binary")
     if segments * SEGMENT_BITS // 8 > max_bytes:
-        return Filter(segments, None, stored(filled, "segments"))
+        return Filter(segments, None, stored(filled, "segments"), probes)
     whole = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for row in filled.toLocalIterator():
         lo = row.segment * SEGMENT_BITS // 8
         whole[lo : lo + SEGMENT_BITS // 8] |= np.frombuffer(row.bits, np.uint8)
-    return Filter(segments, whole)
+    return Filter(segments, whole, None, probes)
 
 
 def _with_segment(segments: int):
@@ -154,44 +196,77 @@ def _with_segment(segments: int):
     return run
 
 
+def _places(sent: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in sent, which is sorted; -1 if it isn't there."""
+    if not len(sent):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(sent, h), len(sent) - 1)
+    return np.where(sent[at] == h, at, -1)
+
+
 def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int = 1, max_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training tells the rows to learn from.  A null text is empty: its end is its only token.
-    Repeated rows count each time.  Without training rows, N and V are 0 and no token is known.  An
-    empty table gives an empty result; other columns are not read.
+    Repeated rows count each time.  Without training rows, N and V are 0 and no token is known.  Very
+    long texts are read whole, each as a chunk of its own.  An empty table gives an empty result; other
+    columns are not read.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training.alias("train"))
     learn = src.filter("train")
-    tokens = stored(counted(learn, "text", pairs=False), "tokens")
-    pairs = stored(counted(learn, "text", pairs=True).filter(F.col("c") >= min_count), "pairs")
-    n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = tokens.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    begin = int(BEGIN.view(np.int64))
+    pairs = stored(counted(learn, "text", pairs=True), "pairs")
+    kept = F.when(F.col("c") >= min_count, least(F.col("c"))).otherwise(0)
+    lost = pairs.select(F.shiftrightunsigned("h", 32).alias("half"), (F.col("c") - kept).alias("lost")).filter("lost > 0").groupBy("half").agg(F.sum("lost").alias("lost"))
+    starts = spark.createDataFrame([(begin, learn.count())], "h long, c long").filter("c > 0")
+    found = counted(learn, "text", pairs=False).unionByName(starts).withColumn("half", F.shiftrightunsigned("h", 32))
+    contexts = stored(found.join(lost, "half", "left").select("h", "c", (F.col("c") - F.coalesce("lost", F.lit(0))).alias("s")), "tokens")
+    tokens = contexts.filter(F.col("h") != begin).select("h", "c")
+    n, v, e = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(least(F.col("c"))), F.lit(0))).first()
+    head = contexts.orderBy((F.col("h") != begin), F.desc("c"), "h").limit(HEAD + 1).toPandas()
+    beyond = F.lit(False)
+    if len(head) > HEAD:
+        last = head.iloc[-1]
+        beyond = (F.col("h") != begin) & ((F.col("c") < int(last["c"])) | (F.col("c") == int(last["c"])) & (F.col("h") > int(last["h"])))
     order = np.argsort(head["h"].to_numpy().view(np.uint64))
-    known = (head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order])
-    starts = spark.createDataFrame([(int(BEGIN.view(np.int64)), learn.count())], "h long, c long").filter("c > 0")
-    grams = tokens.unionByName(pairs).unionByName(starts)
-    held = build_filter(grams, max_bytes)
+    known = tuple(head[x].to_numpy()[order] for x in ("h", "c", "s"))
+    known = (known[0].view(np.uint64), *known[1:])
+    sums = contexts.filter(beyond).select(F.col("h").bitwiseXOR(F.lit(CONTEXT)).alias("h"), sum_level(F.col("s"), mu).alias("level"))
+    held = build_filter(tokens.unionByName(pairs.filter(F.col("c") >= min_count)), max_bytes, probes_for(v, mu), sums)
     sent = spark.sparkContext.broadcast((known, held if held.filled is None else None))
-    whole = float(n + v + 1)
+    whole, flat, probes = float(n + v + 1), float(e + v + 1), held.probes
     segments, blocks = held.segments, -(-held.segments // BLOCK)
     chars = 0 if held.filled is None else src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     deals = max(1, -(-chars // (blocks * ASKED_BYTES)))
 
-    def likely(both: np.ndarray, cv: np.ndarray, cw: np.ndarray) -> np.ndarray:
-        """log10 p(w | v) of each position, from the filter's counts."""
-        return np.log10((np.minimum(both, np.minimum(cw, cv)) + mu * (cw + 1.0) / whole) / (cv + mu))
+    def asked_of(one: np.ndarray, w: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the filter is asked for the chunk's tokens, the contexts among them that were not sent and its
+        pairs; and the tokens' places among those sent, -1 for the others."""
+        (sent_h, _, _), _ = sent.value
+        at = _places(sent_h, one)
+        return np.concatenate([one, one[at < 0] ^ np.uint64(CONTEXT), pair_hash(before, w)]), at
+
+    def likely(levels: np.ndarray, place: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """log10 p(w | v) of each position, from the filter's answers; at: the positions' tokens, begin last."""
+        (_, _, sent_s), _ = sent.value
+        ones, rest = len(place), int((place < 0).sum())
+        total = np.where(place < 0, 0.0, sent_s[place] if len(sent_s) else 0.0)
+        total[place < 0] = mu * (np.exp(levels[ones : ones + rest] * math.log(STEP)) - 1)
+        cw, both = estimate(levels[:ones])[at[:-1]], estimate(levels[ones + rest :])
+        sv = np.insert(total[at[:-2]], 0, 0.0) if len(at) > 1 else np.zeros(0)
+        sv[np.cumsum(size) - size] = total[at[-1]]
+        return np.log10((np.minimum(both, np.minimum(cw, sv)) + mu * (cw + 1.0) / flat) / (sv + mu))
 
     def questions(key: int, w: np.ndarray, before: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         """What a chunk asks of each block, and how to put the answers together."""
         one, at = np.unique(np.append(w, BEGIN), return_inverse=True)
-        h = np.concatenate([one, pair_hash(before, w)])
+        h, place = asked_of(one, w, before)
         block = (mix(h) % np.uint64(segments) // np.uint64(BLOCK)).astype(np.min_scalar_type(blocks))
         order = np.argsort(block, kind="stable")
         asked, first = np.unique(block[order], return_index=True)
         blobs = [h[x].tobytes() for x in np.split(order, first[1:])]
-        recipe = pickle.dumps((size, at.astype(np.min_scalar_type(len(one))), len(one), block))
+        recipe = pickle.dumps((size, at.astype(np.min_scalar_type(len(one))), place.astype(np.int32), block))
         deal = key // (1 << 40) * 31 + key % (1 << 40)
         k = len(blobs) + 1
         yield pa.RecordBatch.from_arrays(
@@ -216,7 +291,7 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
                         blob = None
                     else:
                         h = np.frombuffer(blob, np.uint64)
-                        blob = probe_levels(bits, mix(h) % np.uint64(segments) % np.uint64(BLOCK), h).astype(np.uint8).tobytes()
+                        blob = probe_levels(bits, mix(h) % np.uint64(segments) % np.uint64(BLOCK), h, probes).astype(np.uint16).tobytes()
                 blobs.append(blob)
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()) if i == at["blob"] else c for i, c in enumerate(t.columns)], t.schema.names).filter(pa.array(keep, pa.bool_()))
 
@@ -224,42 +299,38 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
         """A chunk's answers, its recipe first, to scores."""
         for t in sorted_runs(batches, ["key"]):
             key, blobs = t.column("key")[0].as_py(), t.column("blob").to_pylist()
-            size, at, ones, block = pickle.loads(blobs[0])
+            size, at, place, block = pickle.loads(blobs[0])
             levels = np.zeros(len(block), np.int64)
             for b, blob in zip(t.column("block").to_pylist()[1:], blobs[1:], strict=True):
-                levels[block == b] = np.frombuffer(blob, np.uint8)
-            c = estimate(levels)
-            token, both = c[:ones][at], c[ones:]
-            before = np.insert(token[:-1][: len(both) - 1], 0, token[-1])
-            before[np.cumsum(size) - size] = token[-1]
+                levels[block == b] = np.frombuffer(blob, np.uint16)
             text = np.repeat(np.arange(len(size)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(size))), pa.array(np.bincount(text, likely(both, before, token[:-1]), minlength=len(size)))], ["key", "answered"])
+            yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(size))), pa.array(np.bincount(text, likely(levels, place, at, size), minlength=len(size)))], ["key", "answered"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head_h, head_c), here = sent.value
+        (head_h, head_c, _), here = sent.value
         next_key = TaskContext.get().partitionId() << 40
         for t in batches:
             ids, texts, train = t.column(0), t.column(1).to_pylist(), t.column(2)
             for lo, hi in in_chunks(texts):
                 w, before, size = sequences(texts[lo:hi])
                 text = np.repeat(np.arange(hi - lo), size)
-                sums = lambda x: np.bincount(text, x, minlength=hi - lo)  # noqa: B023,E731
+                sums_of = lambda x: np.bincount(text, x, minlength=hi - lo)  # noqa: B023,E731
                 # exact counts of the frequent tokens; the others are sent on
-                at = np.minimum(np.searchsorted(head_h, w), max(len(head_h) - 1, 0))
-                hit = head_h[at] == w if len(head_h) else np.zeros(len(w), bool)
-                base = sums(np.where(hit, np.log10(((head_c[at] if len(head_h) else np.zeros(len(w))) + 1.0) / whole), 0.0))
+                at = _places(head_h, w)
+                hit = at >= 0
+                base = sums_of(np.where(hit, np.log10(((head_c[at] if len(head_h) else np.zeros(len(w))) + 1.0) / whole), 0.0))
                 # the model
                 if here is not None:
-                    one, back = np.unique(np.concatenate([w, before]), return_inverse=True)
-                    c = estimate(here.levels(one))[back]
-                    two, back = np.unique(pair_hash(before, w), return_inverse=True)
-                    scores = pa.array(sums(likely(estimate(here.levels(two))[back], c[len(w) :], c[: len(w)])))
+                    one, of = np.unique(np.append(w, BEGIN), return_inverse=True)
+                    h, place = asked_of(one, w, before)
+                    two, back = np.unique(h, return_inverse=True)
+                    scores = pa.array(sums_of(likely(here.levels(two)[back], place, of, size)))
                 else:
                     scores = none(pa.float64(), hi - lo)
                     yield from questions(next_key, w, before, size)
                 keys = next_key + np.arange(hi - lo)
                 next_key += hi - lo
-                yield row_batch([pa.array(keys), ids.slice(lo, hi - lo), train.slice(lo, hi - lo), pa.array(size), pa.array(sums(hit).astype(np.int64)), pa.array(base), scores, none(pa.int64(), hi - lo)])
+                yield row_batch([pa.array(keys), ids.slice(lo, hi - lo), train.slice(lo, hi - lo), pa.array(size), pa.array(sums_of(hit).astype(np.int64)), pa.array(base), scores, none(pa.int64(), hi - lo)])
                 rest = np.flatnonzero(~hit)
                 order = np.lexsort((w[rest], text[rest]))
                 rw, rt = w[rest][order], text[rest][order]

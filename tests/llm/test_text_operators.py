@@ -81,6 +81,36 @@ def test_pairs_that_occur_once_count(spark):
     assert got[11] > got[12] + 0.01
 
 
+@pytest.mark.parametrize("head, max_bytes, near", [(100_000, 1 << 30, 1e-6), (5, 1 << 30, 0.0045), (5, 1, 0.0045)])
+def test_score_is_the_models_and_sums_to_one(spark, head, max_bytes, near, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(vocabulary[min(int(rng.expovariate(0.12)), 38)] for _ in range(rng.randrange(30)))) for i in range(150)]
+    learn = [[*t.split(), None] for _, t in docs]
+    uni = Counter(w for t in learn for w in t)
+    two = Counter(p for t in learn for p in zip(["begin", *t], t, strict=False))
+    e = lambda n: 2 ** (n.bit_length() - 1) if n else 0
+    mu, flat = 32.0, sum(map(e, uni.values())) + len(uni) + 1
+    total = Counter()
+    for (v, _), n in two.items():
+        total[v] += e(n)
+    p = lambda v, w: (e(two[v, w]) + mu * (e(uni[w]) + 1) / flat) / (total[v] + mu)
+    for v in ["begin", "never", *uni]:
+        assert abs(sum(p(v, w) for w in uni) + p(v, "never") - 1) < 1e-9
+    asked = [(1000 + i, t) for i, t in enumerate([*(f"{v} {w}" for v in vocabulary for w in vocabulary), "", "never", "W1 never w2"])]
+    got = lm.score(spark.createDataFrame(docs + asked, "doc_id long, text string"), F.col("doc_id") < 1000, mu=mu, max_bytes=max_bytes).filter("held_out")
+    scores = {r.doc_id: (r.score, r.n_tokens) for r in got.collect()}
+    assert len(scores) == len(asked)
+    off = []
+    for i, t in asked:
+        tokens = [*t.lower().split(), None]
+        want = sum(math.log10(p(v, w)) for v, w in zip(["begin", *tokens], tokens, strict=False))
+        off.append(abs(scores[i][0] - want) / scores[i][1])
+    # a pair that the filter makes up is rare, and adds little
+    assert np.mean(np.array(off) > near) < 0.002, max(off)
+
+
 def test_score_of_nothing(spark):
     assert lm.score(no_documents(spark), lm.in_training("doc_id")).collect() == []
     only = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
