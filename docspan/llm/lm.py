@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import sorted_runs, stored
+from docspan.llm.common import keep, scratch, sorted_runs, stored
 from docspan.llm.words import in_chunks, mix, word_hashes
 
 SEGMENT_BITS = 1 << 23
@@ -178,8 +178,9 @@ def build_filter(counts: DataFrame, max_bytes: int, probes: int = PROBES, sums:
 
     tagged = leveled.mapInArrow(_with_segment(segments), "segment int, h long, level int")
     filled = tagged.repartition(segments, "segment").select("h", "level").mapInArrow(fill, "segment int, bits binary")
+    filled = stored(filled, "segments")
     if segments * SEGMENT_BITS // 8 > max_bytes:
-        return Filter(segments, None, stored(filled, "segments"), probes)
+        return Filter(segments, None, filled, probes)
     whole = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for row in filled.toLocalIterator():
         lo = row.segment * SEGMENT_BITS // 8
@@ -216,24 +217,27 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training.alias("train"))
     learn = src.filter("train")
     begin = int(BEGIN.view(np.int64))
-    pairs = stored(counted(learn, "text", pairs=True), "pairs")
-    kept = F.when(F.col("c") >= min_count, least(F.col("c"))).otherwise(0)
-    lost = pairs.select(F.shiftrightunsigned("h", 32).alias("half"), (F.col("c") - kept).alias("lost")).filter("lost > 0").groupBy("half").agg(F.sum("lost").alias("lost"))
-    starts = spark.createDataFrame([(begin, learn.count())], "h long, c long").filter("c > 0")
-    found = counted(learn, "text", pairs=False).unionByName(starts).withColumn("half", F.shiftrightunsigned("h", 32))
-    contexts = stored(found.join(lost, "half", "left").select("h", "c", (F.col("c") - F.coalesce("lost", F.lit(0))).alias("s")), "tokens")
-    tokens = contexts.filter(F.col("h") != begin).select("h", "c")
-    n, v, e = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(least(F.col("c"))), F.lit(0))).first()
-    head = contexts.orderBy((F.col("h") != begin), F.desc("c"), "h").limit(HEAD + 1).toPandas()
-    beyond = F.lit(False)
-    if len(head) > HEAD:
-        last = head.iloc[-1]
-        beyond = (F.col("h") != begin) & ((F.col("c") < int(last["c"])) | (F.col("c") == int(last["c"])) & (F.col("h") > int(last["h"])))
-    order = np.argsort(head["h"].to_numpy().view(np.uint64))
-    known = tuple(head[x].to_numpy()[order] for x in ("h", "c", "s"))
-    known = (known[0].view(np.uint64), *known[1:])
-    sums = contexts.filter(beyond).select(F.col("h").bitwiseXOR(F.lit(CONTEXT)).alias("h"), sum_level(F.col("s"), mu).alias("level"))
-    held = build_filter(tokens.unionByName(pairs.filter(F.col("c") >= min_count)), max_bytes, probes_for(v, mu), sums)
+    with scratch(spark):  # what only the filter is built from goes
+        pairs = stored(counted(learn, "text", pairs=True), "pairs")
+        kept = F.when(F.col("c") >= min_count, least(F.col("c"))).otherwise(0)
+        lost = pairs.select(F.shiftrightunsigned("h", 32).alias("half"), (F.col("c") - kept).alias("lost")).filter("lost > 0").groupBy("half").agg(F.sum("lost").alias("lost"))
+        starts = spark.createDataFrame([(begin, learn.count())], "h long, c long").filter("c > 0")
+        found = counted(learn, "text", pairs=False).unionByName(starts).withColumn("half", F.shiftrightunsigned("h", 32))
+        contexts = keep(stored(found.join(lost, "half", "left").select("h", "c", (F.col("c") - F.coalesce("lost", F.lit(0))).alias("s")), "tokens"))
+        tokens = contexts.filter(F.col("h") != begin).select("h", "c")
+        n, v, e = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(least(F.col("c"))), F.lit(0))).first()
+        head = contexts.orderBy((F.col("h") != begin), F.desc("c"), "h").limit(HEAD + 1).toPandas()
+        beyond = F.lit(False)
+        if len(head) > HEAD:
+            last = head.iloc[-1]
+            beyond = (F.col("h") != begin) & ((F.col("c") < int(last["c"])) | (F.col("c") == int(last["c"])) & (F.col("h") > int(last["h"])))
+        order = np.argsort(head["h"].to_numpy().view(np.uint64))
+        known = tuple(head[x].to_numpy()[order] for x in ("h", "c", "s"))
+        known = (known[0].view(np.uint64), *known[1:])
+        sums = contexts.filter(beyond).select(F.col("h").bitwiseXOR(F.lit(CONTEXT)).alias("h"), sum_level(F.col("s"), mu).alias("level"))
+        held = build_filter(tokens.unionByName(pairs.filter(F.col("c") >= min_count)), max_bytes, probes_for(v, mu), sums)
+        if held.filled is not None:
+            keep(held.filled)
     sent = spark.sparkContext.broadcast((known, held if held.filled is None else None))
     whole, flat, probes = float(n + v + 1), float(e + v + 1), held.probes
     segments, blocks = held.segments, -(-held.segments // BLOCK)
