@@ -223,7 +223,9 @@ def score(docs: DataFrame, training: Column, mu: float = 32.0, min_count: int =
         lost = pairs.select(F.shiftrightunsigned("h", 32).alias("half"), (F.col("c") - kept).alias("lost")).filter("lost > 0").groupBy("half").agg(F.sum("lost").alias("lost"))
         starts = spark.createDataFrame([(begin, learn.count())], "h long, c long").filter("c > 0")
         found = counted(learn, "text", pairs=False).unionByName(starts).withColumn("half", F.shiftrightunsigned("h", 32))
-        contexts = keep(stored(found.join(lost, "half", "left").select("h", "c", (F.col("c") - F.coalesce("lost", F.lit(0))).alias("s")), "tokens"))
+        # levels lose less than half of a count, so what is more belongs to another token with the same half
+        own = F.when(F.col("lost") * 2 < F.col("c") if min_count == 1 else F.col("lost") <= F.col("c"), F.col("lost")).otherwise(0)
+        contexts = keep(stored(found.join(lost, "half", "left").select("h", "c", (F.col("c") - own).alias("s")), "tokens"))
         tokens = contexts.filter(F.col("h") != begin).select("h", "c")
         n, v, e = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(least(F.col("c"))), F.lit(0))).first()
         head = contexts.orderBy((F.col("h") != begin), F.desc("c"), "h").limit(HEAD + 1).toPandas()

@@ -111,6 +111,22 @@ def test_score_is_the_models_and_sums_to_one(spark, head, max_bytes, near, monke
     assert np.mean(np.array(off) > near) < 0.002, max(off)
 
 
+def test_contexts_that_share_half_a_hash(spark, monkeypatch):
+    lower = np.uint64(0xFFFF_FFFF)
+    sequences = lm.sequences
+
+    def one_half(texts):  # all words but the frequent one have its upper half
+        w, v, n = sequences(texts)
+        same = lambda h: np.where((h == lm.END) | (h == lm.BEGIN), h, np.uint64(7 << 32) | h & lower)
+        return same(w), same(v), n
+
+    monkeypatch.setattr(lm, "sequences", one_half)
+    monkeypatch.setattr(lm, "HEAD", 1)
+    docs = [(i, "often here") for i in range(63)] + [(100, "rare"), (101, "rarer")]
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True)).collect()
+    assert len(got) == 65 and all(r.score is not None and math.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def test_score_of_nothing(spark):
     assert lm.score(no_documents(spark), lm.in_training("doc_id")).collect() == []
     only = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
