@@ -81,6 +81,10 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+# The country codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 class Pseudonyms:
     """Replaces what it finds in a text; kinds() are those it knows."""
 
@@ -88,13 +92,13 @@ class Pseudonyms:
     # what may start inside a run of digits is told by its validator
     FOUND = re.compile(
         r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
-        r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z]))"
+        r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![0-9A-Za-z]))"
         r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
         r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"
         r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9]))"
         r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-        r"|(?P<phone>(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,5}(?![0-9]))"
+        r"|(?P<phone>(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9](?:[ -]?[0-9]){7,14}(?![0-9]))"
     )
     MAY = re.compile(r"[0-9@]|[a-f]{32}")
 
@@ -135,9 +139,10 @@ class Pseudonyms:
         return f"{self._classes('email@' + host.lower(), name)}@{host}"
 
     def secret(self, s: str) -> str | None:
-        if not re.search("[0-9]", s) or not re.search("[a-f]", s):
+        if not re.search("[0-9]", s) or not re.search("[a-fA-F]", s):
             return None
-        return f"{self._permute('secret', 16 ** len(s), int(s, 16)):0{len(s)}x}"
+        new = f"{self._permute('secret', 16 ** len(s), int(s, 16)):0{len(s)}x}"
+        return new.upper() if s.upper() == s else new
 
     def iban(self, s: str) -> str | None:
         whole = s.replace(" ", "")
@@ -169,8 +174,7 @@ class Pseudonyms:
                 return None  # written as a phone number, it is one even outside of the numbering plan
             return _refill(s, lead + self._digits("phone", body, lambda n: _valid_phone(n) == fits))
         if s.startswith("+") and 8 <= len(digits) <= 15:
-            lead = re.match(r"\+([0-9]{1,3})(?=[ -])", s)
-            n = len(lead[1]) if lead else 2
+            n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
             return _refill(s, digits[:n] + self._digits(f"phone+{digits[:n]}", digits[n:]))
         return None
 
@@ -191,9 +195,11 @@ class Pseudonyms:
                 continue
             if not 0 <= day < DAYS:
                 continue
-            # a day that could be read in either order keeps to days for which that holds, and the others to theirs
-            loose = lambda n: "/" not in s or (dt.date.fromordinal(n + FIRST_DAY).day <= 12) == (parts[0] <= 12 and parts[1] <= 12)
-            new = dt.date.fromordinal(self._permute(f"date{order}" if "/" in s else "date", DAYS, day, loose) + FIRST_DAY)
+            # days up to the 12th stay such, so that what can be read in either order stays so; all notations
+            # that name a day for certain share one permutation, the others have one for each order
+            early = lambda n: (dt.date.fromordinal(n + FIRST_DAY).day <= 12) == (parts[order[2]] <= 12)  # noqa: B023,E731
+            certain = "/" not in s or max(parts[:2]) > 12
+            new = dt.date.fromordinal(self._permute("date" if certain else f"date{order}", DAYS, day, early) + FIRST_DAY)
             values = (new.year, new.month, new.day)
             text = {order[k]: v for k, v in enumerate(values)}
             sep = next(c for c in s if not c.isdigit())

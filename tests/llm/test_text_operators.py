@@ -289,6 +289,29 @@ def test_formats_stay_valid():
     assert re.fullmatch(r"[a-z]{5}\.\d{2}@mail8\.example\.com", swap.email("bosbt.42@mail8.example.com"))
 
 
+def test_equal_values_stay_linked_across_notations():
+    swap = pii.Pseudonyms(b"key")
+    of = lambda t: swap(t)[0]
+    days = [dt.date(1990, 1, 1) + dt.timedelta(n) for n in range(0, 4000, 13)]
+    seen = set()
+    for d in days:
+        new = dt.date.fromisoformat(of(d.isoformat()))
+        assert (new.day > 12) == (d.day > 12)
+        seen.add(new)
+        assert of(f"{d:%d.%m.%Y}") == f"{new:%d.%m.%Y}"
+        if d.day > 12:
+            assert of(f"{d:%m/%d/%Y}") == f"{new:%m/%d/%Y}" and of(f"{d:%d/%m/%Y}") == f"{new:%d/%m/%Y}"
+    assert len(seen) == len(days)
+    for code, rest in (("353", "1 234 5678"), ("44", "20 7946 0958"), ("7", "495 123 45 67")):
+        text, spans = swap(f"call +{code} {rest} now")
+        assert [k for k, *_ in spans] == ["phone"] and text.startswith(f"call +{code} ") and rest not in text
+        plain = lambda t: re.sub("[ -]", "", t)
+        assert of("+" + plain(code + rest)) == plain(text[5:-4]) == plain(of(f"+{code}-{rest.replace(' ', '-')}"))
+    secret = "0123456789ABCDEF0123456789ABCDEF"
+    assert of(secret) == of(secret.lower()).upper() != secret
+    assert swap("+12 and +353 1 is short, +1-2") == ("+12 and +353 1 is short, +1-2", [])
+
+
 def test_texts_keep_all_else(spark):
     card = luhn_number(random.Random(5), 16)
     text = f"Mail a.b1@x.org, card {card} and {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}; on 2020-01-31 from 10.0.0.1. Not 1234567890123456, v1.2.3 or 99.999.1.1! +1 (456) 555-2186"
