@@ -133,6 +133,16 @@ def word_boxes_equal(df: DataFrame, keys: Sequence[str], content: str = "content
     return rows.select(*keys, "word_no", "word", left.alias("x1"), F.col("by1").alias("y1"), F.least(left + F.greatest(step, F.lit(10)), F.col("bx2")).alias("x2"), F.col("by2").alias("y2"), F.lit(0.93).alias("confidence"))
 
 
+def word_rows_equal(df: DataFrame, keys: Sequence[str], content: str = "content", box: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """The boxes of `word_boxes_equal`, a row for each element: word k of n begins at x + k * step and is `wide`, as far as the
+    box reaches (to `right`)."""
+    found = F.filter(F.split(F.replace(F.col(content), F.lit("\n"), F.lit(" ")), " ", -1), lambda s: s.rlike(r"\S"))
+    x1, y1, x2, y2 = (F.col(c) for c in box)
+    rows = df.select(*keys, x1.alias("x"), y1.alias("y"), x2.alias("right"), (y2 - y1).alias("h"), F.size(found).alias("n"))
+    rows = rows.withColumn("step", F.greatest(F.lit(1), _div(F.col("right") - F.col("x"), F.col("n"))))
+    return rows.withColumn("wide", F.greatest("step", F.lit(10)))
+
+
 def reading_order(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """df with `order_no`, from 0: by y, then x, then position."""
     return df.withColumn("order_no", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", position)) - 1)

@@ -213,9 +213,8 @@ def overlap_warnings(spark, sf):
 @query
 def word_box_overlaps(spark, sf):
     """Pages whose lines have so many words that equally wide boxes run into each other."""
-    words = geometry.word_boxes_equal(geometry.line_elements(c.documents(spark, sf), ["doc_id"]), ["doc_id", "index"])
-    boxes = words.select("doc_id", "index", "word_no", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    return validation.overlap_counts(boxes, ["doc_id"], ["index", "word_no"])
+    rows = geometry.word_rows_equal(geometry.line_elements(c.documents(spark, sf), ["doc_id"]), ["doc_id", "index"])
+    return validation.row_overlap_counts(rows, ["doc_id"], ["index"])
 
 
 @query

@@ -1,6 +1,7 @@
 """Operators that cut their rows into bands, against plain loops; and rounding against Python's."""
 
 import datetime as dt
+import math
 import random
 import struct
 
@@ -81,3 +82,41 @@ def test_findings_as_coded_rows(spark):
     assert {r.i for r in validation.structured_warnings(results, ["i"]).collect()} == {3, 4, 5, 6}
     items = spark.createDataFrame([(1, 0, 0, 1, 1, 0.4), (1, 0, 0, 1, 1, 0.9), (2, 0, 0, 1, 1, 0.9)], "p int, x int, y int, w int, h int, confidence double")
     assert [tuple(r) for r in validation.ratio_warnings(validation.validation_summary(items, ["p"], (0, 0, 10, 10)), ["p"]).collect()] == [(1, "HIGH_LOW_CONFIDENCE_RATIO", "high")]
+
+
+@pytest.mark.parametrize(("pairs", "made"), [(1 << 18, 1 << 16), (50, 40)])
+def test_overlaps_of_rows_equal_those_of_their_boxes(spark, monkeypatch, pairs, made):
+    """Rows of words are counted without a row a word; with small limits, in many steps."""
+    from docspan.operators import geometry
+
+    rng = random.Random(pairs)
+    rows = [(p, None if p == 3 else 1, i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.choice([0, 1, 3, 70, 90]))), x := rng.randrange(0, 30), y := rng.randrange(0, 200), x + rng.randrange(0, 600), y + rng.randrange(0, 80)) for p in range(4) for i in range(12)]
+    rows += [(4, 1, i, "a b c d " * 40, 0, 791, 100, 792) for i in range(20)] + [(4, 1, 20, "a", 0, None, 5, 9), (4, 1, 21, None, 0, 0, 5, 9)]
+    df = spark.createDataFrame(rows, "p int, q int, i int, content string, x1 int, y1 int, x2 int, y2 int")
+    words = geometry.word_boxes_equal(df, ["p", "q", "i"])
+    boxes = words.select("p", "q", "i", "word_no", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    monkeypatch.setattr(validation, "PAIRS", pairs)
+    monkeypatch.setattr(validation, "ROWS", made)
+    want = {(r.p, r.q): r["count"] for r in validation.word_overlaps(boxes, ["p", "q"], ["i", "word_no"]).groupBy("p", "q").count().collect()}
+    lines = geometry.word_rows_equal(df, ["p", "q", "i"])
+    for got in (validation.row_overlap_counts(lines, ["p", "q"], ["i"]), validation.overlap_counts(boxes, ["p", "q"], ["i", "word_no"])):
+        assert {(r.p, r.q): r.overlap_count for r in got.collect()} == want and len(want) == 5
+    # limits in force where the work is done
+    parts = [b for b in validation._made_boxes(_one_row(), 1, 1)]
+    assert sum(b.num_rows for b in parts) == 500 and len(parts) == (1 if made > 500 else 13)
+    ends = [b.column("x").to_pylist() for b in parts]
+    assert all(a[-1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def _one_row():
+    import pyarrow as pa
+
+    values = {"p": 1, "i": 1, "x": 3, "step": 2, "wide": 10, "right": 1003, "n": 900, "y": 0, "h": 5, "top": 0, "band": 0}
+    return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in values.items()})
+
+
+def test_ratio_that_is_over_the_threshold_once_rounded(spark):
+    for threshold in (0.0, 0.1, 0.25, 1 / 3):
+        least = validation.least_ratio(threshold)
+        near = [(least,), (math.nextafter(least, 0.0),), (math.nextafter(least, 1.0),)]
+        assert [r[0] > threshold for r in spark.createDataFrame(near, "r double").select(F.round("r", 6)).collect()] == [True, False, True]
