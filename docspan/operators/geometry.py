@@ -22,6 +22,8 @@ PAGE: Box = (0, 0, 1000, 1000)
 # Patterns of pairs and headings, and the characters of a word that take no width.
 KV_COLON, KV_EQUALS = r"^([^:]+):\s*(.+)$", r"^([^=]+)=\s*(.+)$"
 NO_WIDTH = r"[^\p{L}\p{M}\p{N}_\s-]"
+#: Bytes of texts, and most texts, that are cut into sections at a time.
+SLICE, SLICE_TEXTS = 1 << 20, 512
 HEADING = r"^(#{1,6}|\d+\.|\d+\.\d+\.?)\s+(.+)$"
 
 
@@ -234,23 +236,35 @@ def sections(df: DataFrame, keys: Sequence[str], text: str = "text", page: Box =
 
 def _cut_at_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sections of texts whose lines (`said`) and heads are lists: where each begins and ends among its text's lines,
-    its first line, and the lines below that aren't empty."""
+    its first line, and the lines below that aren't empty.  As many texts as have SLICE bytes are cut at a time."""
     for batch in batches:
-        said, heads = batch.column("said"), batch.column("heads")
-        edge = said.offsets.to_numpy().astype(np.int64)
-        flat, at = said.flatten(), edge - edge[0]
-        head = heads.flatten().to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(head | np.isin(np.arange(len(head)), at[:-1]))  # a heading, or a text's first line
-        text = np.searchsorted(at, first, "right") - 1
-        after = np.minimum(np.r_[first[1:], len(head)][: len(first)], at[text + 1])
-        before = np.cumsum(head) - head  # headings of the batch before each line
-        number = np.where(head[first], before[first] - before[at[text]] + 1, 0)
-        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        strings, place = flat.filter(pa.array(full)).to_pylist(), np.r_[0, np.cumsum(full)]
-        below = ["\n".join(strings[place[lo + 1] : place[hi]]) for lo, hi in zip(first.tolist(), after.tolist(), strict=True)]
-        kept = [c for c in batch.schema.names if c not in ("said", "heads")]
-        made = [*(batch.column(c).take(pa.array(text)) for c in kept), *(pa.array(v.astype(np.int32)) for v in (number, first - at[text], after - at[text], at[text + 1] - at[text])), flat.take(pa.array(first)), pa.array(below, pa.string())]
-        yield pa.RecordBatch.from_arrays(made, [*kept, "section_no", "first", "after", "n", "line", "below"])
+        said = batch.column("said")
+        size = pc.binary_length(said.flatten()).to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)][said.offsets.to_numpy().astype(np.int64) - said.offsets[0].as_py()]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE, side="right")) - 1)
+            hi = min(hi, lo + SLICE_TEXTS)
+            yield _cut(batch.slice(lo, hi - lo))
+            lo = hi
+
+
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    said, heads = batch.column("said"), batch.column("heads")
+    edge = said.offsets.to_numpy().astype(np.int64)
+    flat, at = said.flatten(), edge - edge[0]
+    head = heads.flatten().to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(head | np.isin(np.arange(len(head)), at[:-1]))  # a heading, or a text's first line
+    text = np.searchsorted(at, first, "right") - 1
+    after = np.minimum(np.r_[first[1:], len(head)][: len(first)], at[text + 1])
+    before = np.cumsum(head) - head  # headings of the batch before each line
+    number = np.where(head[first], before[first] - before[at[text]] + 1, 0)
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    strings, place = flat.filter(pa.array(full)).to_pylist(), np.r_[0, np.cumsum(full)]
+    below = ["\n".join(strings[place[lo + 1] : place[hi]]) for lo, hi in zip(first.tolist(), after.tolist(), strict=True)]
+    kept = [c for c in batch.schema.names if c not in ("said", "heads")]
+    made = [*(batch.column(c).take(pa.array(text)) for c in kept), *(pa.array(v.astype(np.int32)) for v in (number, first - at[text], after - at[text], at[text + 1] - at[text])), flat.take(pa.array(first)), pa.array(below, pa.string())]
+    return pa.RecordBatch.from_arrays(made, [*kept, "section_no", "first", "after", "n", "line", "below"])
 
 
 def vertical_segments(df: DataFrame, keys: Sequence[str], width: str, height: str, segments: int = 3, overlap: int = 40) -> DataFrame:

@@ -152,3 +152,16 @@ def test_sections_of_a_long_text(spark):
     text = "\n".join(f"# head {i}" if i % 3 == 0 else f"line {i}" for i in range(60_000))
     got = g.sections(one(spark, text), ["doc_id"])
     assert got.count() == 20_000 and got.filter("section_no = 7").first().content == "line 19\nline 20"
+
+
+def test_sections_are_cut_a_few_texts_at_a_time(monkeypatch):
+    """What a batch takes in Python follows SLICE, not the batch; sections are the same."""
+    import pyarrow as pa
+
+    said = [["# A", "x" * 40, "", "y"], ["p"], [], ["é" * 30, "# B"], ["# C", "z"]] * 3
+    whole = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(15)), "said": pa.array(said), "heads": pa.array([[t.startswith("#") for t in x] for x in said])})
+    want = pa.Table.from_batches([g._cut(whole.slice(2))]).to_pylist()
+    monkeypatch.setattr(g, "SLICE", 70)
+    parts = list(g._cut_at_heads(iter([whole.slice(2)])))
+    assert pa.Table.from_batches(parts).to_pylist() == want and len(parts) > 5
+    assert all(len(set(p.column("doc_id").to_pylist())) <= 3 for p in parts)
