@@ -76,3 +76,26 @@ def test_a_megabyte_in_little_time():
     assert time.process_time() - start < 2  # about 0.6 s on a machine that does nothing else
     assert diff.ratio(" ".join(a), " ".join(b)) > 0.93  # one line
     assert diff.ratio("x" * (1 << 20), "x" * (1 << 20) + "y") > 0.999
+
+
+def test_fewer_steps_than_difflib_give_its_blocks(monkeypatch):
+    """Long texts that differ by little are done by search alone; all have the characters that difflib matches."""
+    rng = random.Random(3)
+    for k in range(400):
+        letters = rng.choice(["ab", "abcdefgh \n", "abcdefghijklmnopqrstuvwxyz .,ABCDEFGHIJ0123"])
+        x = "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 40, 199, 200, 900])))
+        y = list(x)
+        for _ in range(rng.choice([0, 1, 3, 20])):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.choice([0, 1, 4])] = rng.choice(letters) * rng.choice([0, 1, 3])
+        y = "".join(y)
+        for junk in (False, True):
+            blocks = difflib.SequenceMatcher(None, x, y, autojunk=junk).get_matching_blocks()
+            assert diff.same_chars(x, y, junk) == sum(b.size for b in blocks), (k, junk)
+
+    def few(at, where, x, alo, ahi, blo, bhi):
+        assert ahi - alo <= 3, "went through all places"
+        return alo, blo, 0
+
+    monkeypatch.setattr(diff, "_longest", few)
+    assert diff.same_chars("2.1 " + "re on the it is " * 15, "## " + "re on the it is " * 15) == 241
