@@ -9,8 +9,8 @@ against brute force, so queries that the classifier is sure of search few parts
 Parts follow the table: about PART_ROWS rows each, up to MOST parts.  A larger table has a second level:
 each part is cut again, by a graph and a classifier of its own, fitted by Spark on a bounded sample of it.
 
-For the search, parts are packed into blocks, or a large one dealt to several; a task has one block and the
-queries that want parts of it, and keeps a query's best k of all of them.
+For the search, parts are packed into a fixed number of blocks, or a large one dealt to several; a task has some of the
+queries that want parts of one block, lets the block's rows pass by them, and keeps a query's best k of all of them.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from docspan.llm.common import stored
 SAMPLE = 8192
 #: Rows that a part should hold, and most parts that one level has.
 PART_ROWS, MOST = 512, 128
-#: Most rows of a block, and most queries that meet them in one task.
-BLOCK, QUERIES = 16_384, 4096
+#: Into how many blocks leaves are packed, about, whatever the table's size: what a query brings back grows with them.
+#: Least rows that a block has room for, and how many queries, about, meet a block's rows in one task.
+BLOCKS, BLOCK, QUERIES = 16, 512, 4096
 SEED = 9_176
 
 
@@ -318,7 +319,7 @@ def _met(placed: DataFrame, levels: list[Level], is_query: str, rows: int, k: in
     leaves = sum(level.parts for level in levels[1:]) or levels[0].parts
     held = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}  # MOST * MOST rows at most
     sizes = np.array([held.get(i, 0) for i in range(leaves)])
-    most = min(BLOCK, max(1024, -(-rows // 32)))  # a small table still makes work for many tasks
+    most = max(BLOCK, -(-rows // BLOCKS))
     first, split, block, room = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), -1, 0
     for i, n in enumerate(sizes.tolist()):
         if n > most:
@@ -350,28 +351,59 @@ def _met(placed: DataFrame, levels: list[Level], is_query: str, rows: int, k: in
     queries = stored(placed.filter(is_query).select("id", "x").mapInArrow(route, "id long, x array<double>, block int, leaves array<int>"), "queries")
     asked = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
     blocks = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(leaves)], "leaf int, first int, split int"))
-    turns = F.broadcast(asked)  # a row for each block, no more than leaves and rows / BLOCK together
+    turns = F.broadcast(asked)  # a row for each block
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     cand = placed.join(blocks, "leaf").select("leaf", (F.col("first") + deal(1, "split")).alias("block"), "id", "x")
     cand = cand.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "leaf", "id", "x")
-    ask = queries.join(turns, "block").select("block", deal(2, "nq").alias("q"), "id", "x", "leaves")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        best_of = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if left.num_rows and right.num_rows:
-            ids, x, lists = left.column("id").to_numpy(), _vectors(left.column("x").combine_chunks()), left.column("leaves").combine_chunks()
-            owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-            leaf = lists.flatten().to_numpy()
-            c_ids, c_x, c_leaf = right.column("id").to_numpy(), _vectors(right.column("x").combine_chunks()), right.column("leaf").to_numpy()
-            for one in np.unique(leaf):
-                mine, here = owner[leaf == one], c_leaf == one
-                if here.any():
-                    got = best(x[mine], ids[mine], c_x[here], c_ids[here], k)
-                    best_of = top_k(*(np.concatenate(z) for z in zip(best_of, got, strict=True)), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), best_of, strict=True)))
-
-    keys = ["block", "q"]
-    return ask.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    ask = queries.join(turns, "block").select("block", deal(2, "nq").alias("q"), F.lit(None).cast("int").alias("leaf"), "id", "x", "leaves")
+    rows = ask.unionByName(cand, allowMissingColumns=True).repartition("block", "q").sortWithinPartitions("block", "q", F.asc_nulls_first("leaf"))
+    return rows.mapInArrow(lambda batches: _meet(batches, k), "query_id long, vec_id long, score double")
+
+
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of block and q, of which the queries come first (their leaf is null), then the candidates by leaf:
+    each query's best k of its block.  Held are the queries, the best so far and a batch of candidates."""
+    at, asked, held = None, [], None
+    for t in batches:
+        block, q = t.column(0).to_numpy(), t.column(1).to_numpy()
+        query = t.column(2).is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (q[1:] != q[:-1]) | (query[1:] != query[:-1]), True]) if len(q) else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part = t.slice(lo, hi - lo)
+            if (block[lo], q[lo]) != at:
+                if held:
+                    yield held.found()
+                at, asked, held = (block[lo], q[lo]), [], None
+            if query[lo]:
+                asked.append(part)
+            elif held or asked:
+                held = held or _Asked(pa.Table.from_batches(asked), k)
+                held.meet(part.column(2).to_numpy(), part.column(3).to_numpy(), _vectors(part.column(4)))
+    if held:
+        yield held.found()
+
+
+class _Asked:
+    """Queries of a block, with the leaves each wants, and their best so far."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        self.k, self.ids, self.x = k, rows.column("id").to_numpy(), _vectors(rows.column("x").combine_chunks())
+        lists = rows.column("leaves").combine_chunks()
+        owner, leaf = np.repeat(np.arange(len(self.ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        by = np.argsort(leaf, kind="stable")
+        self.owner, self.leaf = owner[by], leaf[by]
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def meet(self, leaf: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        got = [self.best]
+        for one in np.unique(leaf):
+            mine, here = self.owner[np.searchsorted(self.leaf, one) : np.searchsorted(self.leaf, one, "right")], leaf == one
+            if len(mine):
+                got.append(best(self.x[mine], self.ids[mine], x[here], ids[here], self.k))
+        self.best = top_k(*(np.concatenate(z) for z in zip(*got, strict=True)), self.k)
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in self.best], ["query_id", "vec_id", "score"])
 
 
 def top_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -163,3 +163,14 @@ def test_vectors_that_take_no_part(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20), (0, 2, 7), (20, 1, 0), (20, 2, 7)]
     assert ann.search(df.limit(0)).collect() == []
+
+
+def test_queries_bring_back_no_more_from_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng, each = np.random.default_rng(8), []
+    for n in (1600, 6400):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(n, 8)))], "id long, x array<double>")
+        placed, levels = ann._placed(df, n, 20, 0.95, ann.SAMPLE)
+        found = ann._met(placed, levels, "id % 20 = 0", n, 20)
+        each.append(found.count() / (n / 20))
+    assert each[1] < 1.5 * each[0]  # before, about four times as many
