@@ -8,7 +8,7 @@ wherever the window stands, and neighbouring windows mostly share it, so a run o
 1. Equal texts are folded: one of least doc_id stands for all.
 2. Least grams of all texts are counted by hash; those that only one text has need no comparison.
 3. Runs of windows over shared grams are cut out of the texts, and equal runs folded with their least doc_id.
-4. Runs of the same gram meet in a bucket of bounded size.  The bucket's suffixes are sorted and transformed; intervals of
+4. Runs of the same gram meet in a bucket of bounded size; a gram's only run has nothing to meet.  The others' suffixes are sorted and transformed; intervals of
    suffixes with a common prefix are expanded backward breadth-first, one character a round, so that common
    prefixes come out by increasing length, and it stops at LENGTH.  What is then still one interval are equal
    windows, and the least doc_id of each is known.
@@ -390,12 +390,16 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (from, to); runs of one document only, without such windows, have no row."""
     for group in sorted_runs(batches, ["bucket"]):
         strings, least, most = group["bytes"].to_pylist(), group["least"].to_numpy(), group["most"].to_numpy()
-        string, starts, owner = least_owners(strings, least)
-        edge = np.diff((starts & (owner < least[string])).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        of = string[lo]
-        begin = np.searchsorted(string, of)
-        spans = np.stack([lo - begin, hi - begin], axis=1).astype(np.int32)
+        # equal windows are in runs of one gram, so a gram's only run shares none with others
+        _, which, runs = np.unique(group["gram"].to_numpy(), return_inverse=True, return_counts=True)
+        met = np.flatnonzero(runs[which] > 1)
+        of, spans = np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
+        if len(met):
+            string, starts, owner = least_owners([strings[i] for i in met.tolist()], least[met])
+            edge = np.diff((starts & (owner < least[met][string])).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+            lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            begin = np.searchsorted(string, string[lo])
+            of, spans = met[string[lo]], np.stack([lo - begin, hi - begin], axis=1).astype(np.int32)
         cuts = np.searchsorted(of, np.arange(len(strings) + 1))
         some = np.flatnonzero((most > least) | (cuts[1:] > cuts[:-1]))
         rows = group.select(["gram", "run", "least"]).take(pa.array(some)).combine_chunks()

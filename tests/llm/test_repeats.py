@@ -104,3 +104,17 @@ def test_least_owner_of_each_window():
     string, starts, least = repeats.least_owners(strings, np.array([5, 3, 4]), 4)
     got = [least[(string == k) & starts].tolist() for k in range(3)]
     assert got == [[5, 5, 3, 3, 5], [3, 3, 3, 3], [4, 4, 4, 4, 4]]
+
+
+def test_the_only_run_of_a_gram_is_not_transformed(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    real = repeats.least_owners
+    monkeypatch.setattr(repeats, "least_owners", lambda strings, owners, *a: seen.append(list(strings)) or real(strings, owners, *a))
+    x, y, z = (bytes([c]) * 20 + b"0123456789" * 4 for c in b"xyz")
+    runs = [(0, 1, 10, x, 3, 9), (0, 2, 11, y, 5, 5), (0, 2, 12, y[1:] + b"?", 4, 4), (1, 7, 13, z, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*runs)], ["bucket", "gram", "run", "bytes", "least", "most"])
+    got = [r for b in repeats._owners(iter([batch])) for r in b.to_pylist()]
+    assert seen == [[y, y[1:] + b"?"]]
+    assert [(r["gram"], r["run"], r["least"], np.frombuffer(r["spans"], np.int32).tolist()) for r in got] == [(1, 10, 3, []), (2, 11, 5, [1, 11])]
