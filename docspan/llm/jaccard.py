@@ -5,8 +5,10 @@
 2. Sizes fall into bands such that linked sets are in one band or in neighbours.  In each band a
    link allows at most `budget` shingles that only one side has.  The hash space is cut into more
    parts than that, so linked sets agree in a part that holds shingles.  A part's content is the
-   tile key: nodes with the same key share a tile.  No cap is set on tiles, and which shingles are
-   frequent doesn't matter, since a part mixes several.
+   tile key: nodes with the same key share a tile.  No cap is set on tiles.  Keys are packed by block
+   to find those that several rows have; only these become rows.  A set that holds shingles in more
+   parts than budget + 1 leaves as many of its most frequent keys as there are more: every link
+   of it agrees in so many keys that the rarest of them stays on both sides (all go by one order).
 3. A tile's hub is the node that shares most tiles, so near copies of one text tend to have the same
    hub in all of their tiles.  Each node is compared with its tiles' hubs: the bits in which two bitmaps
    differ bound the overlap from above, and what gets through is decided on the sorted arrays.
@@ -18,8 +20,7 @@
 6. Links become components.
 
 So every pair of nodes at or over the threshold is either linked by an exact check or joined by a
-chain of exact links; nothing is sampled or capped.  (A sample only tells which tiles are large: their
-rows are dealt to several tasks.)
+chain of exact links; nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +44,8 @@ from docspan.llm.words import CHUNK_BYTES, mix, shingle_sets, text_slices
 BLOCK = 4096
 #: Rows of one tile, or partners of one hub, that go to one task.
 DEAL = 2048
-#: One row in so many tells which tiles have more rows than DEAL, and at most so many tiles are dealt.
-SAMPLED, HOT_TILES = 64, 100_000
-#: Texts with more copies than this go on as one row before tiles are formed, others after.
-COPIES = 8
+#: Keys that a task packs at a time, and characters of text, about, whose keys meet in one block.
+PACKED, BLOCK_CHARS = 1 << 19, 12 << 20
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ class Rule:
 
     def parts(self, band: int) -> int:
         spare = self.budget(band)
-        return spare + 1 + math.ceil(spare / 32)
+        return spare + 1 + math.ceil(spare / 8)
 
     def bits(self, band: int) -> int:
         """Length of a bitmap: eight times the budget, in whole 64-bit words, so that few pairs just
@@ -89,13 +90,12 @@ def _known_by(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def shingle_rows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, id, row, n_shingles, node, band, own, below, keys): the set's size, digest (null if
-    it is empty), band, bitmaps for its own band and the one below, and tile keys; uid numbers the rows
-    once the table is stored."""
+    """(doc_id, id, row, n_shingles, node, band, own, below): the set's size, digest (null if it is empty),
+    band, and bitmaps for its own band and the one below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(4), CHUNK_BYTES // 2):
+            for lo, hi, texts in text_slices(batch.column(3), CHUNK_BYTES // 2):
                 sets = list(shingle_sets(texts, rule.words))
                 n = np.array([len(s) for s in sets], np.int64)
                 empty = n == 0
@@ -103,16 +103,12 @@ def shingle_rows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
                 band = rule.band(n)
                 own = [bitmap(s, rule.bits(b)) if len(s) else None for s, b in zip(sets, band.tolist(), strict=True)]
                 below = [bitmap(s, rule.bits(b - 1)) if b > 0 and len(s) else None for s, b in zip(sets, band.tolist(), strict=True)]
-                key, owner = tile_keys(sets, rule)
-                key = key[np.argsort(owner, kind="stable")].view(np.int64)
-                upto = np.append(0, np.cumsum(np.bincount(owner, minlength=len(sets))))
-                keys = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(key))
-                cols = [*(batch.column(c).slice(lo, hi - lo) for c in range(4)), pa.array(n), pa.array(node, mask=empty), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary()), keys]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "id", "row", "n_shingles", "node", "band", "own", "below", "keys"])
+                cols = [*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(n), pa.array(node, mask=empty), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "row", "n_shingles", "node", "band", "own", "below"])
 
     known, row = _known_by(id_col, text_col)
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), known.alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(run, "uid long, doc_id long, id long, row long, n_shingles long, node long, band int, own binary, below binary, keys array<long>")
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), known.alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return src.mapInArrow(run, "doc_id long, id long, row long, n_shingles long, node long, band int, own binary, below binary")
 
 
 def _digest(s: np.ndarray) -> np.int64:
@@ -123,9 +119,16 @@ def _digest(s: np.ndarray) -> np.int64:
 def tile_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Tile keys of the sets, and for each key the number of its set.  A set takes part in its own
     band and in the one below."""
+    return spare_keys(sets, rule)[:2]
+
+
+def spare_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What tile_keys returns, and how many keys each set can do without in its own band and in the one
+    below.  A key's last bit is that of its band."""
+    spare = np.zeros((len(sets), 2), np.int32)
     n = np.array([len(s) for s in sets], np.int64)
     if not n.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
     flat = np.concatenate(sets)
     own = rule.band(n)
     keys, owners = [], []
@@ -152,14 +155,17 @@ def tile_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarra
         full = np.add.reduceat(held, base[parts > 0]) if parts.any() else np.zeros(0)
         short = np.zeros(len(sets), bool)
         short[parts > 0] = full <= budget[parts > 0]  # too few parts hold shingles: empty ones count as well
+        # two linked sets agree in as many keys of either as it has more than the budget
+        spare[parts > 0, step] = np.maximum(full - budget[parts > 0] - 1, 0)
         part_no = np.arange(len(content)) - base[owner]
         key = mix(content + mix(part_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed[owner]))
+        key = key & ~np.uint64(1) | band[owner].astype(np.uint64) & np.uint64(1)
         keep = held | short[owner]
         keys.append(key[keep])
         owners.append(owner[keep])
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
+    return np.concatenate(keys), np.concatenate(owners), spare
 
 
 def bitmap(s: np.ndarray, bits: int) -> bytes:
@@ -197,25 +203,94 @@ def _dealt(node: str = "node", count: str = "size") -> Column:
     return F.pmod(F.xxhash64(node), _deals(count)).cast("int")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """(key, deal, node, size, pull) of tiles with several nodes.  size: the rows that the tile had, copies
-    included; pull: how many tiles the node shares, large ones counting more."""
-    with scratch(rows.sparkSession):
-        return keep(_formed(rows))
-
-
-def _formed(rows: DataFrame) -> DataFrame:
-    # of a text with many copies, one row goes on
-    many = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("uid").alias("one")).filter(F.col("n") > COPIES)
-    some = rows.filter("node is not null").join(small(stored(many.select("node", "one"), "copied")), "node", "left").filter("one is null or one = uid")
-    keys = some.select("uid", "node", F.explode("keys").alias("key"))
-    part = keys.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > DEAL)
-    hot = F.broadcast(stored(part.orderBy(F.desc("n"), "key").limit(HOT_TILES).select("key"), "hot"))
-    tile = Window.partitionBy("key")
-    cold = keys.join(hot, "key", "left_anti").select("key", "node", F.count("*").over(tile).alias("size"), F.min("node").over(tile).alias("least"), F.max("node").over(tile).alias("most"))
-    crowded = keys.join(hot, "key", "left_semi").select("key", "node")
-    facts = F.broadcast(crowded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most")))  # a row for each of the hot at most
-    several = cold.unionByName(crowded.join(facts, "key")).filter("least < most").select("key", "node", "size")
+def _met(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    """Rows of two kinds: (uid, node, band, spare) for each text with words, spare being what it can do without
+    in its own band and in the one below; and (uid, key, size) for each of its keys that size rows have,
+    size being over 1."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(f"`{text_col}`")), F.lit(0))).first()[0]
+    blocks = int(chars // BLOCK_CHARS + 1)
+    names = ["block", "uid", "node", "band", "spare", "blob"]
+
+    def packed(first: int, node: list, band: list, spare: list, key: list, owner: list) -> Iterator[pa.RecordBatch]:
+        """The texts, and a blob for each block: last halves of keys byte by byte, in order, and whose they are."""
+        node, band, spare, key, owner = (np.concatenate(x) for x in (node, band, spare, key, owner))
+        k = len(node)
+        uid = first + np.arange(k)
+        yield pa.RecordBatch.from_arrays([pa.array((uid % blocks).astype(np.int32)), pa.array(uid), pa.array(node), pa.array(band.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * 2, pa.int32()), pa.array(spare.ravel())), pa.nulls(k, pa.binary())], names)
+        half, block = key.astype(np.uint32), ((key >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+        order = np.lexsort((half, block))
+        asked, at = np.unique(block[order], return_index=True)
+        blobs = [half[x].view(np.uint8).reshape(-1, 4).T.tobytes() + owner[x].astype(np.uint16).tobytes() for x in np.split(order, at[1:])] if len(key) else []
+        for i in range(0, len(blobs), 500):
+            m = len(blobs[i : i + 500])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[i : i + 500]), pa.array(np.full(m, first)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32())), pa.array(blobs[i : i + 500], pa.binary())], names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        held, keys, rows = [], 0, 0
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column(0), CHUNK_BYTES // 2):
+                sets = [s for s in shingle_sets(texts, rule.words) if len(s)]
+                if not sets:
+                    continue
+                if rows + len(sets) > 1 << 16 or keys > PACKED:
+                    yield from packed(first, *zip(*held, strict=True))
+                    first, held, keys, rows = first + (1 << 16), [], 0, 0
+                key, owner, spare = spare_keys(sets, rule)
+                held.append((np.array([_digest(s) for s in sets], np.int64), rule.band(np.array([len(s) for s in sets], np.int64)), spare, key, owner + rows))
+                keys, rows = keys + len(key), rows + len(sets)
+        if held:
+            yield from packed(first, *zip(*held, strict=True))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_runs(batches, ["block"]):
+            text = pc.is_valid(t.column("node"))
+            for b in t.filter(text).to_batches():
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[1:5]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], out)
+            blobs = t.filter(pc.invert(text))
+            half, uid = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for first, blob in zip(blobs.column("uid").to_pylist(), blobs.column("blob"), strict=True):
+                x = np.frombuffer(blob.as_buffer(), np.uint8)
+                k = len(x) // 6
+                half.append(np.ascontiguousarray(x[: 4 * k].reshape(4, k).T).view(np.uint32).ravel())
+                uid.append(first + x[4 * k :].view(np.uint16).astype(np.int64))
+            half, uid = np.concatenate(half), np.concatenate(uid)
+            order = np.argsort(half, kind="stable")
+            start = np.flatnonzero(np.append(True, half[order[1:]] != half[order[:-1]])) if len(half) else np.zeros(0, np.int64)
+            size = np.repeat(*[np.diff(np.append(start, len(half)))] * 2)
+            order, size = order[size > 1], size[size > 1]
+            key = (t.column("block")[0].as_py() << 32) + half[order].astype(np.int64)
+            for i in range(0, len(order), 50_000):
+                m = len(order[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[order[i : i + 50_000]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32())), pa.array(key[i : i + 50_000]), pa.array(size[i : i + 50_000])], out)
+
+    out = ["uid", "node", "band", "spare", "key", "size"]
+    sent = docs.select(f"`{text_col}`").mapInArrow(pack, "block int, uid long, node long, band int, spare array<int>, blob binary")
+    sent = sent.repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").sortWithinPartitions("block")
+    return stored(sent.mapInArrow(meet, "uid long, node long, band int, spare array<int>, key long, size long"), "met")
+
+
+def _tiles(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    """(key, deal, node, size, pull) of tiles with several nodes.  size: the nodes that the tile has; pull: how
+    many tiles the node shares, large ones counting more.  A key's last bit is that of its tile's band."""
+    with scratch(docs.sparkSession):
+        return keep(_formed(docs, rule, text_col))
+
+
+def _formed(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    met = _met(docs, rule, text_col)
+    # of texts with the same set one goes on
+    ones = met.filter("node is not null").groupBy("node").agg(F.min(F.struct("uid", "band", "spare")).alias("one")).select("node", "one.*")
+    below = F.col("key").bitwiseXOR(F.col("band")).bitwiseAND(F.lit(1))
+    ones = met.filter("key is not null").select("uid", "key", "size").join(ones, "uid").withColumn("below", below)
+    order = Window.partitionBy("uid", "below").orderBy(F.desc("size"), F.desc("key"))
+    rare = ones.withColumn("place", F.row_number().over(order)).filter(F.col("place") > F.get("spare", F.col("below").cast("int")))
+    # keys of other bands that happen to be the same are told apart
+    band = F.col("band") - F.col("below")
+    key = F.shiftleft(F.xxhash64("key", band), 1).bitwiseOR(band % 2)
+    rare = stored(rare.select(key.alias("key"), "node"), "rare")
+    facts = rare.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "size")
+    several = rare.join(facts, "key").select("key", "node", "size")
     tiles = stored(several.repartition("node").groupBy("node", "key", "size").agg(F.lit(1).alias("one")).drop("one"), "tiles")
     pull = tiles.groupBy("node").agg(F.sum((F.log2("size") * 1000).cast("long")).alias("pull"))
     return stored(tiles.join(pull, "node").select("key", _dealt().alias("deal"), "node", "size", "pull"), "tiles")
@@ -305,18 +380,15 @@ def _rest(tiles: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _compare(rest: DataFrame, rule: Rule, exact: bool) -> DataFrame:
     """(key, a, b): pairs of nodes of one block in different groups that the bitmaps let through, as many as
-    join its groups; exact: that the arrays say are links.  rest: as _rest gives it, with n, band, own,
-    below and, if exact, shingles."""
+    join its groups; exact: that the arrays say are links.  rest: as _rest gives it, with n, bits (see
+    _with_bits) and, if exact, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, ["key", "left", "right"]):
-            node, label, n, band, side = (t.column(c).to_numpy() for c in ("node", "label", "n", "band", "side"))
+            node, label, n, side = (t.column(c).to_numpy() for c in ("node", "label", "n", "side"))
             loose = t.column("loose").to_numpy().astype(bool)
-            own, below = t.column("own").to_pylist(), t.column("below").to_pylist()
             arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")] if exact else None
-            # all sets of a tile use one band's bitmaps: that of the smallest
-            at = band.min()
-            bits = np.frombuffer(b"".join(own[i] if band[i] == at else below[i] for i in range(len(node))), np.uint64).reshape(len(node), -1)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
             group = np.unique(label, return_inverse=True)[1]
             right = np.flatnonzero(side > 0)
             a, b = [], []
@@ -342,6 +414,12 @@ def _compare(rest: DataFrame, rule: Rule, exact: bool) -> DataFrame:
     return rest.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "key long, a long, b long")
 
 
+def _with_bits(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rest with n and, of each node's two bitmaps, the one for its tile's band."""
+    ours = F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2
+    return rest.join(nodes.select("node", "n", "band", "own", "below"), "node").withColumn("bits", F.when(ours, F.col("own")).otherwise(F.col("below"))).drop("band", "own", "below")
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after each group took the smallest label of those that the links (a, b) tie
     it to.  This is one step, not the whole component: enough to leave out comparisons."""
@@ -362,7 +440,7 @@ def linked_nodes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
 
 def _components(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    tiles = _tiles(rows)
+    tiles = _tiles(docs, rule, text_col)
     inside = rows.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "id", "row", F.col("n_shingles").alias("n"), "band", "own", "below")
     nodes = stored(inside.dropDuplicates(["node"]), "inside")
 
@@ -384,9 +462,8 @@ def _components(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_
     links = links.unionByName(more)
     labels = stored(_joined(labels, more), "groups")
 
-    info = nodes.select("node", "n", "band", "own", "below")
     with scratch(docs.sparkSession):
-        named = keep(stored(_compare(_rest(tiles, hubs, labels).join(info, "node"), rule, exact=False), "named"))
+        named = keep(stored(_compare(_with_bits(_rest(tiles, hubs, labels), nodes), rule, exact=False), "named"))
     tested = _exact(stored(named.select("a", "b").distinct(), "pairs"), nodes, docs, rule, id_col, text_col)
     links = links.unionByName(tested.filter("ok").select("a", "b"))
 
@@ -396,7 +473,7 @@ def _components(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_
         labels = stored(_joined(labels, tested.filter("ok").select("a", "b")), "groups")
         rest = stored(_rest(tiles.join(_spread(again.join(hubs, "key")).select("key", "deal"), ["key", "deal"], "left_semi"), hubs, labels), "rest")
         sets = _arrays(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi"), rule, id_col, text_col)
-        found = _compare(rest.join(info, "node").join(sets, "node"), rule, exact=True)
+        found = _compare(_with_bits(rest, nodes).join(sets, "node"), rule, exact=True)
         links = links.unionByName(stored(found.select("a", "b"), "found"))
     return connected(links)
 

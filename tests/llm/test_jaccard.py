@@ -114,3 +114,24 @@ def test_long_paths_are_one_component(spark):
     got = dict(connected(links).select("node", "label").collect())
     assert got == {**dict.fromkeys(range(n + 1), 0), 500: 500, 501: 500}
     assert links.filter(F.lit(False)).count() == 0
+
+
+def test_spared_keys_lose_no_link(spark):
+    """Each text of a group has passages that all others have too, so that its most frequent keys go."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for g in range(40):
+        text = [f"g{g}w{i}" for i in range(170)]
+        for _ in range(3):
+            near = list(text)
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                near[rng.randrange(len(near))] = f"new{rng.randrange(10**6)}"
+            at = rng.randrange(len(near))
+            rows.append((len(rows), " ".join(near[:at] + common + near[at:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_components(df, Rule(5, 80)).collect())
+    assert got == sorted(brute(rows, 5, 80))
+    # rows in tiles don't grow with the square of the texts that share the passage
+    tiles = jaccard._tiles(df, Rule(5, 80), "text").groupBy("key").count()
+    assert tiles.agg(F.max("count")).first()[0] <= 3
