@@ -45,7 +45,7 @@ BLOCK = 4096
 #: Rows of one tile, or partners of one hub, that go to one task.
 DEAL = 2048
 #: Keys that a task packs at a time, and characters of text, about, whose keys meet in one block.
-PACKED, BLOCK_CHARS = 1 << 19, 12 << 20
+PACKED, BLOCK_CHARS = 1 << 18, 12 << 20
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def shingle_rows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(3), CHUNK_BYTES // 2):
+            for lo, hi, texts in text_slices(batch.column(3), CHUNK_BYTES // 8):
                 sets = list(shingle_sets(texts, rule.words))
                 n = np.array([len(s) for s in sets], np.int64)
                 empty = n == 0
@@ -179,7 +179,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(1), CHUNK_BYTES // 2):
+            for lo, hi, texts in text_slices(batch.column(1), CHUNK_BYTES // 8):
                 sets = [s.tobytes() for s in shingle_sets(texts, rule.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -229,7 +229,7 @@ def _met(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
         first = TaskContext.get().partitionId() << 40
         held, keys, rows = [], 0, 0
         for batch in batches:
-            for _, _, texts in text_slices(batch.column(0), CHUNK_BYTES // 2):
+            for _, _, texts in text_slices(batch.column(0), CHUNK_BYTES // 8):
                 sets = [s for s in shingle_sets(texts, rule.words) if len(s)]
                 if not sets:
                     continue
