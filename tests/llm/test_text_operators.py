@@ -75,6 +75,32 @@ def test_filter_beyond_one_broadcast_scores_the_same(spark, monkeypatch):
     assert rows(max_bytes=1) == rows(max_bytes=1 << 30)
 
 
+def test_scores_do_not_follow_what_is_sent_or_how_it_is_asked(spark, monkeypatch):
+    df = odd_documents(spark).union(odd_documents(spark))
+    rows = lambda: sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm.score(df, lm.in_training("doc_id")).collect())
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 20_000)  # many segments
+    want = rows()
+    for name, value in {"HEAD": 3, "BLOCK": 1, "ROUNDS": 3, "CHUNK_BYTES": 2000, "CUT_BYTES": 700, "ASKED_BYTES": 500, "PART": 300}.items():
+        monkeypatch.setattr(lm, name, value, raising=False)
+    assert rows() == want
+
+
+def test_a_chunk_asks_for_its_distinct_pairs(spark):
+    bus, seen = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        bus.waitUntilEmpty()
+        return sum(seen.executorList(False).apply(i).totalShuffleWrite() for i in range(seen.executorList(False).size()))
+
+    rng = random.Random(5)
+    passage = " ".join(f"{rng.randrange(9000)}x" for _ in range(20_000))
+    df = spark.createDataFrame([(i, passage) for i in range(24)], "doc_id long, text string").coalesce(1)
+    before = written()
+    got = lm.score(df, lm.in_training("doc_id"), max_bytes=1).collect()
+    assert len(got) == 24 and len({round(r.score, 6) for r in got}) == 1
+    assert written() - before < 7 * 24 * 20_000  # fewer bytes than one hash a position
+
+
 def test_pairs_that_occur_once_count(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c d"), (11, "a b"), (12, "a d")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 10).collect()}
