@@ -483,7 +483,8 @@ def answered(chunks: DataFrame, contexts: DataFrame, held: Filter, sent: Broadca
     for turn in range(rounds):
         asked = chunks.select("key", "n", "tokens", "places").mapInArrow(questions(turn), "key long, block int, deal long, segment int, blob binary, tokens binary")
         rows = asked.unionByName(fixed.filter(F.col("block") % rounds == turn))
-        rows = rows.repartition(max(-(-blocks // rounds) * deals, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "deal")
+        # blocks are dealt by a hash, so more tasks than blocks keep most of them apart
+        rows = rows.repartition(max(4 * -(-blocks // rounds) * deals, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "deal")
         out.append(stored(rows.sortWithinPartitions("block", "deal", "key").mapInArrow(answer, "key long, block int, levels binary, counts binary"), "answers"))
     return out
 
